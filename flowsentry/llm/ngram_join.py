@@ -6,14 +6,15 @@ A document's set holds its distinct 4-word shingles (64-bit hashes); two documen
 * a global order puts rare shingles first: frequent ones come from counts over all documents, ties by hash;
 * prefix filter: sets that link share a shingle among the first n - ceil(0.85 n) + 1 of each;
 * length filter (sizes within 0.85), positional filter (what is left after the shared shingle can still reach the
-  required overlap), suffix filter (overlap bounded by the sizes of eight hash classes);
+  required overlap), suffix filter (overlap bounded by the sizes of CLASSES hash classes of both sets);
 * pairs are made distinct and verified once, on whole sets.
 
 Only the components are asked for, so pairs inside one component need no second proof. A first round pairs, in each
-prefix bucket and size band, every set with the bucket's smallest one: as many pairs as postings. The links found give
-components; a second round pairs, in buckets whose sets are not all in one component, all sets of different components
-(all but those of the bucket's most common component against all). Every link is thus verified or joins two sets
-already connected, and a group of thousands of near copies costs pairs in proportion to its size.
+prefix bucket and size band, every set with the bucket's smallest one; a second pairs, in buckets whose sets are not all
+in one component yet, every set outside the bucket's most common component with DRAWS sets of it, drawn by hash: either
+makes a bounded multiple of the postings. A last round pairs, in buckets still mixed, all sets of different components (all but those of the bucket's
+most common component against all). Every link is thus verified or joins two sets already connected, and a group of
+thousands of near copies costs pairs in proportion to its size.
 
 Edge cases: null and empty texts, and texts without words, have an empty set and link with nothing; with fewer words
 than a shingle the whole sequence is the only shingle; repeated rows share a set; texts of any length are used whole.
@@ -25,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowsentry.llm.common import durable, text_or_empty
 from flowsentry.llm.components import components
@@ -33,6 +35,8 @@ from flowsentry.llm.components import components
 WORDS, PERCENT = 4, 85
 #: Bytes of text that are hashed together, and the most entries of the table of frequent shingles.
 BLOCK_BYTES, FREQUENT_ENTRIES = 1 << 20, 500_000
+#: Hash classes of the suffix filter, and sets that a mixed bucket draws.
+CLASSES, DRAWS = 256, 4
 #: A shingle counts as locally frequent when so many documents of one batch hold it.
 LOCAL_COUNT = 3
 
@@ -183,17 +187,32 @@ def _postings(docs: DataFrame, words: int, percent: int, shared) -> DataFrame:
     return docs.select(text_or_empty().alias("text")).mapInPandas(scan, "h long, pos int, key long, n int")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(key, shingles, classes) of the wanted documents: the whole sets, and how many shingles lie in each hash class."""
+def _per_set(docs: DataFrame, wanted: DataFrame, words: int, column: str, kind: str, fn) -> DataFrame:
+    """(key, column): fn(set) for the wanted documents, one row for each set."""
 
     def scan(batches):
         for batch in batches:
             texts = batch["text"].tolist()
             for i in range(0, len(texts), 1000):
                 sets = shingle_sets(texts[i : i + 1000], words)
-                yield pd.DataFrame({"key": [set_key(s) for s in sets], "shingles": sets, "classes": [np.bincount(s & 7, minlength=8) for s in sets]})
+                yield pd.DataFrame({"key": [set_key(s) for s in sets], column: [fn(s) for s in sets]})
 
-    return docs.select("doc_id", text_or_empty().alias("text")).join(wanted, "doc_id").select("text").mapInPandas(scan, "key long, shingles array<long>, classes array<long>")
+    n = wanted.count()
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(wanted) if n <= 200_000 else wanted, "doc_id").select("text")
+    return rows.mapInPandas(scan, f"key long, {column} {kind}").dropDuplicates(["key"])
+
+
+def _class_sizes(found: np.ndarray) -> bytes:
+    return np.bincount(found & (CLASSES - 1), minlength=CLASSES).astype("<u2").tobytes()
+
+
+@F.pandas_udf(T.LongType())
+def _overlap_bound(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The most that two sets can share, by their class sizes. (A set of 65,536 or more in one class wraps to less; such sets skip the filter.)"""
+    if not len(a):
+        return pd.Series([], dtype="int64")
+    x, y = (np.frombuffer(b"".join(s), "<u2").reshape(len(s), CLASSES) for s in (a, b))
+    return pd.Series(np.minimum(x, y).sum(axis=1, dtype=np.int64))
 
 
 def _reaches(overlap: Column, na: Column, nb: Column, percent: int) -> Column:
@@ -208,20 +227,46 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & _reaches(rest, na, nb, percent)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) of set keys that link, by the suffix filter and then the whole sets."""
+def _both(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """pairs (a, b) with the values of both keys, as {column}_a and {column}_b."""
+    for x in "ab":
+        pairs = pairs.join(values.select(F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in values.columns if c != "key"]), x)
+    return pairs
+
+
+def _wanted(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
     nodes = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    wanted = durable(firsts.join(nodes, "key").select("doc_id").distinct())
-    n = wanted.count()
-    if not n:
-        return pairs
-    sets = durable(_sets(docs, F.broadcast(wanted) if n <= 200_000 else wanted, words).dropDuplicates(["key"]))
-    side = lambda x: sets.select(F.col("key").alias(x), F.col("shingles").alias(f"s{x}"), F.col("classes").alias(f"c{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    na, nb = F.size("sa").cast("long"), F.size("sb").cast("long")
-    most = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda t, x: t + x)
-    exact = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return durable(both.filter(_reaches(most, na, nb, percent)).filter(_reaches(exact, na, nb, percent)).select("a", "b"))
+    return durable(firsts.join(nodes, "key").select("doc_id").distinct())
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of the distinct pairs (a, b, na, nb) of set keys that link: the suffix filter, then the whole sets."""
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
+    classes = durable(_per_set(docs, _wanted(pairs, firsts), words, "sizes", "binary", _class_sizes))
+    bounded = _both(pairs, classes, "sizes").filter(_reaches(_overlap_bound("sizes_a", "sizes_b"), F.col("na"), F.col("nb"), percent) | (F.col("na") >= 65_536))
+    left = durable(bounded.select("a", "b", "na", "nb"))
+    if left.isEmpty():
+        return left.select("a", "b")
+    sets = durable(_per_set(docs, _wanted(left, firsts), words, "shingles", "array<long>", lambda s: s))
+    exact = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
+    return durable(_both(left, sets, "shingles").filter(_reaches(exact, F.col("na"), F.col("nb"), percent)).select("a", "b"))
+
+
+def _pairs(joined: DataFrame, percent: int, tested: DataFrame | None = None) -> DataFrame:
+    """The distinct pairs of a join of postings x and y that pass the length and positional filters and were not tested before."""
+    swap = F.col("x.key") > F.col("y.key")
+    pick = lambda c: (F.when(swap, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")), F.when(swap, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")))
+    (a, b), (na, nb) = pick("key"), pick("n")
+    pairs = joined.filter(_may_link("x", "y", percent)).select(a.alias("a"), b.alias("b"), na.cast("long").alias("na"), nb.cast("long").alias("nb")).distinct()
+    return durable(pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+
+
+def _still_mixed(kept: DataFrame, labels: DataFrame) -> DataFrame:
+    """Postings, with their component as label, of the buckets that hold several components; top is the bucket's most common one."""
+    named = kept.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root", "band")
+    mixed = named.groupBy("h", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("m", "label")).alias("top")).filter("labels > 1").select("h", F.col("top.label").alias("top"))
+    return durable(named.join(mixed, "h"))
 
 
 def near_duplicate_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequent_entries: int = FREQUENT_ENTRIES) -> DataFrame:
@@ -239,20 +284,24 @@ def near_duplicate_components(docs: DataFrame, words: int = WORDS, percent: int
     buckets = postings.groupBy("h").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least <> most").select("h")
     kept = durable(postings.join(buckets, "h").groupBy("h", "key").agg(F.min("pos").alias("pos"), F.min("n").alias("n")).withColumn("band", band))
 
-    leaders = kept.groupBy("h", "band").agg(F.min(F.struct("n", "key", "pos")).alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("h", "band", F.col("lead.n").alias("n"), F.col("lead.key").alias("key"), F.col("lead.pos").alias("pos"))
-    star = kept.alias("x").join(leaders.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.key") != F.col("y.key"))).filter(_may_link("x", "y", percent))
-    tested = durable(_pair(star).distinct())
+    leaders = kept.groupBy("h", "band").agg(F.min(F.struct("n", "key", "pos")).alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("h", "band", "lead.n", "lead.key", "lead.pos")
+    star = kept.alias("x").join(leaders.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.key") != F.col("y.key")))
+    tested = _pairs(star, percent)
     links = _verified(tested, docs, firsts, words, percent)
-    labels = components(links)
 
-    named = kept.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root", "band")
-    mixed = named.groupBy("h", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("m", "label")).alias("top")).filter("labels > 1").select("h", F.col("top.label").alias("top"))
-    open_ = durable(named.join(mixed, "h"))
-    across = open_.filter("label <> top").alias("x").join(open_.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.top")) | (F.col("x.key") < F.col("y.key")))).filter(_may_link("x", "y", percent))
-    untested = durable(_pair(across).distinct().join(tested, ["a", "b"], "left_anti"))
-    more = _verified(untested, docs, firsts, words, percent)
+    mixed = _still_mixed(kept, components(links))
+    draws = [F.min(F.struct(F.xxhash64("h", "key", F.lit(i)).alias("draw"), "n", "key", "pos", "label")) for i in range(DRAWS)]
+    drawn = mixed.filter("label = top").groupBy("h").agg(F.array_distinct(F.array(*draws)).alias("leads")).select("h", F.explode("leads").alias("lead")).select("h", "lead.n", "lead.key", "lead.pos", "lead.label")
+    star = mixed.alias("x").join(drawn.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.label") != F.col("y.label")))
+    second = _pairs(star, percent, tested)
+    links = durable(links.unionByName(_verified(second, docs, firsts, words, percent)))
+
+    tested = tested.unionByName(second)
+    mixed = _still_mixed(mixed.drop("label", "top").withColumn("band", F.lit(0)), components(links))
+    across = mixed.filter("label <> top").alias("x").join(mixed.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.top")) | (F.col("x.key") < F.col("y.key"))))
+    links = durable(links.unionByName(_verified(_pairs(across, percent, tested), docs, firsts, words, percent)))
 
-    final = components(links.unionByName(more))
+    final = components(links)
     groups = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first")).join(final.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     named_groups = durable(groups)
     smallest = named_groups.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -260,10 +309,6 @@ def near_duplicate_components(docs: DataFrame, words: int = WORDS, percent: int
     return rows.join(of_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _pair(joined: DataFrame) -> DataFrame:
-    return joined.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
-
-
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component of near duplicates: that of the smallest doc_id (of equal ids, one row)."""
     marks = durable(near_duplicate_components(docs, words, percent))
