@@ -10,9 +10,9 @@ A document's set holds its distinct 4-word shingles (64-bit hashes); two documen
 * pairs are made distinct and verified once, on whole sets.
 
 Only the components are asked for, so pairs inside one component need no second proof. A first round pairs, in each
-prefix bucket and size band, every set with the bucket's smallest one; a second pairs, in buckets whose sets are not all
-in one component yet, every set outside the bucket's most common component with DRAWS sets of it, drawn by hash: either
-makes a bounded multiple of the postings. A last round pairs, in buckets still mixed, all sets of different components (all but those of the bucket's
+prefix bucket and size band, every set with the bucket's smallest one; DRAW_ROUNDS others pair, in buckets whose sets are not all
+in one component yet, every set with DRAWS sets that the bucket draws by hash: either makes a bounded multiple of the
+postings. A last round pairs, in buckets still mixed, all sets of different components (all but those of the bucket's
 most common component against all). Every link is thus verified or joins two sets already connected, and a group of
 thousands of near copies costs pairs in proportion to its size.
 
@@ -35,10 +35,10 @@ from flowsentry.llm.components import components
 WORDS, PERCENT = 4, 85
 #: Bytes of text that are hashed together, and the most entries of the table of frequent shingles.
 BLOCK_BYTES, FREQUENT_ENTRIES = 1 << 20, 500_000
-#: Hash classes of the suffix filter, and sets that a mixed bucket draws.
-CLASSES, DRAWS = 256, 4
+#: Hash classes of the suffix filter; sets that a mixed bucket draws in a round, and rounds of draws.
+CLASSES, DRAWS, DRAW_ROUNDS = 256, 6, 2
 #: A shingle counts as locally frequent when so many documents of one batch hold it.
-LOCAL_COUNT = 3
+LOCAL_COUNT = 2
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -290,14 +290,14 @@ def near_duplicate_components(docs: DataFrame, words: int = WORDS, percent: int
     links = _verified(tested, docs, firsts, words, percent)
 
     mixed = _still_mixed(kept, components(links))
-    draws = [F.min(F.struct(F.xxhash64("h", "key", F.lit(i)).alias("draw"), "n", "key", "pos", "label")) for i in range(DRAWS)]
-    drawn = mixed.filter("label = top").groupBy("h").agg(F.array_distinct(F.array(*draws)).alias("leads")).select("h", F.explode("leads").alias("lead")).select("h", "lead.n", "lead.key", "lead.pos", "lead.label")
-    star = mixed.alias("x").join(drawn.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.label") != F.col("y.label")))
-    second = _pairs(star, percent, tested)
-    links = durable(links.unionByName(_verified(second, docs, firsts, words, percent)))
-
-    tested = tested.unionByName(second)
-    mixed = _still_mixed(mixed.drop("label", "top").withColumn("band", F.lit(0)), components(links))
+    for r in range(DRAW_ROUNDS):
+        draws = [F.min(F.struct(F.xxhash64("h", "key", F.lit(r * DRAWS + i)).alias("draw"), "n", "key", "pos", "label")) for i in range(DRAWS)]
+        drawn = mixed.groupBy("h").agg(F.array_distinct(F.array(*draws)).alias("leads")).select("h", F.explode("leads").alias("lead")).select("h", "lead.n", "lead.key", "lead.pos", "lead.label")
+        star = mixed.alias("x").join(drawn.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.label") != F.col("y.label")))
+        more = _pairs(star, percent, tested)
+        links = durable(links.unionByName(_verified(more, docs, firsts, words, percent)))
+        tested = tested.unionByName(more)
+        mixed = _still_mixed(mixed.drop("label", "top").withColumn("band", F.lit(0)), components(links))
     across = mixed.filter("label <> top").alias("x").join(mixed.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.top")) | (F.col("x.key") < F.col("y.key"))))
     links = durable(links.unionByName(_verified(_pairs(across, percent, tested), docs, firsts, words, percent)))
 
