@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsentry.functions.expressions import ACTIONABLE, CLASSES, DECISION, FLAGS, LEVELS, RULES, SENSITIVE_PORTS, TRUSTED, reason_texts, rounded
-from flowsentry.operators import audit, baselines, calibrate, features, quality, risk, state, windows
+from flowsentry.operators import anomaly, audit, baselines, calibrate, features, quality, risk, state, windows
 from flowsentry.plans import oracle as o
+from flowsentry.streaming import live
 from flowsentry.sources.flows import CONN_FIELDS, DNS_FIELDS, SSL_FIELDS, flows, parse_auth_log, parse_conn_log, parse_dns_log, parse_firewall_log, parse_ssl_log, read_alerts
 
 QUERIES: dict = {}
@@ -601,3 +602,41 @@ def route_due(spark, d):
 @query()
 def route_payloads(spark, d):
     return calibrate.payloads(events_of(spark, d)).select("src_ip", "k", "message")
+
+
+# Models
+
+
+@query(f"WITH {o.WINDOWS}, a AS (SELECT * FROM windows WHERE connections_5m > 0) {' UNION ALL '.join(f'''SELECT '{c}' AS feature, {rounded(f'quantile_cont({c}, 0.5)', 6)} AS median, CASE WHEN quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) = 0 THEN 1e0 ELSE {rounded(f'quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)', 6)} END AS iqr FROM a''' for c in anomaly.FEATURES)}")
+def anomaly_scale(spark, d):
+    return anomaly.scaling(windows.window_features(flows(spark, d))).selectExpr("feature", f"{rounded('median', 6)} AS median", f"{rounded('iqr', 6)} AS iqr")
+
+
+def scores_of(spark, d):
+    rows = windows.window_features(flows(spark, d))
+    points = anomaly.scaled(rows, anomaly.scaling(rows))
+    return anomaly.scored(points, anomaly.train_forest(points))
+
+
+@query()
+def anomaly_score(spark, d):
+    return anomaly.contaminated(scores_of(spark, d))
+
+
+@query()
+def anomaly_normalise(spark, d):
+    return anomaly.adjusted(anomaly.normalised(scores_of(spark, d)))
+
+
+@query()
+def risk_with_anomaly(spark, d):
+    f = flows(spark, d)
+    scores = anomaly.adjusted(anomaly.normalised(scores_of(spark, d))).select("src_ip", "k", "anomaly_score")
+    rows = flagged_windows(spark, d).join(scores, ["src_ip", "k"])
+    return risk.risk_rows(baselines.with_thresholds(rows, baselines.profiles(f))).select("src_ip", "k", "anomaly_score", "risk_score", "risk_level")
+
+
+@query(f"{_FLOWS} SELECT src_ip, (ts_us // 30000000 + 1) * 30 AS window_end, count(*) AS connections, count(DISTINCT dst_port) AS ports, count(DISTINCT dst_ip) AS ips, {rounded(f'sum(CASE WHEN {_F} THEN 1 ELSE 0 END) * 1e0 / count(*)', 4)} AS failed_rate FROM clean GROUP BY 1, 2")
+def stream_window_counts(spark, d):
+    out = live.window_counts(flows(spark, d).withColumn("ts", F.timestamp_micros("ts_us")))
+    return out.select("src_ip", F.unix_seconds("window_end").alias("window_end"), "connections", F.col("ports").cast("long").alias("ports"), F.col("ips").cast("long").alias("ips"), "failed_rate")
