@@ -1,8 +1,8 @@
 """A corpus run: toxic documents go, one of each group of near duplicates stays, sources are mixed, sequences packed.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read as the next one's
-docs. Labels are read from sf_dir. No stage has a form in SQL, so there is no oracle; tests hold the run against a
-brute-force version.
+docs. Labels are read from sf_dir. Not every stage has a form in SQL, so there is no oracle; the tests hold
+the stages' operators against brute-force versions one by one.
 """
 
 from __future__ import annotations

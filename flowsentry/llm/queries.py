@@ -64,18 +64,6 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_fingerprints, op2_warc, op3_html, op4_ngram_join, op5_token_counts, op6_packing, op7_mixing, op8_lm_scores, op9_media, op10_toxicity)} | {"pipeline": corpus_pipeline.run}
 
 
-#: Where plain SQL gives the same rows.
-_WORDS = "coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)"
-MIX_SQL = f"""
-WITH sized AS (SELECT doc_id, source, CAST({_WORDS} AS BIGINT) AS size FROM documents),
-s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS w, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM sized GROUP BY source),
-c AS (SELECT source, w, CASE k % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END AS weight, 3.0 * w AS cap FROM s),
-o AS (SELECT *, (sum(w) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f FROM c),
-g AS (SELECT min_by(f, cap / weight) AS f FROM o WHERE weight * f <= cap)
-SELECT d.doc_id, d.source, d.size, CAST(o.w AS BIGINT) AS source_size, least(o.cap, o.weight * g.f) AS target
-FROM sized d JOIN o ON d.source IS NOT DISTINCT FROM o.source CROSS JOIN g"""
-
-
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
