@@ -5,12 +5,16 @@ their counts: the target's come from the documents labelled good (and not held o
 documents. A document's score is the mean over its words of the target loss minus the background loss; lower is closer
 to the target.
 
-Counts run over every word of every document, are combined per batch and summed by shuffles. Kept for scoring are the
-VOCABULARY most frequent words and the bigrams whose count is high enough that at most BIGRAMS can be kept; the mass of
-the others goes to the unigram model, so each conditional distribution still sums to 1.
+Counts run over every word of every document, are combined per batch and summed by shuffles. The models know the
+VOCABULARY most frequent words and every bigram of theirs that all documents hold LEAST times or more, so what they
+gather grows with the input; the mass of rarer bigrams goes to the unigram model, and each conditional distribution
+still sums to 1. Scoring finds the FREQUENT bigrams, most of all words, in a broadcast table of bounded size. The
+others leave each batch once for each document and meet the table of rare bigrams in a shuffled join; as each of them is
+rarer than one word in FREQUENT, no key of that join is hot. FREQUENT moves work between the two and changes no score.
 
 Edge cases: null or empty texts have 0 words and score 0; words outside the vocabulary are one class; without target
-rows both models are the background, and every score is 0; repeated rows count each; texts of any length are used whole.
+rows both models are the background, and every score is 0; texts of any length are used whole; rows that repeat a
+doc_id count each, are scored together as one document, and each get its score.
 """
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ from pyspark.sql import functions as F
 from flowsentry.llm.common import durable, text_or_empty
 from flowsentry.llm.ngram_join import BLOCK_BYTES, word_hashes
 
-VOCABULARY, BIGRAMS = 30_000, 1_000_000
+#: Words of the models, the least count of their bigrams, and the most bigrams that are broadcast.
+VOCABULARY, LEAST, FREQUENT = 30_000, 3, 1_000_000
 #: Weight of the bigram model where all its mass is kept, and the added count of the unigram model.
 BIGRAM_WEIGHT, ADDED = 0.8, 0.5
 
@@ -75,13 +80,13 @@ def word_ids(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == hashes, at + 1, 0)
 
 
-def _codes(hashes: np.ndarray, of: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bigram code, word id) of each word; a text's first word follows the start class."""
+def _codes(hashes: np.ndarray, of: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """The bigram code of each word; a text's first word follows the start class."""
     ids = word_ids(hashes, vocabulary)
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
     before[np.flatnonzero(np.diff(of, prepend=-1))] = len(vocabulary) + 1
-    return before * (len(vocabulary) + 2) + ids, ids
+    return before * (len(vocabulary) + 2) + ids
 
 
 def bigram_counts(marked: DataFrame, shared) -> DataFrame:
@@ -92,7 +97,7 @@ def bigram_counts(marked: DataFrame, shared) -> DataFrame:
             codes, weights = [], []
             targets = batch["target"].to_numpy()
             for first, hashes, of, _ in _blocks(batch["text"].tolist()):
-                codes.append(_codes(hashes, of, shared.value)[0])
+                codes.append(_codes(hashes, of, shared.value))
                 weights.append(targets[first + of])
             c, at, n = np.unique(np.concatenate(codes) if codes else np.empty(0, np.int64), return_inverse=True, return_counts=True)
             t = np.bincount(at, np.concatenate(weights) if weights else None, minlength=len(c)).astype(np.int64)
@@ -102,58 +107,94 @@ def bigram_counts(marked: DataFrame, shared) -> DataFrame:
 
 
 class Models:
-    """The two models' probabilities, as arrays."""
-
-    def __init__(self, vocabulary: np.ndarray, unigrams: np.ndarray, contexts: np.ndarray, codes: np.ndarray, counts: np.ndarray):
-        """unigrams[k, id], contexts[k, id]: counts of words and of words as contexts; counts[k, i] of bigram codes[i]; k: 0 background, 1 target."""
-        self.vocabulary, self.codes, width = vocabulary, codes, len(vocabulary) + 2
-        self.single = (unigrams + ADDED) / (unigrams.sum(axis=1, keepdims=True) + ADDED * (width - 1))
-        total = np.maximum(contexts, 1)
-        kept = np.stack([np.bincount(codes // width, c, minlength=width) for c in counts]) if len(codes) else np.zeros_like(total)
-        self.rest = 1 - BIGRAM_WEIGHT * kept / total
-        self.pair = BIGRAM_WEIGHT * counts / total[:, codes // width] if len(codes) else counts
-
-    def losses(self, codes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """losses[k, word]: negative log probabilities."""
-        before = codes // (len(self.vocabulary) + 2)
-        p = self.rest[:, before] * self.single[:, ids]
-        if len(self.codes):
-            at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-            p = p + np.where(self.codes[at] == codes, self.pair[:, at], 0.0)
-        return -np.log(p)
-
-
-def train(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS) -> Models:
+    """The two models' probabilities, as arrays; the bigrams are the frequent ones alone."""
+
+    def __init__(self, vocabulary: np.ndarray, unigrams: np.ndarray, contexts: np.ndarray, kept: np.ndarray, codes: np.ndarray, counts: np.ndarray):
+        """unigrams[k, id], contexts[k, id]: counts of words and of words as contexts; kept[k, id]: those before a bigram of the models; counts[k, i] of bigram codes[i]; k: 0 background, 1 target."""
+        self.vocabulary, self.codes, self.width = vocabulary, codes, len(vocabulary) + 2
+        self.single = (unigrams + ADDED) / (unigrams.sum(axis=1, keepdims=True) + ADDED * (self.width - 1))
+        self.total = np.maximum(contexts, 1)
+        self.rest = 1 - BIGRAM_WEIGHT * kept / self.total
+        self.known = self.losses_of(codes, counts)
+
+    def losses_of(self, codes: np.ndarray, counts: np.ndarray | float = 0.0) -> np.ndarray:
+        """losses[k, i]: negative log probabilities of bigrams with these counts."""
+        before, ids = codes // self.width, codes % self.width
+        return -np.log(self.rest[:, before] * self.single[:, ids] + BIGRAM_WEIGHT * counts / self.total[:, before])
+
+    def losses(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(losses[k, word], which bigrams are not frequent); theirs are the unigram model's alone."""
+        if not len(self.codes):
+            return self.losses_of(codes), np.ones(len(codes), bool)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        rare = self.codes[at] != codes
+        out = self.known[:, at]
+        out[:, rare] = self.losses_of(codes[rare])
+        return out, rare
+
+
+def train(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, least: int = LEAST, frequent: int = FREQUENT) -> tuple[Models, DataFrame]:
+    """The models, and (code, background, target) of rare bigrams: what their counts change in the losses."""
     spark = docs.sparkSession
     top = word_counts(docs).orderBy(F.desc("n"), "word").limit(vocabulary).toPandas()
     words = np.sort(top["word"].to_numpy(np.int64))
     width = len(words) + 2
     pairs = durable(bigram_counts(_marked(docs, labels), spark.sparkContext.broadcast(words)))
-    total = pairs.agg(F.sum("n").alias("n")).first()["n"] or 0
-    single, context = np.zeros((2, width - 1)), np.zeros((2, width))
-    for of, into in ((F.col("code") % width, single), (F.floor(F.col("code") / width), context)):
-        for r in pairs.groupBy(of.cast("long").alias("id")).agg(F.sum("n").alias("n"), F.sum("n_target").alias("t")).toPandas().itertuples():
+    sums = pairs.agg(F.sum("n").alias("n"), F.sum("n_target").alias("t")).first()
+    if not sums["t"]:
+        pairs = pairs.withColumn("n_target", F.col("n"))
+    id_, before = F.col("code") % width, F.floor(F.col("code") / width)
+    single, context, mass = np.zeros((2, width - 1)), np.zeros((2, width)), np.zeros((2, width))
+    kept = pairs.filter(F.col("n") >= least)
+    for frame, of, into in ((pairs, id_, single), (pairs, before, context), (kept, before, mass)):
+        for r in frame.groupBy(of.cast("long").alias("id")).agg(F.sum("n").alias("n"), F.sum("n_target").alias("t")).toPandas().itertuples():
             into[:, r.id] = r.n, r.t
-    kept = pairs.filter(F.col("n") >= max(3, -(-total // bigrams))).toPandas().sort_values("code")
-    counts = np.stack([kept["n"].to_numpy(float), kept["n_target"].to_numpy(float)])
-    if not context[1].any():
-        single[1], context[1], counts[1] = single[0], context[0], counts[0]
-    return Models(words, single, context, kept["code"].to_numpy(np.int64), counts)
+    often = max(least, -(-(sums["n"] or 0) // frequent))
+    table = kept.filter(F.col("n") >= often).toPandas().sort_values("code")
+    counts = np.stack([table["n"].to_numpy(float), table["n_target"].to_numpy(float)])
+    models = Models(words, single, context, mass, table["code"].to_numpy(np.int64), counts)
+    shared = spark.sparkContext.broadcast(models)
 
+    def change(batches):
+        for batch in batches:
+            codes = batch["code"].to_numpy(np.int64)
+            d = shared.value.losses_of(codes, batch[["n", "n_target"]].to_numpy(float).T) - shared.value.losses_of(codes)
+            yield pd.DataFrame({"code": codes, "background": d[0], "target": d[1]})
 
-def cross_entropy_difference(docs: DataFrame, models: Models) -> DataFrame:
-    """(doc_id, n_words, target_loss, background_loss, ce_diff) of every document; losses are means over words."""
+    return models, durable(kept.filter(F.col("n") < often).mapInPandas(change, "code long, background double, target double"))
+
+
+def _scored(docs: DataFrame, models: Models) -> DataFrame:
+    """Two kinds of rows: of each document (a negative code, its words and losses), and of each of its bigrams that are not frequent (code, times)."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def rate(batches):
         for batch in batches:
-            n, sums = np.zeros(len(batch)), np.zeros((2, len(batch)))
+            ids = batch["doc_id"]
             for first, hashes, of, size in _blocks(batch["text"].tolist()):
-                losses = shared.value.losses(*_codes(hashes, of, shared.value.vocabulary))
-                n[first : first + size] = np.bincount(of, minlength=size)
-                for k in (0, 1):
-                    sums[k, first : first + size] = np.bincount(of, losses[k], minlength=size)
-            background, target = sums / np.maximum(n, 1)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_words": n.astype(np.int64), "target_loss": target, "background_loss": background, "ce_diff": target - background})
-
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(rate, "doc_id long, n_words long, target_loss double, background_loss double, ce_diff double")
+                codes = _codes(hashes, of, shared.value.vocabulary)
+                losses, rare = shared.value.losses(codes)
+                sums = [np.bincount(of, x, minlength=size) for x in losses]
+                own = ids.iloc[first : first + size]
+                yield pd.DataFrame({"code": -1 - np.arange(first, first + size), "doc_id": own, "rows": 1, "n": np.bincount(of, minlength=size), "background": sums[0], "target": sums[1]})
+                # Bigrams of one document follow each other, so times are runs of one code.
+                of, codes = of[rare], codes[rare]
+                order = np.lexsort((of, codes))
+                of, codes = of[order], codes[order]
+                starts = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(codes, prepend=-1) != 0))
+                yield pd.DataFrame({"code": codes[starts], "doc_id": own.iloc[of[starts]].to_numpy(), "rows": 0, "n": np.diff(np.append(starts, len(of))), "background": 0.0, "target": 0.0})
+
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(rate, "code long, doc_id long, rows int, n int, background double, target double")
+
+
+def cross_entropy_difference(docs: DataFrame, models: Models, rare: DataFrame) -> DataFrame:
+    """(doc_id, n_words, target_loss, background_loss, ce_diff) of every document; losses are means over words."""
+    changes = rare.select("code", F.col("background").alias("b"), F.col("target").alias("t")).hint("shuffle_hash")
+    met = _scored(docs, models).join(changes, "code", "left").filter((F.col("rows") > 0) | F.col("b").isNotNull())
+    own = F.col("rows") > 0
+    loss = lambda base, change: F.when(own, F.col(base)).otherwise(F.col("n") * F.col(change))
+    parts = met.select("doc_id", "rows", F.when(own, F.col("n")).otherwise(0).alias("n"), loss("background", "b").alias("b"), loss("target", "t").alias("t"))
+    sums = parts.groupBy("doc_id").agg(F.sum("rows").alias("rows"), F.sum("n").alias("n_words"), F.sum("b").alias("b"), F.sum("t").alias("t"))
+    mean = lambda c: F.col(c) / F.greatest("n_words", F.lit(1))
+    each = sums.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    return each.select("doc_id", "n_words", mean("t").alias("target_loss"), mean("b").alias("background_loss"), (mean("t") - mean("b")).alias("ce_diff"))

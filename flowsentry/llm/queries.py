@@ -47,7 +47,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return lm_score.cross_entropy_difference(docs, lm_score.train(docs, table(spark, sf_dir, "labels")))
+    return lm_score.cross_entropy_difference(docs, *lm_score.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:

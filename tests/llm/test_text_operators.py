@@ -364,45 +364,42 @@ def test_mixed_rows_hold_the_words_taken(docs, odd, none):
 # LM scores
 
 
-def test_lm_models_are_distributions_and_match_brute_force(spark, docs, labels):
-    models = lm_score.train(docs, labels, vocabulary=50, bigrams=500)
+@pytest.mark.parametrize("frequent", [1, 500, 10**6])
+def test_lm_models_are_distributions_and_match_brute_force(spark, docs, labels, frequent):
+    models, rare = lm_score.train(docs, labels, vocabulary=50, least=3, frequent=frequent)
     width = len(models.vocabulary) + 2
-    for before in (0, 3, width - 1):
-        ids = np.arange(width - 1)
-        total = np.exp(-models.losses(before * width + ids, ids)).sum(axis=1)
-        assert np.allclose(total, 1, atol=1e-6)
     good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1 and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
     rows = docs.collect()
     ids = {r["doc_id"]: lm_score.word_ids(np.concatenate([h for _, h, _, _ in lm_score._blocks([r["text"] or ""])] or [np.empty(0, np.int64)]), models.vocabulary).tolist() for r in rows}
-    for k, chosen in ((0, set(ids)), (1, good)):
-        pairs, context, single = Counter(), Counter(), Counter()
-        for d in chosen & set(ids):
-            for a, b in zip([width - 1, *ids[d]], ids[d], strict=False):
-                pairs[a, b] += 1
-                context[a] += 1
-                single[b] += 1
-        kept = {(c // width, c % width) for c in models.codes.tolist()}
-        mass = Counter()
+    got = {r["doc_id"]: r for r in lm_score.cross_entropy_difference(docs, models, rare).collect()}
+    assert len(got) == len(rows)
+    bigrams = {d: list(zip([width - 1, *ids[d]], ids[d], strict=False)) for d in ids}
+    everywhere = Counter(x for d in ids for x in bigrams[d])
+    kept = {x for x, n in everywhere.items() if n >= 3}
+    for k, chosen in ((0, set(ids)), (1, good & set(ids))):
+        pairs = Counter(x for d in chosen for x in bigrams[d])
+        context, single, mass = Counter(), Counter(), Counter()
         for (a, b), n in pairs.items():
-            if (a, b) in kept:
-                mass[a] += n
+            context[a] += n
+            single[b] += n
+            mass[a] += n if (a, b) in kept else 0
         n_all = sum(single.values())
-        d = rows[0]["doc_id"]
-        loss = []
-        for a, b in zip([width - 1, *ids[d]], ids[d], strict=False):
+
+        def p(a, b, pairs=pairs, context=context, single=single, mass=mass, n_all=n_all):
             total = max(context[a], 1)
-            p = (1 - lm_score.BIGRAM_WEIGHT * mass[a] / total) * (single[b] + lm_score.ADDED) / (n_all + lm_score.ADDED * (width - 1)) + (lm_score.BIGRAM_WEIGHT * pairs[a, b] / total if (a, b) in kept else 0)
-            loss.append(-np.log(p))
-        got = {r["doc_id"]: r for r in lm_score.cross_entropy_difference(docs, models).collect()}[d]
-        assert abs(got["target_loss" if k else "background_loss"] - np.mean(loss)) < 1e-9
+            return (1 - lm_score.BIGRAM_WEIGHT * mass[a] / total) * (single[b] + lm_score.ADDED) / (n_all + lm_score.ADDED * (width - 1)) + (lm_score.BIGRAM_WEIGHT * pairs[a, b] / total if (a, b) in kept else 0)
+
+        for a in (0, 3, width - 1):
+            assert abs(sum(p(a, b) for b in range(width - 1)) - 1) < 1e-9
+        for d in ids:
+            want = np.mean([-np.log(p(a, b)) for a, b in bigrams[d]]) if ids[d] else 0.0
+            assert abs(got[d]["target_loss" if k else "background_loss"] - want) < 1e-9
 
 
 def test_lm_odd_rows(odd, none, labels):
-    models = lm_score.train(odd, labels.limit(0))
-    got = lm_score.cross_entropy_difference(odd, models).collect()
+    got = lm_score.cross_entropy_difference(odd, *lm_score.train(odd, labels.limit(0))).collect()
     assert len(got) == odd.count() and all(r["ce_diff"] == 0 for r in got)
-    empty = lm_score.train(none, labels)
-    assert lm_score.cross_entropy_difference(odd, empty).count() == odd.count()
+    assert lm_score.cross_entropy_difference(odd, *lm_score.train(none, labels)).count() == odd.count()
 
 
 # media
