@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsentry.llm.common import durable, text_or_empty
+from flowsentry.llm.common import checked_broadcast, durable, text_or_empty
 from flowsentry.llm.ngram_join import BLOCK_BYTES, word_hashes
 
 #: Words of the models, the least count of their bigrams, and the most bigrams that are broadcast.
@@ -57,7 +57,7 @@ def _block(block: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
 def _marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, target): whether a document trains the target model."""
     good = labels.filter((F.col("quality") == 1) & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1)).select("doc_id", F.lit(1).alias("target")).distinct()
-    return docs.select("doc_id", text_or_empty().alias("text")).join(good, "doc_id", "left").select("text", F.coalesce("target", F.lit(0)).alias("target"))
+    return docs.select("doc_id", text_or_empty().alias("text")).join(checked_broadcast(good), "doc_id", "left").select("text", F.coalesce("target", F.lit(0)).alias("target"))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
