@@ -6,7 +6,8 @@ A document's set holds its distinct 4-word shingles (64-bit hashes); two documen
 * a global order puts rare shingles first: frequent ones come from counts over all documents, ties by hash;
 * prefix filter: sets that link share a shingle among the first n - ceil(0.85 n) + 1 of each;
 * length filter (sizes within 0.85), positional filter (what is left after the shared shingle can still reach the
-  required overlap), suffix filter (overlap bounded by the sizes of CLASSES hash classes of both sets);
+  required overlap), suffix filter (overlap bounded by the sizes of CLASSES hash classes of both sets, and in the last
+  round, inside the join, by the parities of SIGNATURE_BITS hash classes: as many elements differ as parities do);
 * pairs are made distinct and verified once, on whole sets.
 
 Only the components are asked for, so pairs inside one component need no second proof. A first round pairs, in each
@@ -37,6 +38,9 @@ WORDS, PERCENT = 4, 85
 BLOCK_BYTES, FREQUENT_ENTRIES = 1 << 20, 500_000
 #: Hash classes of the suffix filter; sets that a mixed bucket draws in a round, and rounds of draws.
 CLASSES, DRAWS, DRAW_ROUNDS = 256, 6, 2
+#: Hash classes whose parities make a set's signature, as longs of 64.
+SIGNATURE_BITS = 256
+SIGNATURE = [f"s{i}" for i in range(SIGNATURE_BITS // 64)]
 #: A shingle counts as locally frequent when so many documents of one batch hold it.
 LOCAL_COUNT = 2
 
@@ -126,6 +130,12 @@ def set_key(found: np.ndarray) -> int:
     return int(_mix(total * _POWERS[4] + other).view(np.int64)[0])
 
 
+def signature(found: np.ndarray) -> np.ndarray:
+    """The parities of the set's SIGNATURE_BITS hash classes, as int64."""
+    odd = np.bincount((found.view(np.uint64) >> np.uint64(32)).astype(np.int64) % SIGNATURE_BITS, minlength=SIGNATURE_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def needed(n: int, percent: int = PERCENT) -> int:
     """The least overlap of a set of n with any set that links."""
     return -(-percent * n // 100)
@@ -140,19 +150,20 @@ def rare_first(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> n
 
 
 def _summaries(docs: DataFrame, words: int) -> DataFrame:
-    """Two kinds of rows: of each document (doc_id, n, key), and of each batch's frequent shingles (h, count)."""
+    """Two kinds of rows: of each document (doc_id, n, key, signature), and of each batch's frequent shingles (h, count)."""
 
     def scan(batches):
         for batch in batches:
             sets = shingle_sets(batch["text"].tolist(), words)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [len(s) for s in sets], "key": [set_key(s) for s in sets], "h": 0, "count": 0})
+            signed = np.array([signature(s) for s in sets], np.int64).reshape(-1, len(SIGNATURE))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [len(s) for s in sets], "key": [set_key(s) for s in sets], "h": 0, "count": 0} | {c: signed[:, i] for i, c in enumerate(SIGNATURE)})
             if sets:
                 h, c = np.unique(np.concatenate(sets), return_counts=True)
                 often = c >= LOCAL_COUNT
                 h, c = h[often], c[often]
-                yield pd.DataFrame({"doc_id": 0, "n": -1, "key": 0, "h": h, "count": c})
+                yield pd.DataFrame({"doc_id": 0, "n": -1, "key": 0, "h": h, "count": c} | dict.fromkeys(SIGNATURE, 0))
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(scan, "doc_id long, n long, key long, h long, count long")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(scan, "doc_id long, n long, key long, h long, count long, " + ", ".join(f"{c} long" for c in SIGNATURE))
 
 
 def _frequent(summaries: DataFrame, entries: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,6 +238,13 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & _reaches(rest, na, nb, percent)
 
 
+def _signatures_allow(a: str, b: str, percent: int) -> Column:
+    """The suffix filter on signatures: elements that differ leave an overlap of at most half of what remains."""
+    na, nb = F.col(f"{a}.n").cast("long"), F.col(f"{b}.n").cast("long")
+    differ = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in SIGNATURE), F.lit(0)).cast("long")
+    return (100 + percent) * (na + nb - differ) >= 2 * percent * (na + nb)
+
+
 def _both(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     """pairs (a, b) with the values of both keys, as {column}_a and {column}_b."""
     for x in "ab":
@@ -298,7 +316,9 @@ def near_duplicate_components(docs: DataFrame, words: int = WORDS, percent: int
         links = durable(links.unionByName(_verified(more, docs, firsts, words, percent)))
         tested = tested.unionByName(more)
         mixed = _still_mixed(mixed.drop("label", "top").withColumn("band", F.lit(0)), components(links))
-    across = mixed.filter("label <> top").alias("x").join(mixed.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.top")) | (F.col("x.key") < F.col("y.key"))))
+    signatures = summaries.filter("n > 0").groupBy("key").agg(*[F.min(c).alias(c) for c in SIGNATURE])
+    signed = durable(mixed.join(signatures, "key"))
+    across = signed.filter("label <> top").alias("x").join(signed.alias("y"), _signatures_allow("x", "y", percent) & (F.col("x.h") == F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.top")) | (F.col("x.key") < F.col("y.key"))))
     links = durable(links.unionByName(_verified(_pairs(across, percent, tested), docs, firsts, words, percent)))
 
     final = components(links)

@@ -203,6 +203,17 @@ def test_ngram_join_matches_brute_force(spark, docs, words, percent):
     assert got == brute_components(rows, words, percent)
 
 
+def test_signatures_never_differ_more_than_their_sets():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(-(2**63), 2**63, 3000)
+    for size in (1, 40, 400, 2000):
+        for _ in range(20):
+            x, y = (np.unique(rng.choice(pool, size)) for _ in "xy")
+            parities = np.bitwise_xor(ngram_join.signature(x), ngram_join.signature(y)).view(np.uint8)
+            assert np.unpackbits(parities).sum() <= len(np.setxor1d(x, y))
+    assert not ngram_join.signature(np.empty(0, np.int64)).any()
+
+
 def test_ngram_join_empty_and_one_of_each(odd, none):
     assert ngram_join.near_duplicate_components(none).count() == 0
     kept = ngram_join.one_of_each(odd)
