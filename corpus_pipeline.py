@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read as the next one's
 docs. Labels are read from sf_dir. Not every stage has a form in SQL, so there is no oracle; the tests hold
-the stages' operators against brute-force versions one by one.
+every stage against a brute-force version, each on what its predecessor kept.
 """
 
 from __future__ import annotations
