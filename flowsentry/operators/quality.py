@@ -104,3 +104,35 @@ def integrity(flows: DataFrame) -> DataFrame:
     checks = [F.when(F.col("n") >= 50, "pass").otherwise("fail"), F.when(F.col("nulls") <= 0.05, "pass").otherwise("warn"), F.when(F.col("protocols") >= 2, "pass").otherwise("warn"), F.when(F.col("destinations") >= 2, "pass").otherwise("warn"), F.when(F.col("zero") <= 0.8, "pass").otherwise("warn")]
     rows = facts.select(F.explode(F.array(*checks)).alias("outcome")).agg(*[F.sum(F.when(F.col("outcome") == x, 1).otherwise(0)).alias(x) for x in ("pass", "warn", "fail")], F.count(F.lit(1)).alias("total"))
     return rows.select("pass", "warn", "fail", F.floor((F.col("pass") * 10 + F.col("warn") * 5) * 1.0 / F.col("total") + 0.5).cast("long").alias("score"), F.when(F.col("fail") > 0, "fail").when(F.col("warn") > 2, "warn").otherwise("pass").alias("status"))
+
+
+def readiness(flows: DataFrame, windows: DataFrame, days: int = 3, records: int = 10_000, least_windows: int = 5_000, gap_hours: int = 6) -> DataFrame:
+    """Whether the data suffice for training, one row: the facts, the share of six scores, a verdict and the days still needed.
+
+    Days, records and windows score 1 or 0 and are needed for any training; gaps of more than gap_hours score 1 (none),
+    0.5 (up to 3) or 0; a column with over 10 % nulls, or 1 % or more repeated rows, costs half a point. Without rows
+    the days still needed are unknown (null).
+    """
+    facts = {
+        "days": flows.agg(F.count_distinct(F.floor(F.col("ts_us") / 86_400_000_000)).alias("value")),
+        "records": flows.agg(F.count(F.lit(1)).alias("value")),
+        "windows": windows.agg(F.count(F.lit(1)).alias("value")),
+        "gaps": time_gaps(flows, gap_hours * 60).agg(F.count(F.lit(1)).alias("value")),
+        "sparse_columns": null_shares(flows).agg(F.count_if(F.col("null_percent") > 10).alias("value")),
+        "repeats": flows.groupBy(*REQUIRED).agg((F.count(F.lit(1)) - 1).alias("more")).agg(F.coalesce(F.sum("more"), F.lit(0)).alias("value")),
+    }
+    rows = [frame.select(F.lit(name).alias("fact"), F.col("value").cast("long").alias("value")) for name, frame in facts.items()]
+    named = rows[0]
+    for row in rows[1:]:
+        named = named.unionByName(row)
+    one = named.agg(*[F.max(F.when(F.col("fact") == name, F.col("value"))).alias(name) for name in facts])
+    return one.selectExpr("*", *readiness_rules(days, records, least_windows))
+
+
+def readiness_rules(days: int, records: int, least_windows: int) -> list[str]:
+    """share, verdict and more_days as SQL over the facts."""
+    enough = f"days >= {days} AND records >= {records} AND windows >= {least_windows}"
+    step = lambda test, good, other: f"CASE WHEN {test} THEN {good} ELSE {other} END"
+    scores = [step(f"days >= {days}", "1e0", "0e0"), step(f"records >= {records}", "1e0", "0e0"), step(f"windows >= {least_windows}", "1e0", "0e0"), step("gaps = 0", "1e0", step("gaps <= 3", "5e-1", "0e0")), step("sparse_columns = 0", "1e0", "5e-1"), step("repeats * 1e2 < records", "1e0", "5e-1")]
+    share = rounded(f"({' + '.join(scores)}) / 6e0", 4)
+    return [f"{share} AS share", f"CASE WHEN NOT ({enough}) THEN 'not ready' WHEN {share} >= 75e-2 THEN 'ready' ELSE 'improve' END AS verdict", f"CASE WHEN records > 0 THEN CAST(greatest({days} - days, ceil(greatest({records} - records, 0) * 1e0 * days / records), 0) AS BIGINT) END AS more_days"]

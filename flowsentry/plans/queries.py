@@ -405,11 +405,23 @@ def quality_grade(spark, d):
     return quality.grade(flows(spark, d))
 
 
-@query(f"{_FLOWS} SELECT CAST(5 AS BIGINT) AS pass, CAST(0 AS BIGINT) AS warn, CAST(0 AS BIGINT) AS fail, CAST(10 AS BIGINT) AS score, 'pass' AS status FROM (SELECT count(*) AS n, count(DISTINCT proto) AS p FROM f) x WHERE n >= 50 AND p >= 2")
+_OUTCOMES = {"n >= 50": "fail", "nulls <= 0.05": "warn", "protocols >= 2": "warn", "destinations >= 2": "warn", "zero <= 0.8": "warn"}
+_CHECKS = " UNION ALL ".join(f"SELECT CASE WHEN {test} THEN 'pass' ELSE '{other}' END AS outcome FROM x" for test, other in _OUTCOMES.items())
+
+
+@query(f"{_FLOWS}, x AS (SELECT count(*) AS n, count(DISTINCT proto) AS protocols, count(DISTINCT dst_ip) AS destinations, avg(CASE WHEN orig_bytes + resp_bytes = 0 THEN 1e0 ELSE 0e0 END) AS zero, avg(CASE WHEN src_ip IS NULL OR dst_ip IS NULL OR ts_us IS NULL THEN 1e0 ELSE 0e0 END) AS nulls FROM f), c AS ({_CHECKS}), y AS (SELECT count(*) FILTER (WHERE outcome = 'pass') AS pass, count(*) FILTER (WHERE outcome = 'warn') AS warn, count(*) FILTER (WHERE outcome = 'fail') AS fail, count(*) AS total FROM c) SELECT pass, warn, fail, CAST(floor((pass * 10 + warn * 5) * 1e0 / total + 5e-1) AS BIGINT) AS score, CASE WHEN fail > 0 THEN 'fail' WHEN warn > 2 THEN 'warn' ELSE 'pass' END AS status FROM y")
 def quality_integrity(spark, d):
     return quality.integrity(flows(spark, d))
 
 
+_SPARSE = " + ".join(f"CASE WHEN (SELECT avg(CASE WHEN {c} IS NULL THEN 1e0 ELSE 0e0 END) FROM f) > 0.1 THEN 1 ELSE 0 END" for c in quality.REQUIRED)
+
+
+@query(f"WITH {o.WINDOWS}, f AS (SELECT *, {_PROTO} AS proto FROM flows), g AS (SELECT ts_us - lag(ts_us) OVER (ORDER BY ts_us) AS gap FROM flows), r AS (SELECT count(*) - 1 AS more FROM f GROUP BY {', '.join(quality.REQUIRED)}), x AS (SELECT (SELECT count(DISTINCT ts_us // 86400000000) FROM flows) AS days, (SELECT count(*) FROM flows) AS records, (SELECT count(*) FROM windows) AS windows, (SELECT count(*) FROM g WHERE gap > 21600000000) AS gaps, CAST({_SPARSE} AS BIGINT) AS sparse_columns, CAST((SELECT coalesce(sum(more), 0) FROM r) AS BIGINT) AS repeats) SELECT *, {', '.join(quality.readiness_rules(3, 10_000, 5_000))} FROM x")
+def quality_readiness(spark, d):
+    return quality.readiness(flows(spark, d), windows.window_features(flows(spark, d)))
+
+
 # Audits
 
 _AUDIT = f"WITH {o.RISK_ROWS}, days AS (SELECT *, {audit.LABEL} AS label FROM (SELECT ts_us // 86400000000 AS day, count(*) AS windows, count(DISTINCT src_ip) AS sources, max(risk_score) AS max_risk, {rounded('(max(ts_us) - min(ts_us)) / 36e8', 4)} AS hours, {', '.join(f'CAST(sum(CASE WHEN {c} THEN 1 ELSE 0 END) AS BIGINT) AS {n}' for n, c in audit.COUNTS.items())} FROM risk GROUP BY 1) x)"
