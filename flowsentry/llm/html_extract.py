@@ -5,15 +5,16 @@ and text blocks under their path. Over a host's pages each token has an occurren
 tokens with equal vectors form an equivalence class. A vector is kept as an order-free digest of (page, count), so
 classes come from one aggregation that combines in each task, and a host with a third of all pages is no hot spot.
 Only tokens on at least half of a host's pages can belong to its template, so a host's template is bounded by twice its
-mean page. Classes are valid if their tokens occur once a page in one order; valid classes nest by their paths into the
-host's skeleton, whose gaps are the slots. Text in template classes is chrome. Slots are then told apart: by the roles
-of the elements around them, else by the host's text and link shares.
+mean page. A second pass tests the classes: one is valid if its tokens come in one order on all pages, in equal rounds,
+and if no round of it crosses one of a weightier class. The valid classes' elements are the host's skeleton, whose gaps
+are the slots; valid classes' texts are chrome. Slots are then told apart over all pages of the host: by the articles'
+text in them, else by their share of links. A slot's size is no reason to drop it.
 
 The page's text: blocks in the article's slots, without menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments; references decoded, white space folded, blocks joined by one blank.
 
 Edge cases: null or empty html gives an empty text; pages of hosts with too few pages for a template (and null urls) are
-judged by roles and their own text alone; repeated rows give repeated results; unclosed, stray and unknown tags are read
+judged by roles and their own text alone, and so are pages without a block in the content slots; repeated rows give repeated results; unclosed, stray and unknown tags are read
 as browsers read them; nothing is cut.
 """
 
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from flowsentry.llm.common import checked_broadcast, durable
 
-#: Pages a host needs for a template, the share of them a template token is on, and the share of the largest slot's text from which a slot counts.
-LEAST_PAGES, SHARE, SLOT_SHARE, LINK_SHARE = 4, 0.5, 0.3, 0.5
+#: Pages a host needs for a template, the share of them a template token is on, and the share of linked text from which a slot is none of content.
+LEAST_PAGES, SHARE, LINK_SHARE = 4, 0.5, 0.5
 
 # Element names by what a browser does with them, and words in class, id and role names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -167,7 +168,13 @@ def text_key(path: str, text: str) -> int:
     return _signed(xxhash.xxh64_intdigest(f"{path}\n{text}"))
 
 
-TOKEN_SCHEMA = "host string, kind string, token string, pages long, total long, vector long, place double, chars long, linked long"
+TOKEN_SCHEMA = "host string, kind string, token string, pages long, total long, vector long, chars long, linked long, article long"
+ORDER_SCHEMA = "host string, class long, other long, low long, high long"
+
+
+def _page_tokens(found: list[Block]) -> list[tuple[str, str]]:
+    """The page's (kind, token) in order: each block's element path, then its text under that path."""
+    return [t for b in found for t in (("p", b.path), ("x", str(text_key(b.path, b.text))))]
 
 
 def _tokens(pages: DataFrame) -> DataFrame:
@@ -183,43 +190,107 @@ def _tokens(pages: DataFrame) -> DataFrame:
                     continue
                 found = blocks(html if isinstance(html, str) else "")
                 mine: dict[tuple[str, str], list] = {("h", ""): [1, 0, 0, 0]}
-                for i, b in enumerate(found):
-                    for kind, token in (("p", b.path), ("x", str(text_key(b.path, b.text)))):
-                        x = mine.setdefault((kind, token), [0, i, 0, 0])
-                        x[0] += 1
-                        if kind == "p" and not b.chrome:
-                            x[2] += len(b.text)
-                            x[3] += b.linked
-                for (kind, token), (n, place, chars, linked) in mine.items():
-                    x = sums.setdefault((host, kind, token), [0, 0, 0, 0.0, 0, 0])
+                for i, token in enumerate(_page_tokens(found)):
+                    b, x = found[i // 2], mine.setdefault(token, [0, 0, 0, 0])
                     x[0] += 1
-                    x[1] += n
+                    if token[0] == "p" and not b.chrome:
+                        x[1] += len(b.text)
+                        x[2] += b.linked
+                        x[3] += len(b.text) * b.article
+                for (kind, token), (n, *sizes) in mine.items():
+                    x = sums.setdefault((host, kind, token), [0, 0, 0, 0, 0, 0])
                     x[2] ^= xxhash.xxh64_intdigest(f"{page}:{n}")
-                    x[3] += place / len(found) if found else 0.0
-                    x[4] += chars
-                    x[5] += linked
-            yield pd.DataFrame([(*k, p, t, _signed(v), q, c, u) for k, (p, t, v, q, c, u) in sums.items()], columns=names)
+                    for i, v in ((0, 1), (1, n), *enumerate(sizes, 3)):
+                        x[i] += v
+            yield pd.DataFrame([(*k, p, t, _signed(v), *sizes) for k, (p, t, v, *sizes) in sums.items()], columns=names)
 
     return pages.select("page_id", "url", "html").mapInPandas(count, TOKEN_SCHEMA)
 
 
-def deduce(tokens: pd.DataFrame, n_pages: int) -> dict:
-    """The template of one host from its frequent tokens: {skeleton: paths, texts: keys, slots: paths of content slots}."""
-    skeleton, texts = set(), set()
-    for (pages, total, _), group in tokens.groupby(["pages", "total", "vector"]):
-        # Valid: once a page; the tokens of a class then keep their order, and paths nest them.
-        if total == pages:
-            skeleton |= set(group.loc[group["kind"] == "p", "token"])
-        texts |= set(group.loc[group["kind"] == "x", "token"])
-    steps = {p for path in skeleton for p in _prefixes(path)}
-    sizes: dict[str, list[int]] = {}
-    for row in tokens[tokens["kind"] == "p"].itertuples():
-        x = sizes.setdefault(slot_of(row.token, steps), [0, 0])
-        x[0] += row.chars
-        x[1] += row.linked
-    most = max((c - u for c, u in sizes.values()), default=0)
-    slots = [p for p, (c, u) in sizes.items() if c and u < LINK_SHARE * c and c - u >= SLOT_SHARE * most]
-    return {"steps": sorted(steps), "texts": sorted(texts), "slots": sorted(slots)}
+def orders(found: list[Block], classes: dict[str, int]) -> tuple[dict[int, tuple[int, ...]], set[tuple[int, int]]]:
+    """(order of each class on a page, pairs of classes whose spans cross); classes: class by kind and token.
+
+    The order is that of one round if the tokens come in equal rounds, else all of them, which differs from every round
+    of a valid class. A span is a round of a class, from its first token to its last."""
+    at: dict[int, list[tuple[int, str]]] = {}
+    for i, (kind, token) in enumerate(_page_tokens(found)):
+        c = classes.get(kind + token)
+        if c is not None:
+            at.setdefault(c, []).append((i, token))
+    order, spans = {}, []
+    for c, places in at.items():
+        tokens = [t for _, t in places]
+        size = len(set(tokens))
+        cyclic = tokens == tokens[:size] * (len(tokens) // size)
+        order[c] = _signed(xxhash.xxh64_intdigest("\n".join(tokens[:size] if cyclic else [*tokens, ""])))
+        if cyclic and size > 1:
+            spans += [(places[i][0], places[i + size - 1][0], c) for i in range(0, len(places), size)]
+    crossing, around = set(), []
+    for first, last, c in sorted(spans):
+        around = [x for x in around if x[0] >= first]
+        crossing |= {(min(c, o), max(c, o)) for end, o in around if end < last and o != c}
+        around.append((last, c))
+    return order, crossing
+
+
+def _orders(pages: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Partial sums of each batch of the order and nesting tests: (host, class, -1, least and greatest order), and (host, class, other, 0, 0) of crossing classes."""
+    names = [x.split()[0] for x in ORDER_SCHEMA.split(", ")]
+    rows = pages.select("html", host_column().alias("host")).join(checked_broadcast(candidates, 20_000), "host")
+
+    def test(batches):
+        known: dict[str, dict] = {}
+        for batch in batches:
+            seen: dict[tuple, list] = {}
+            for host, html, packed in zip(batch["host"], batch["html"], batch["classes"], strict=True):
+                if host not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    known[host] = dict(x.rsplit("\n", 1) for x in packed)
+                    known[host] = {k: int(v) for k, v in known[host].items()}
+                order, crossing = orders(blocks(html if isinstance(html, str) else ""), known[host])
+                for c, v in order.items():
+                    x = seen.setdefault((host, c, -1), [v, v])
+                    x[:] = min(x[0], v), max(x[1], v)
+                for c, other in crossing:
+                    seen[host, c, other] = [0, 0]
+            yield pd.DataFrame([(*k, *v) for k, v in seen.items()], columns=names)
+
+    found = rows.mapInPandas(test, ORDER_SCHEMA)
+    return found.groupBy("host", "class", "other").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def valid_classes(tokens: pd.DataFrame, tests: pd.DataFrame) -> set[int]:
+    """Classes whose tokens keep one order on all pages and whose spans never cross those of a class on more pages or with more tokens."""
+    order = tests[tests["other"] == -1]
+    valid = set(order.loc[order["low"] == order["high"], "class"])
+    weight = {c: (group["pages"].iloc[0], len(group), c) for c, group in tokens.groupby("class")}
+    rivals: dict[int, list[int]] = {}
+    for a, b in tests.loc[tests["other"] != -1, ["class", "other"]].itertuples(index=False):
+        rivals.setdefault(a, []).append(b)
+        rivals.setdefault(b, []).append(a)
+    kept: set[int] = set()
+    for c in sorted(valid, key=weight.get, reverse=True):
+        if not any(o in kept for o in rivals.get(c, ())):
+            kept.add(c)
+    return kept
+
+
+def deduce(tokens: pd.DataFrame, tests: pd.DataFrame) -> dict:
+    """The template of one host from its frequent tokens: {steps: the skeleton's paths, texts: keys, slots: content slots}.
+
+    A slot is content if articles' text is in it; on hosts without any, if most of its text is not linked. Skeleton
+    elements without frequent text of their own are listed with a question mark: their blocks go by their pages' roles."""
+    tokens = tokens[tokens["class"].isin(valid_classes(tokens, tests))]
+    paths = tokens[tokens["kind"] == "p"]
+    steps = {p for path in paths["token"] for p in _prefixes(path)}
+    rows = list(paths.itertuples())
+    if any(r.article for r in rows):
+        slots = {r.token for r in rows if r.article}
+    else:
+        slots = {r.token for r in rows if r.linked < LINK_SHARE * r.chars}
+    open_ = {"?" + p for p in (steps | {""}) - set(paths["token"])}
+    return {"steps": sorted(steps), "texts": sorted(set(tokens.loc[tokens["kind"] == "x", "token"])), "slots": sorted(slots | open_)}
 
 
 def _prefixes(path: str) -> list[str]:
@@ -234,38 +305,48 @@ def slot_of(path: str, steps: set[str]) -> str:
     return path
 
 
+def host_column():
+    return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template) for every host with enough pages; template is JSON."""
-    sums = _tokens(pages).groupBy("host", "kind", "token").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.bit_xor("vector").alias("vector"), F.sum("place").alias("place"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    sums = _tokens(pages).groupBy("host", "kind", "token").agg(F.bit_xor("vector").alias("vector"), *[F.sum(c).alias(c) for c in ("pages", "total", "chars", "linked", "article")])
     sums = durable(sums.filter(F.col("pages") >= 2))
     hosts = sums.filter((F.col("kind") == "h") & (F.col("pages") >= LEAST_PAGES)).select("host", F.col("pages").alias("n_pages"))
     frequent = sums.filter("kind <> 'h'").join(hosts, "host").filter(F.col("pages") >= F.greatest(F.lit(LEAST_PAGES), F.col("n_pages") * SHARE))
+    frequent = durable(frequent.withColumn("class", F.xxhash64("pages", "total", "vector")))
+    candidates = durable(frequent.groupBy("host").agg(F.collect_list(F.concat("kind", "token", F.lit("\n"), F.col("class").cast("string"))).alias("classes")))
 
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["kind", "token"])
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "template": [json.dumps(deduce(group, int(group["n_pages"].iloc[0])))]})
+    def build(key: tuple, group: pd.DataFrame, tests: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [key[0]], "template": [json.dumps(deduce(group.sort_values(["kind", "token"]), tests))]})
 
-    return frequent.groupBy("host").applyInPandas(build, "host string, template string")
+    return frequent.groupBy("host").cogroup(_orders(pages, candidates).groupBy("host")).applyInPandas(build, "host string, template string")
 
 
 def main_text(html: str, template: dict | None) -> str:
     """The page's main text; template as read from ``templates`` with sets for lists, or None."""
     found = [b for b in blocks(html) if not b.chrome]
     inside = [b for b in found if b.article]
-    if inside:
-        return " ".join(b.text for b in inside)
-    found = [b for b in found if 2 * b.linked < len(b.text)]
     if template:
-        fresh = [b for b in found if str(text_key(b.path, b.text)) not in template["texts"]]
-        slotted = [b for b in fresh if slot_of(b.path, template["steps"]) in template["slots"]]
-        return " ".join(b.text for b in slotted or fresh)
-    return " ".join(b.text for b in found)
+        slotted = [b for b in found if _in_slot(b, template, bool(inside))]
+        fresh = [b for b in slotted if str(text_key(b.path, b.text)) not in template["texts"]]
+        # A page that is mostly template text is a copy of others, not a form.
+        copied = 2 * sum(len(b.text) for b in fresh) < sum(len(b.text) for b in slotted)
+        if slotted:
+            return " ".join(b.text for b in (slotted if copied else fresh))
+    return " ".join(b.text for b in inside or [b for b in found if 2 * b.linked < len(b.text)])
+
+
+def _in_slot(block: Block, template: dict, has_article: bool) -> bool:
+    slot = slot_of(block.path, template["steps"])
+    return slot in template["slots"] or ("?" + slot in template["slots"] and (block.article or not has_article))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     found = durable(templates(pages))
-    rows = pages.select("page_id", "url", "html", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)).alias("host")).join(checked_broadcast(found, 20_000), "host", "left").drop("host")
+    rows = pages.select("page_id", "url", "html", host_column().alias("host")).join(checked_broadcast(found, 20_000), "host", "left").drop("host")
 
     def fill(batches):
         known: dict[str, dict] = {}

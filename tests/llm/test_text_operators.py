@@ -153,6 +153,37 @@ def test_extract_of_given_pages(spark):
         assert r["text"].replace(" ", "") == plain.replace(" ", "") and r["n_chars"] == len(r["text"])
 
 
+def site(spark, pages):
+    rows = [(i, f"http://h.example/{i}", html) for i, html in enumerate(pages)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in html_extract.extract(frame).collect()}
+
+
+def prose(i, n=40):
+    return " ".join(f"w{i}x{j}" for j in range(n))
+
+
+def test_templates_decide_on_pages_with_articles(spark):
+    got = site(spark, [f"<article><h1>t{i}</h1><p>{prose(i)}</p><div class=z><p>Read on with us</p></div></article>" for i in range(8)])
+    assert all(got[i] == f"t{i} {prose(i)}" for i in range(8))
+    # Copies keep their text, and a page that departs from the template goes by its own roles.
+    assert set(site(spark, [f"<article><p>{prose(1)}</p></article>"] * 6).values()) == {prose(1)}
+    assert site(spark, [*[f"<article><p>{prose(i)}</p></article>" for i in range(8)], "<section><p>other form</p></section>"])[8] == "other form"
+
+
+def test_template_classes_pass_an_order_and_a_nesting_test():
+    page = lambda *names: html_extract.blocks("".join(f"<div class={n}>{n}</div>" for n in names))
+    classes = {f"p/div.{n}": c for n, c in (("a", 1), ("b", 1), ("c", 2), ("d", 2))}
+    one, crossing = html_extract.orders(page("a", "c", "d", "b"), classes)
+    assert not crossing and one == html_extract.orders(page("a", "b", "c", "d"), classes)[0] == html_extract.orders(page("a", "b", "a", "b", "c", "d"), classes)[0]
+    other, crossing = html_extract.orders(page("b", "c", "a", "d"), classes)
+    assert crossing == {(1, 2)} and other[1] != one[1] and other[2] == one[2]
+    assert html_extract.orders(page("a", "b", "b", "a"), classes)[0][1] not in (one[1], other[1])
+    tokens = html_extract.pd.DataFrame({"class": [1, 1, 2, 2, 3], "pages": [9, 9, 5, 5, 9]})
+    tests = html_extract.pd.DataFrame([(1, -1, 7, 7), (2, -1, 7, 7), (3, -1, 6, 7), (1, 2, 0, 0)], columns=["class", "other", "low", "high"])
+    assert html_extract.valid_classes(tokens, tests) == {1}
+
+
 # n-gram join
 
 
