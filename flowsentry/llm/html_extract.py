@@ -45,8 +45,12 @@ CHROME_WORDS = frozenset("ad ads advert adverts advertisement advertising adsbyg
 ARTICLE_WORDS = frozenset("article post entry story articlebody postbody entrycontent postcontent main maincontent".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)>""", re.S)
-_NAMES = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_HIDDEN = re.compile(r"""(?i)\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""")
+#: Words beside chrome words in the class names of chrome ("cookie-box"), and last words that make any name one of chrome ("post-comments").
+PLAIN_WORDS = frozenset("area bar block bottom box button buttons container global inner item items left link links list outer page primary right secondary section site top wrap wrapper".split())
+CHROME_ENDS = frozenset("ads adverts advertisement advertising breadcrumb breadcrumbs comments commentlist disqus menu menubar nav navbar navigation newsletter pagination pager sidebar sidebars".split())
+
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_INVISIBLE = re.compile(r"(?i)\bdisplay\s*:\s*none")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -57,18 +61,29 @@ class Block:
         self.path, self.chrome, self.article, self.text, self.linked = path, chrome, article, text, linked
 
 
+def is_chrome_name(name: str, in_article: bool) -> bool:
+    """Whether a whole class, id or role name is one of chrome: a chrome word, chrome words among plain ones, or any name with an unmistakable last word."""
+    parts = [w.lower() for w in _PART.findall(name)]
+    if in_article and parts == ["header"]:
+        return False
+    if name.lower() in CHROME_WORDS or (parts and parts[-1] in CHROME_ENDS):
+        return True
+    return any(w in CHROME_WORDS for w in parts) and all(w in CHROME_WORDS or w in PLAIN_WORDS for w in parts)
+
+
 def _role(tag: str, attributes: str, in_article: bool) -> tuple[str, bool, bool]:
     """(step of the path, is chrome, is an article) of an element."""
     step, chrome, article = tag, tag in CHROME or (tag == "header" and not in_article), tag in ("article", "main")
     if attributes:
-        names = {k.lower(): (a or b or c) for k, a, b, c in _NAMES.findall(attributes)}
-        if names:
-            words = {w.lower() for v in names.values() for w in _PART.findall(v)} | {w.lower() for v in names.values() for w in v.split()}
-            chrome |= tag not in ("html", "body") and bool(words & CHROME_WORDS)
-            article |= tag not in ("html", "body") and not chrome and bool(words & ARTICLE_WORDS)
-            if "class" in names:
-                step = f"{tag}.{'.'.join(names['class'].split())}"
-        chrome |= tag not in ("html", "body") and bool(_HIDDEN.search(attributes))
+        values = {k.lower(): a or b or c for k, a, b, c in reversed(_ATTRIBUTE.findall(attributes))}
+        names = [w for k in ("class", "id", "role") for w in values.get(k, "").split()]
+        if names and tag not in ("html", "body"):
+            chrome |= not article and any(is_chrome_name(w, in_article) for w in names)
+            article |= not chrome and any(w in ARTICLE_WORDS for n in names for w in (n.lower(), *(x.lower() for x in _PART.findall(n))))
+        if "class" in values:
+            step = f"{tag}.{'.'.join(values['class'].split())}"
+        hidden = "hidden" in values or values.get("aria-hidden", "").lower() == "true" or bool(_INVISIBLE.search(values.get("style", "")))
+        chrome |= tag not in ("html", "body") and hidden
     return step, chrome, article and not chrome
 
 

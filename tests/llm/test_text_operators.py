@@ -171,6 +171,20 @@ def test_templates_decide_on_pages_with_articles(spark):
     assert site(spark, [*[f"<article><p>{prose(i)}</p></article>" for i in range(8)], "<section><p>other form</p></section>"])[8] == "other form"
 
 
+def test_titles_and_short_slots_stay(spark):
+    got = site(spark, [f"<div class=content><h1>t{i}</h1><blockquote>q{i}</blockquote><p>{prose(i)}</p><p>{prose(i + 50)}</p></div><div class=end><p>All rights kept by us</p></div>" for i in range(6)])
+    assert all(got[i] == f"t{i} q{i} {prose(i)} {prose(i + 50)}" for i in range(6))
+
+
+def test_chrome_names_are_whole_names():
+    text = lambda attributes, tag="div": html_extract.main_text(f"<p>a</p><{tag} {attributes}>b</{tag}>", None)
+    for kept in ('class="overflow-hidden"', 'aria-hidden="false"', 'data-hidden="x"', 'class="social-science"', 'class="post-header"', 'title="not hidden"', 'class="search-theory text"'):
+        assert "b" in text(kept), kept
+    assert "b" in text('class="social search"', "article") and "b" in text("id=comment-7", "main")
+    for gone in ("hidden", 'hidden=""', "aria-hidden=true", 'style="display: none"', 'class="cookie-notice"', "class=ad", 'class="post-comments"', "class=sidebarLeft id=x", "role=navigation", "id=site-header"):
+        assert text(gone) == "a", gone
+
+
 def test_template_classes_pass_an_order_and_a_nesting_test():
     page = lambda *names: html_extract.blocks("".join(f"<div class={n}>{n}</div>" for n in names))
     classes = {f"p/div.{n}": c for n, c in (("a", 1), ("b", 1), ("c", 2), ("d", 2))}
