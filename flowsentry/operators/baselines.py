@@ -45,7 +45,8 @@ def with_thresholds(windows: DataFrame, found: DataFrame) -> DataFrame:
 
 def with_score_limits(found: DataFrame, scored: DataFrame, least: int = 100) -> DataFrame:
     """Baselines with anomaly percentiles of sources with enough windows; unknown sources are added as not qualified."""
-    limits = scored.groupBy("src_ip").agg(F.count(F.lit(1)).alias("n"), F.percentile("anomaly_score", F.lit(0.99)).alias("if_p99"), F.percentile("anomaly_score", F.lit(0.999)).alias("if_p999")).filter(F.col("n") >= least).drop("n")
+    at = lambda q: F.round(F.percentile("anomaly_score", F.lit(q)), 4)
+    limits = scored.groupBy("src_ip").agg(F.count(F.lit(1)).alias("n"), at(0.99).alias("if_p99"), at(0.999).alias("if_p999")).filter(F.col("n") >= least).drop("n")
     return found.join(limits, "src_ip", "full").withColumn("use_per_ip", F.coalesce("use_per_ip", F.lit(0)))
 
 

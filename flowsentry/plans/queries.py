@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsentry.functions.expressions import ACTIONABLE, CLASSES, DECISION, FLAGS, LEVELS, RULES, SENSITIVE_PORTS, TRUSTED, reason_texts, rounded
+from flowsentry.llm.common import durable
 from flowsentry.operators import anomaly, audit, baselines, calibrate, features, quality, risk, state, windows
 from flowsentry.plans import oracle as o
 from flowsentry.streaming import live
@@ -630,6 +631,12 @@ def scores_of(spark, d):
     return anomaly.scored(points, anomaly.train_forest(points))
 
 
+def adjusted_scores(spark, d):
+    """Scores above each source's own if_p999, or above the global limit for sources with too few windows."""
+    found = durable(anomaly.normalised(scores_of(spark, d)))
+    return anomaly.adjusted(found, baselines.with_score_limits(baselines.profiles(flows(spark, d)), found))
+
+
 @query()
 def anomaly_score(spark, d):
     return anomaly.contaminated(scores_of(spark, d))
@@ -637,13 +644,13 @@ def anomaly_score(spark, d):
 
 @query()
 def anomaly_normalise(spark, d):
-    return anomaly.adjusted(anomaly.normalised(scores_of(spark, d)))
+    return adjusted_scores(spark, d)
 
 
 @query()
 def risk_with_anomaly(spark, d):
     f = flows(spark, d)
-    scores = anomaly.adjusted(anomaly.normalised(scores_of(spark, d))).select("src_ip", "k", "anomaly_score")
+    scores = adjusted_scores(spark, d).select("src_ip", "k", "anomaly_score")
     rows = flagged_windows(spark, d).join(scores, ["src_ip", "k"])
     return risk.risk_rows(baselines.with_thresholds(rows, baselines.profiles(f))).select("src_ip", "k", "anomaly_score", "risk_score", "risk_level")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowsentry.functions.expressions import CLASSES
 from flowsentry.operators import anomaly, calibrate, features, quality, risk, state
+from flowsentry.plans import queries
 from flowsentry.plans.queries import ORACLE, QUERIES
 from flowsentry.sources.flows import flows, parse_auth_log, parse_conn_log, parse_firewall_log, read_alerts, write_alerts
 from flowsentry.streaming import live
@@ -91,6 +92,21 @@ def test_forest_ranks_an_outlier_first(spark):
     assert anomaly.raw_scores(x, forest).argmax() == 300
 
 
+def test_sources_have_their_own_anomaly_limits(spark, monkeypatch):
+    raw = [("noisy", k, 0.8 + k % 100 / 1000) for k in range(1000)] + [("quiet", k, 0.65 if k == 7 else 0.1) for k in range(2000)] + [("few", 0, 0.9), ("few", 1, 0.0), ("few", 2, 1.0)]
+    monkeypatch.setattr(queries, "scores_of", lambda spark, d: spark.createDataFrame(raw, "src_ip string, k long, raw double"))
+    got = {(r["src_ip"], r["k"]): r for r in QUERIES["anomaly_normalise"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(raw)
+    assert {x for x, r in got.items() if r["is_anomaly"]} == {("quiet", 7), ("few", 0), ("few", 2)}
+    assert got["few", 0]["anomaly_score"] == pytest.approx((0.9 - 0.66) / 0.34) and got["noisy", 99]["anomaly_score"] == 0
+
+
+def test_risk_takes_the_adjusted_scores(spark):
+    folder = "/root/testdata/sf0.001"
+    scores = lambda name: {(r["src_ip"], r["k"]): r["anomaly_score"] for r in QUERIES[name](spark, folder).collect()}
+    assert scores("risk_with_anomaly") == scores("anomaly_normalise") != {}
+
+
 def test_perimeter_stream_equals_batch(spark, tmp_path):
     rows = features.without_noise(flows(spark, FOLDER)).select("src_ip", "ts_us", "event_id", "dst_port")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
