@@ -29,18 +29,20 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def encode_png(samples: np.ndarray, filter_type: int = 0, level: int = 6) -> bytes:
-    """A grayscale image of uint8 rows; filter_type 0 (none), 1 (left) or 2 (up) for every row."""
+def encode_png(samples: np.ndarray, filter_type: int | None = 0, level: int = 6) -> bytes:
+    """A grayscale image of uint8 rows; filter_type 0 (none), 1 (left) or 2 (up) for every row, or None: that of the least absolute sum for each row."""
     height, width = samples.shape
     rows = np.empty((height, width + 1), np.uint8)
-    rows[:, 0] = filter_type
-    rows[:, 1:] = samples
-    if filter_type == 1:
-        rows[:, 2:] -= samples[:, :-1]
-    elif filter_type == 2:
-        rows[1:, 1:] -= samples[:-1]
-    elif filter_type:
+    if filter_type not in (None, 0, 1, 2):
         raise ValueError(f"no encoder for filter {filter_type}")
+    filtered = np.repeat(samples[None], 3, axis=0)
+    filtered[1, :, 1:] -= samples[:, :-1]
+    filtered[2, 1:] -= samples[:-1]
+    if filter_type is None:
+        rows[:, 0] = np.minimum(filtered, -filtered).sum(axis=2, dtype=np.int64).argmin(axis=0)
+    else:
+        rows[:, 0] = filter_type
+    rows[:, 1:] = filtered[rows[:, 0], np.arange(height)]
     head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), level)) + _chunk(b"IEND", b"")
 
@@ -62,25 +64,22 @@ def chunks(data: bytes):
 
 
 def unfilter(rows: np.ndarray, bpp: int = 1) -> np.ndarray:
-    """Samples of filtered rows (first column: filter type). Runs of 'up' rows and whole 'left' rows are summed at once."""
+    """Samples of filtered rows (first column: filter type). All 'left' rows are summed at once, and each run of 'up' rows."""
     kinds, out = rows[:, 0], rows[:, 1:].copy()
     if not kinds.any():
         return out
+    if (kinds > 4).any():
+        raise ValueError(f"unknown filter {kinds.max()}")
     height, width = out.shape
-    y = 0
-    while y < height:
-        kind = kinds[y]
-        if kind == 1:
-            for c in range(bpp):
-                out[y, c::bpp] = np.cumsum(out[y, c::bpp], dtype=np.uint8)
-        elif kind == 2:
-            end = y + 1
-            while end < height and kinds[end] == 2:
-                end += 1
-            first = max(y - 1, 0)
+    left = kinds == 1
+    out[left] = np.cumsum(out[left].reshape(-1, width // bpp, bpp), axis=1, dtype=np.uint8).reshape(-1, width)
+    starts = np.flatnonzero(np.diff(kinds, prepend=255))
+    for start, end in zip(starts.tolist(), [*starts[1:].tolist(), height], strict=True):
+        kind = kinds[start]
+        if kind == 2:
+            first = max(start - 1, 0)
             out[first:end] = np.cumsum(out[first:end], axis=0, dtype=np.uint8)
-            y = end - 1
-        elif kind in (3, 4):
+        for y in range(start, end if kind > 2 else start):
             up = out[y - 1].astype(int) if y else np.zeros(width, int)
             row = out[y].astype(int)
             for x in range(width):
@@ -93,9 +92,6 @@ def unfilter(rows: np.ndarray, bpp: int = 1) -> np.ndarray:
                     guess = min(((abs(near - a), 0, a), (abs(near - b), 1, b), (abs(near - c), 2, c)))[2]
                 row[x] = (row[x] + guess) & 255
             out[y] = row
-        elif kind:
-            raise ValueError(f"unknown filter {kind}")
-        y += 1
     return out
 
 
@@ -147,10 +143,10 @@ def cosine_hash(samples: np.ndarray) -> bytes:
 
 
 def store(text: str) -> tuple[int, bytes]:
-    """(unpadded length, PNG) of a text's bytes padded with 0 to a positive multiple of the image width."""
+    """(unpadded length, PNG with a filter chosen for each row) of a text's bytes padded with 0 to a positive multiple of the image width."""
     data = text.encode("utf-8", "surrogatepass")
     padded = data + bytes(-len(data) % WIDTH if data else WIDTH)
-    return len(data), encode_png(np.frombuffer(padded, np.uint8).reshape(-1, WIDTH))
+    return len(data), encode_png(np.frombuffer(padded, np.uint8).reshape(-1, WIDTH), None)
 
 
 def with_media(docs: DataFrame) -> DataFrame:

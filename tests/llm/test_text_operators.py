@@ -461,6 +461,15 @@ def test_lm_odd_rows(odd, none, labels):
 # media
 
 
+def test_stored_rows_are_filtered():
+    text = "the quick brown fox jumps over the lazy dog, " * 40 + "z" * 300 + "漢字🙂"
+    size, data = media.store(text)
+    packed = b"".join(c for k, c in media.chunks(data) if k == b"IDAT")
+    kinds = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(-1, media.WIDTH + 1)[:, 0]
+    assert {1, 2} <= set(kinds.tolist()) <= {0, 1, 2}
+    assert media.decode_png(data).tobytes()[:size].decode() == text
+
+
 def test_png_filters_and_checksums():
     rng = np.random.default_rng(2)
     samples = rng.integers(0, 256, (9, 12), dtype=np.uint8)
