@@ -43,6 +43,25 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables behind durable frames, once all that was read from them is durable itself."""
+    for df in frames:
+        files = df.inputFiles()
+        folder = files[0].rpartition("/")[0] if files else ""
+        if folder.rpartition("/")[2].startswith("flowsentry-"):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores before it, such that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast df if it has at most limit rows; else leave the join to a shuffle, where AQE splits skewed keys.
 

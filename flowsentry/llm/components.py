@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsentry.llm.common import durable
+from flowsentry.llm.common import discard, durable
 
 
 def contract(links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -22,7 +22,9 @@ def contract(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     choices = durable(chosen.join(jump, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
     of = lambda name: choices.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
     left = links.join(of("a"), "a").join(of("b"), "b").select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).filter("a <> b").distinct()
-    return choices, durable(left)
+    left = durable(left)
+    discard(chosen)
+    return choices, left
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -30,11 +32,16 @@ def components(links: DataFrame) -> DataFrame:
     rounds = []
     left = durable(links.select("a", "b").filter("a <> b").distinct())
     while not left.isEmpty():
-        choices, left = contract(left)
+        before = left
+        choices, left = contract(before)
+        discard(before)
         rounds.append(choices)
+    discard(left)
     if not rounds:
-        return links.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
+        return durable(links.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0))
     labels = rounds[0]
     for choices in rounds[1:]:
         labels = labels.join(choices.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    return durable(labels)
+    labels = durable(labels)
+    discard(*rounds)
+    return labels

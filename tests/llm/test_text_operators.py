@@ -248,6 +248,37 @@ def test_ngram_join_matches_brute_force(spark, docs, words, percent):
     assert got == brute_components(rows, words, percent)
 
 
+def test_shared_names_of_sets_are_told_apart(spark, docs):
+    rows = [(r["doc_id"], r["text"]) for r in docs.limit(60).collect()] + [(10_000 + i, t) for i, t in enumerate(chain(np.random.default_rng(6), 12, 90))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    named = ngram_join.near_duplicate_rows(frame, name_bits=3)  # 72 sets, 8 names
+    least = named.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("first"))
+    got = {(r["doc_id"], r["n"], r["first"] if r["n"] else r["doc_id"]) for r in named.join(least, "root", "left").collect()}
+    assert got == brute_components(rows, 4, 85)
+
+
+def test_pairs_of_near_copies_grow_with_the_group_not_its_square(spark, monkeypatch):
+    """Copies of one text that reach it but not each other, and copies that are just too far from everything."""
+    made, real = [], ngram_join._pairs
+    monkeypatch.setattr(ngram_join, "_pairs", lambda *a: made.append(real(*a)) or made[-1].cache())
+    rng, counts = np.random.default_rng(7), []
+    base = [f"w{i}" for i in range(200)]
+
+    def copy(edits):
+        out = list(base)
+        for i in rng.choice(200, edits, replace=False):
+            out[i] = f"n{rng.integers(10**9)}"
+        return " ".join(out)
+
+    for size in (60, 240):
+        made.clear()
+        rows = [(0, " ".join(base)), *((i, copy(3 if i % 2 else 6)) for i in range(1, size))]
+        got = {tuple(r) for r in ngram_join.near_duplicate_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == brute_components(rows, 4, 85)
+        counts.append(sum(x.count() for x in made))
+    assert counts[1] < 6 * counts[0]
+
+
 def test_signatures_never_differ_more_than_their_sets():
     rng = np.random.default_rng(4)
     pool = rng.integers(-(2**63), 2**63, 3000)
@@ -256,6 +287,9 @@ def test_signatures_never_differ_more_than_their_sets():
             x, y = (np.unique(rng.choice(pool, size)) for _ in "xy")
             parities = np.bitwise_xor(ngram_join.signature(x), ngram_join.signature(y)).view(np.uint8)
             assert np.unpackbits(parities).sum() <= len(np.setxor1d(x, y))
+            y = y[: int(rng.integers(1, len(y) + 1))]
+            assert ngram_join.parities_that_differ(ngram_join.wide_signature(x), ngram_join.wide_signature(y)) <= len(np.setxor1d(x, y))
+    assert ngram_join.parities_that_differ(ngram_join.wide_signature(x), ngram_join.wide_signature(x + 1)) > 0.3 * len(np.setxor1d(x, x + 1))
     assert not ngram_join.signature(np.empty(0, np.int64)).any()
 
 
@@ -266,6 +300,18 @@ def test_ngram_join_empty_and_one_of_each(odd, none):
     assert Counter(r["doc_id"] for r in kept.collect())[7] == 1 and 8 not in {r["doc_id"] for r in kept.collect()}
 
 
+def test_one_of_each_goes_by_rows(spark):
+    w, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "wz")
+    rows = [(1, w, 1), (5, f"{w} tail", 2), (5, z, 3), (None, f"{w} end", 4), (None, "p q r s t u", 5), (5, "", 6), (5, "", 7), (1, w, 8), (7, f"{z} x", 9)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, ngram_text_hash int")
+    got = ngram_join.one_of_each(frame)
+    assert got.columns == frame.columns
+    kept = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    assert kept == Counter({(1, w): 1, (5, z): 1, (None, "p q r s t u"): 1, (5, ""): 2})
+    assert {(r["doc_id"], r["component_id"]) for r in ngram_join.near_duplicate_components(frame).collect()} == {(1, 1), (5, 1), (None, 1), (5, 5), (7, 5), (None, None)}
+    assert ngram_join.one_of_each(frame.limit(0)).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     n = 60
     links = spark.createDataFrame([((i * 37) % 997, ((i + 1) * 37) % 997) for i in range(n)] + [(5000, 5001)], "a long, b long")
