@@ -64,8 +64,9 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-def pieces(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0) -> DataFrame:
-    """(doc_id, copy, start, length, ids_crc32, doc_tokens): each document's ids and end_id, cut at multiples of size."""
+def pieces(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, copies: bool = False) -> DataFrame:
+    """(doc_id, copy, start, length, ids_crc32, doc_tokens): each document's ids and end_id, cut at multiples of size;
+    with copies, copy tells apart the rows of a document that is repeated, else it is 0."""
     names = [x.split()[0] for x in PIECE_SCHEMA.split(", ")]
 
     def cut(batches):
@@ -77,7 +78,7 @@ def pieces(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0) -> Dat
                 rows.extend((doc_id, copy, s, min(size, len(ids) - s), zlib.crc32(ids[s : s + size].tobytes()), len(ids)) for s in range(0, len(ids), size))
             yield pd.DataFrame(rows, columns=names)
 
-    copy = F.col("copy") if "copy" in docs.columns else F.lit(0).cast("long")
+    copy = F.monotonically_increasing_id() if copies else F.lit(0).cast("long")
     return docs.select("doc_id", copy.alias("copy"), text_or_empty().alias("text")).mapInPandas(cut, PIECE_SCHEMA)
 
 
@@ -139,7 +140,7 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
 
 
 def ranked(cut: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Adds rank: 0, 1, 2, ... within each length."""
+    """Adds rank: 0, 1, 2, ... within each length. The offsets are at most size * buckets rows of 3 numbers: 6 MB."""
     keyed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "copy", "start", "ids_crc32"), F.lit(buckets)))
     counts = keyed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -175,11 +176,6 @@ def pack(cut: DataFrame, size: int = 1024) -> DataFrame:
     return rows.select(*order).mapInPandas(place, schema)
 
 
-def packed_documents(docs: DataFrame, path: str, size: int = 1024) -> DataFrame:
+def packed_documents(docs: DataFrame, path: str, size: int = 1024, copies: bool = False) -> DataFrame:
     """The pieces of all documents with their places."""
-    return pack(durable(pieces(docs, path, size)), size)
-
-
-def numbered_copies(docs: DataFrame) -> DataFrame:
-    """docs with a column copy that tells apart the rows of a document that is repeated."""
-    return docs.withColumn("copy", F.monotonically_increasing_id())
+    return pack(durable(pieces(docs, path, size, copies=copies)), size)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowsentry.llm import fingerprint, html_extract, lm_score, media, mixing, ngram_join, packing, token_counts, toxicity, warc
 from flowsentry.llm.common import documents, durable, table
@@ -17,8 +18,9 @@ def bpe_path() -> str:
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     rows = durable(fingerprint.fingerprints_with_edits(docs))
-    classes = fingerprint.exact_classes(docs, rows.select("doc_id", "fingerprint"))
-    return rows.join(classes.dropDuplicates(["doc_id", "fingerprint"]), ["doc_id", "fingerprint"], "left")
+    classes = fingerprint.exact_classes(docs, rows.select("doc_id", "fingerprint")).dropDuplicates(["doc_id", "fingerprint"]).withColumnsRenamed({"doc_id": "class_doc", "fingerprint": "class_print"})
+    same = F.col("doc_id").eqNullSafe(F.col("class_doc")) & (F.col("fingerprint") == F.col("class_print"))
+    return rows.join(classes, same, "left").drop("class_doc", "class_print")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +69,4 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {"op7_mixing": mixing.ORACLE_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -350,6 +350,15 @@ def test_encoder_gives_the_librarys_ids(tokenizer):
         assert token_counts.count_tokens(t, lengths, special, split) == len(ids), repr(t)
 
 
+def test_encoder_gives_the_librarys_ids_of_every_code_point(tokenizer):
+    encoder = packing.Encoder(bpe_path())
+    points = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    for join in ("", " a", "1\n"):
+        for i in range(0, len(points), 4096):
+            text = join.join(points[i : i + 4096])
+            assert encoder.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def check_packing(rows, want, size=1024):
     """rows: packed pieces; want: doc_id -> list of token id lists."""
     by_doc, by_sequence = {}, {}
@@ -380,7 +389,7 @@ def test_packing_round_trip(docs, odd, none, tokenizer):
     rows = packing.packed_documents(docs, bpe_path()).collect()
     sequences = check_packing(rows, want)
     assert sum(map(len, want.values())) > 0.97 * 1024 * sequences
-    odd_rows = packing.packed_documents(packing.numbered_copies(odd), bpe_path()).collect()
+    odd_rows = packing.packed_documents(odd.withColumn("copy", F.lit("own")), bpe_path(), copies=True).collect()
     check_packing(odd_rows, {r["doc_id"]: [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 0] for r in odd.collect()})
     assert len({(r["doc_id"], r["copy"]) for r in odd_rows}) == odd.count()
     assert packing.packed_documents(none, bpe_path()).count() == 0
@@ -434,7 +443,12 @@ def test_mixing_targets_and_words(spark, docs, odd, none):
             assert abs(r["target"] - want[r["source"]]) < 1e-6 * max(1, want[r["source"]]) and r["source_size"] == sizes[r["source"]]
             assert 0 <= r["taken"] <= 3 * r["size"]
             taken[r["source"]] += r["taken"]
-        assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+        # The partial pass ends at the document nearest to the target.
+        largest = Counter()
+        for r in rows:
+            largest[r["source"]] = max(largest[r["source"]], r["size"] * (3 if frame is odd else 1))
+        assert all(abs(taken[s] - want[s]) <= largest[s] / 2 + 1 for s in want)
+        assert all((r["position"] is None) == (r["taken"] == 0) for r in rows)
         positions = [r["position"] for r in rows if r["position"] is not None]
         assert positions == sorted(positions) and all(0 <= p <= 1 for p in positions)
     assert mixing.mixed_documents(none).count() == 0
@@ -449,6 +463,22 @@ def test_mixing_is_repeatable_and_inverts_demand(spark, docs):
         assert all(abs(r["t"] - r["u"]) < 1e-9 for r in back.collect())
 
 
+@pytest.mark.parametrize("which", ["given", "odd", "one source"])
+def test_mixing_equals_its_sql(spark, docs, odd, tmp_path, which):
+    import duckdb
+
+    frame = {"given": docs, "odd": odd, "one source": docs.limit(9).withColumn("source", F.lit(None).cast("string"))}[which]
+    frame.select("doc_id", "text", "source").write.parquet(f"{tmp_path}/documents")
+    frame = spark.read.parquet(f"{tmp_path}/documents")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    rows = con.execute(mixing.ORACLE_SQL)
+    names = [d[0] for d in rows.description]
+    got = mixing.mixed_documents(frame)
+    assert sorted(got.columns) == sorted(names)
+    assert Counter(map(tuple, got.select(*names).collect())) == Counter(rows.fetchall())
+
+
 def test_mixed_rows_hold_the_words_taken(docs, odd, none):
     for frame in (docs, odd):
         rows = mixing.mixed_rows(frame)
@@ -566,22 +596,82 @@ def test_cosine_hash_stands_small_changes():
 # toxicity
 
 
+LEXICON = toxicity.Lexicon({"idiot": 3.0}, {"lowei": 2.0})
+
+
 def test_clause_patterns():
-    lexicon = toxicity.Lexicon({"idiot": 3.0}, {"lowei": 2.0})
-    kinds = lambda t: [k for k, _ in toxicity.clause_matches(toxicity.clause_classes(t, lexicon))]
+    def kinds(t):
+        return ["+".join(toxicity.marked(k)) or "insult" for k, _ in toxicity.clause_matches(*toxicity.clause_symbols(t, LEXICON))]
+
     assert kinds("you are an idiot") == ["targeted"] and kinds("idiot, you") == ["targeted"]
     assert kinds("the idiot house") == ["insult"] and kinds("a loweixyz thing") == ["insult"]
-    assert kinds("you are not an idiot") == ["negated"] and kinds("she said idiot") == ["reported"]
-    assert kinds("i will kill you") == ["threat"] and kinds("i will kill time") == [] and kinds("lowei") == []
+    assert kinds("that is not an idiot") == ["negated"] and kinds("quoted was idiot") == ["reported"]
+    assert kinds("you are not an idiot") == ["targeted+negated"] and kinds("she said idiot") == ["targeted+reported"]
+    assert kinds("i will kill you") == ["targeted+threat"] and kinds("i will kill time") == [] and kinds("lowei") == []
+
+
+def test_composed_machine_equals_its_definition():
+    rng = np.random.default_rng(9)
+    for _ in range(2000):
+        symbols = rng.choice(6, int(rng.integers(0, 14)), p=[0.4, 0.2, 0.1, 0.1, 0.1, 0.1]).tolist()
+        want = []
+        for i, x in enumerate(symbols):
+            if x not in (toxicity.INSULT, toxicity.THREAT):
+                continue
+            near = symbols[max(0, i - 4) : i] + symbols[i + 1 : i + 5]
+            marks = toxicity.TARGETED * (toxicity.TARGET in near) | toxicity.NEGATED * (toxicity.NEGATION in symbols[max(0, i - 3) : i]) | toxicity.REPORTED * (toxicity.REPORT in symbols[:i])
+            if x == toxicity.INSULT or marks & toxicity.TARGETED:
+                want.append((x | marks, float(i)))
+        assert toxicity.clause_matches(symbols, [float(i) for i in range(len(symbols))]) == want
+
+
+def test_scanner_equals_a_scan_of_every_clause():
+    rng, words = np.random.default_rng(10), "idiot loweiss lowei you not said kill the house it's ÉTÉ idiots".split()
+    scanner = toxicity.Scanner(LEXICON)
+    for _ in range(300):
+        text = " ".join(str(rng.choice(words)) + str(rng.choice(["", "", "", ".", "!", "\n", ":"])) for _ in range(int(rng.integers(0, 60))))
+        want = np.zeros(len(toxicity.KINDS))
+        for clause in re.split(r"[.!?;:\n]", text.lower()):
+            for kind, weight in toxicity.clause_matches(*toxicity.clause_symbols(clause, LEXICON)):
+                want[toxicity.KINDS.index(kind)] += weight
+        assert np.allclose(scanner.features(text), want), text
+    far = toxicity.Scanner(LEXICON).features("he said " + "word " * 500 + "idiot")
+    assert far[toxicity.KINDS.index(toxicity.INSULT | toxicity.REPORTED)] == 3.0 and far.sum() == 3.0
+
+
+def test_every_kind_moves_the_score():
+    model = toxicity.Model(LEXICON, {n: b for n, (b, _, _) in toxicity.ARCS.items()}, -2.0, 2.0)
+    rate = lambda t: float(model.scores(toxicity.Scanner(LEXICON).features(t)[None])[0])
+    bare = rate("the idiot house")
+    assert rate("you idiot") > bare > rate("that is no idiot") and bare > rate("quoted was idiot") > rate("the house")
+    assert rate("i kill you") > rate("i kill time") == rate("") and rate("i will not kill you") < rate("i will kill you")
+
+
+def test_arcs_are_learned_within_their_bounds():
+    rng, learned = np.random.default_rng(11), []
+    for share in (0.0, 0.8):  # of negated insults that are toxic
+        kinds, toxic = np.zeros((600, len(toxicity.KINDS))), np.zeros(600)
+        for i in range(600):
+            kind = int(rng.choice([toxicity.INSULT, toxicity.INSULT | toxicity.NEGATED, toxicity.INSULT | toxicity.TARGETED, 0]))
+            if kind:
+                kinds[i, toxicity.KINDS.index(kind)] = 3.0
+                toxic[i] = rng.random() < (share if kind & toxicity.NEGATED else 0.9)
+        arcs, _, slope = toxicity.fit(kinds, toxic)
+        assert arcs["reported"] == toxicity.ARCS["reported"][0] and slope > 0
+        assert all(low <= arcs[n] <= high for n, (_, low, high) in toxicity.ARCS.items())
+        learned.append(arcs["negated"])
+    assert learned[0] < learned[1]
 
 
 def test_toxicity_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
-    got = toxicity.toxicity(docs, labels).join(labels, "doc_id").filter("held_out").select("score", "predicted", "toxic").toPandas()
+    got = toxicity.toxicity(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").select("lang", "score", "predicted", "toxic").toPandas()
     toxic, clean = got[got["toxic"] == 1], got[got["toxic"] == 0]
-    assert toxic["predicted"].mean() > 0.75 and clean["predicted"].mean() < 0.02
-    held = {r["doc_id"]: r["held_out"] for r in toxicity.score(docs.limit(5), toxicity.Model(toxicity.Lexicon({}, {}), 0.0, (0.0,) * 6)).select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out")).collect()}
+    print(toxic.groupby("lang")["predicted"].agg(["mean", "size"]), clean.groupby("lang")["predicted"].agg(["mean", "size"]))
+    assert toxic["predicted"].mean() >= 0.9 and clean["predicted"].mean() <= 0.02
+    assert (toxic.groupby("lang")["predicted"].mean() >= 0.9).all()
+    held = {r["doc_id"]: r["held_out"] for r in docs.limit(5).select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out")).collect()}
     assert all(h == (zlib.crc32(str(d).encode()) % 3 == 1) for d, h in held.items())
 
 
@@ -589,6 +679,8 @@ def test_toxicity_odd_rows(odd, none, labels):
     assert toxicity.toxicity(odd, labels.limit(0)).count() == odd.count()
     assert toxicity.toxicity(none, labels).count() == 0
     assert toxicity.without_toxic(odd, labels).columns == odd.columns
+    own = odd.withColumn("score", F.lit("own")).withColumn("toxicity_score", F.lit(1))
+    assert [tuple(r)[-2:] for r in toxicity.without_toxic(own, labels).collect()] == [("own", 1)] * odd.count()
 
 
 def test_templates_are_json(spark):
