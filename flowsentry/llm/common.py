@@ -62,12 +62,19 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast df if it has at most limit rows; else leave the join to a shuffle, where AQE splits skewed keys.
+#: Bytes of a named wide column in a side that may be broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, wide: str | None = None) -> DataFrame:
+    """Broadcast df if it has at most limit rows (and at most BROADCAST_BYTES in its column wide); else leave the join
+    to a shuffle, where AQE splits skewed keys.
 
     Give it a durable or otherwise cheap frame: it is counted first.
     """
-    return F.broadcast(df) if df.count() <= limit else df
+    size = F.sum(F.length(F.col(wide).cast("string"))) if wide else F.lit(0)
+    found = df.agg(F.count(F.lit(1)).alias("rows"), size.alias("size")).first()
+    return F.broadcast(df) if found["rows"] <= limit and (found["size"] or 0) <= BROADCAST_BYTES else df
 
 
 def text_or_empty(column: str = "text") -> Column:

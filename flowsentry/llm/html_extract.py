@@ -2,8 +2,9 @@
 
 Pages of one host come from a few templates. Every page is read into tokens: element paths (tag and class from the root)
 and text blocks under their path. Over a host's pages each token has an occurrence vector, its count on each page;
-tokens with equal vectors form an equivalence class. A vector is kept as an order-free digest of (page, count), so
-classes come from one aggregation that combines in each task, and a host with a third of all pages is no hot spot.
+tokens with equal vectors form an equivalence class. A vector is kept as an order-free sum of digests of (page, count),
+so classes come from one aggregation that combines in each task, and a host with a third of all pages is no hot spot;
+rows that repeat a page add alike to all of its tokens.
 Only tokens on at least half of a host's pages can belong to its template, so a host's template is bounded by twice its
 mean page. A second pass tests the classes: one is valid if its tokens come in one order on all pages, in equal rounds,
 and if no round of it crosses one of a weightier class. The valid classes' elements are the host's skeleton, whose gaps
@@ -44,7 +45,9 @@ CHROME = frozenset("nav footer aside form menu dialog select button head".split(
 CHROME_WORDS = frozenset("ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner menu menubar nav navbar navigation breadcrumb breadcrumbs sidebar sidebars aside widget widgets footer header masthead topbar cookie cookies consent gdpr notice notices alert disclaimer popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus reply replies discussion pagination pager toolbar complementary contentinfo search".split())
 ARTICLE_WORDS = frozenset("article post entry story articlebody postbody entrycontent postcontent main maincontent".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)>""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>""", re.S)
+#: The start of a tag or comment that the page's end leaves unfinished.
+_UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 #: Words beside chrome words in the class names of chrome ("cookie-box"), and last words that make any name one of chrome ("post-comments").
 PLAIN_WORDS = frozenset("area bar block bottom box button buttons container global inner item items left link links list outer page primary right secondary section site top wrap wrapper".split())
 CHROME_ENDS = frozenset("ads adverts advertisement advertising breadcrumb breadcrumbs comments commentlist disqus menu menubar nav navbar navigation newsletter pagination pager sidebar sidebars".split())
@@ -111,7 +114,10 @@ def blocks(html: str) -> list[Block]:
             if in_link:
                 linked += len(text)
 
-    while m := _TOKEN.search(html, at):
+    last = html.rfind(">") + 1  # no tag ends behind it; what is unfinished there is dropped, as browsers do
+    unfinished = _UNFINISHED.search(html, last)
+    html = html[: unfinished.start()] if unfinished else html
+    while m := _TOKEN.search(html, at, last):
         add(html[at : m.start()])
         at = m.end()
         tag = m[2]
@@ -183,7 +189,7 @@ def text_key(path: str, text: str) -> int:
     return _signed(xxhash.xxh64_intdigest(f"{path}\n{text}"))
 
 
-TOKEN_SCHEMA = "host string, kind string, token string, pages long, total long, vector long, chars long, linked long, article long"
+TOKEN_SCHEMA = "host string, kind string, token string, pages long, total long, low long, high long, chars long, linked long, article long"
 ORDER_SCHEMA = "host string, class long, other long, low long, high long"
 
 
@@ -213,11 +219,11 @@ def _tokens(pages: DataFrame) -> DataFrame:
                         x[2] += b.linked
                         x[3] += len(b.text) * b.article
                 for (kind, token), (n, *sizes) in mine.items():
-                    x = sums.setdefault((host, kind, token), [0, 0, 0, 0, 0, 0])
-                    x[2] ^= xxhash.xxh64_intdigest(f"{page}:{n}")
-                    for i, v in ((0, 1), (1, n), *enumerate(sizes, 3)):
+                    x = sums.setdefault((host, kind, token), [0, 0, 0, 0, 0, 0, 0])
+                    digest = xxhash.xxh64_intdigest(f"{page}:{n}")
+                    for i, v in ((0, 1), (1, n), (2, digest & 0x7FFFFFFF), (3, digest >> 33), *enumerate(sizes, 4)):
                         x[i] += v
-            yield pd.DataFrame([(*k, p, t, _signed(v), *sizes) for k, (p, t, v, *sizes) in sums.items()], columns=names)
+            yield pd.DataFrame([(*k, *x) for k, x in sums.items()], columns=names)
 
     return pages.select("page_id", "url", "html").mapInPandas(count, TOKEN_SCHEMA)
 
@@ -251,7 +257,7 @@ def orders(found: list[Block], classes: dict[str, int]) -> tuple[dict[int, tuple
 def _orders(pages: DataFrame, candidates: DataFrame) -> DataFrame:
     """Partial sums of each batch of the order and nesting tests: (host, class, -1, least and greatest order), and (host, class, other, 0, 0) of crossing classes."""
     names = [x.split()[0] for x in ORDER_SCHEMA.split(", ")]
-    rows = pages.select("html", host_column().alias("host")).join(checked_broadcast(candidates, 20_000), "host")
+    rows = pages.select("html", host_column().alias("host")).join(checked_broadcast(candidates, 20_000, "classes"), "host")
 
     def test(batches):
         known: dict[str, dict] = {}
@@ -326,11 +332,11 @@ def host_column():
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template) for every host with enough pages; template is JSON."""
-    sums = _tokens(pages).groupBy("host", "kind", "token").agg(F.bit_xor("vector").alias("vector"), *[F.sum(c).alias(c) for c in ("pages", "total", "chars", "linked", "article")])
+    sums = _tokens(pages).groupBy("host", "kind", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "total", "low", "high", "chars", "linked", "article")])
     sums = durable(sums.filter(F.col("pages") >= 2))
     hosts = sums.filter((F.col("kind") == "h") & (F.col("pages") >= LEAST_PAGES)).select("host", F.col("pages").alias("n_pages"))
     frequent = sums.filter("kind <> 'h'").join(hosts, "host").filter(F.col("pages") >= F.greatest(F.lit(LEAST_PAGES), F.col("n_pages") * SHARE))
-    frequent = durable(frequent.withColumn("class", F.xxhash64("pages", "total", "vector")))
+    frequent = durable(frequent.withColumn("class", F.xxhash64("pages", "total", "low", "high")))
     candidates = durable(frequent.groupBy("host").agg(F.collect_list(F.concat("kind", "token", F.lit("\n"), F.col("class").cast("string"))).alias("classes")))
 
     def build(key: tuple, group: pd.DataFrame, tests: pd.DataFrame) -> pd.DataFrame:
@@ -361,7 +367,7 @@ def _in_slot(block: Block, template: dict, has_article: bool) -> bool:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     found = durable(templates(pages))
-    rows = pages.select("page_id", "url", "html", host_column().alias("host")).join(checked_broadcast(found, 20_000), "host", "left").drop("host")
+    rows = pages.select("page_id", "url", "html", host_column().alias("host")).join(checked_broadcast(found, 20_000, "template"), "host", "left").drop("host")
 
     def fill(batches):
         known: dict[str, dict] = {}

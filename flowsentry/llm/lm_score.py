@@ -14,7 +14,7 @@ rarer than one word in FREQUENT, no key of that join is hot. FREQUENT moves work
 
 Edge cases: null or empty texts have 0 words and score 0; words outside the vocabulary are one class; without target
 rows both models are the background, and every score is 0; texts of any length are used whole; rows that repeat a
-doc_id count each, are scored together as one document, and each get its score.
+doc_id, or have none, count and are scored each by itself; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -165,36 +165,37 @@ def train(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, leas
 
 
 def _scored(docs: DataFrame, models: Models) -> DataFrame:
-    """Two kinds of rows: of each document (a negative code, its words and losses), and of each of its bigrams that are not frequent (code, times)."""
+    """Two kinds of rows: of each document (a negative code, its words and losses), and of each of its bigrams that are not frequent (code, times).
+
+    row numbers the rows of docs: ids may repeat. It follows from the place in the files, so a task that runs again gives the same."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def rate(batches):
         for batch in batches:
-            ids = batch["doc_id"]
+            ids, numbers = batch["doc_id"], batch["row"].to_numpy(np.int64)
             for first, hashes, of, size in _blocks(batch["text"].tolist()):
                 codes = _codes(hashes, of, shared.value.vocabulary)
                 losses, rare = shared.value.losses(codes)
                 sums = [np.bincount(of, x, minlength=size) for x in losses]
-                own = ids.iloc[first : first + size]
-                yield pd.DataFrame({"code": -1 - np.arange(first, first + size), "doc_id": own, "rows": 1, "n": np.bincount(of, minlength=size), "background": sums[0], "target": sums[1]})
+                own = numbers[first : first + size]
+                yield pd.DataFrame({"code": -1 - np.arange(first, first + size), "row": own, "doc_id": ids.iloc[first : first + size].to_numpy(), "own": True, "n": np.bincount(of, minlength=size), "background": sums[0], "target": sums[1]})
                 # Bigrams of one document follow each other, so times are runs of one code.
                 of, codes = of[rare], codes[rare]
                 order = np.lexsort((of, codes))
                 of, codes = of[order], codes[order]
                 starts = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(codes, prepend=-1) != 0))
-                yield pd.DataFrame({"code": codes[starts], "doc_id": own.iloc[of[starts]].to_numpy(), "rows": 0, "n": np.diff(np.append(starts, len(of))), "background": 0.0, "target": 0.0})
+                yield pd.DataFrame({"code": codes[starts], "row": own[of[starts]], "doc_id": None, "own": False, "n": np.diff(np.append(starts, len(of))), "background": 0.0, "target": 0.0})
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(rate, "code long, doc_id long, rows int, n int, background double, target double")
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text_or_empty().alias("text"))
+    return rows.mapInPandas(rate, "code long, row long, doc_id long, own boolean, n int, background double, target double")
 
 
 def cross_entropy_difference(docs: DataFrame, models: Models, rare: DataFrame) -> DataFrame:
     """(doc_id, n_words, target_loss, background_loss, ce_diff) of every document; losses are means over words."""
-    changes = rare.select("code", F.col("background").alias("b"), F.col("target").alias("t")).hint("shuffle_hash")
-    met = _scored(docs, models).join(changes, "code", "left").filter((F.col("rows") > 0) | F.col("b").isNotNull())
-    own = F.col("rows") > 0
-    loss = lambda base, change: F.when(own, F.col(base)).otherwise(F.col("n") * F.col(change))
-    parts = met.select("doc_id", "rows", F.when(own, F.col("n")).otherwise(0).alias("n"), loss("background", "b").alias("b"), loss("target", "t").alias("t"))
-    sums = parts.groupBy("doc_id").agg(F.sum("rows").alias("rows"), F.sum("n").alias("n_words"), F.sum("b").alias("b"), F.sum("t").alias("t"))
+    changes = rare.select("code", F.col("background").alias("b"), F.col("target").alias("t"))
+    met = _scored(docs, models).join(changes, "code", "left").filter(F.col("own") | F.col("b").isNotNull())
+    loss = lambda base, change: F.when(F.col("own"), F.col(base)).otherwise(F.col("n") * F.col(change))
+    parts = met.select("row", "doc_id", F.when(F.col("own"), F.col("n")).otherwise(0).alias("n"), loss("background", "b").alias("b"), loss("target", "t").alias("t"))
+    sums = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_words"), F.sum("b").alias("b"), F.sum("t").alias("t"))
     mean = lambda c: F.col(c) / F.greatest("n_words", F.lit(1))
-    each = sums.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    return each.select("doc_id", "n_words", mean("t").alias("target_loss"), mean("b").alias("background_loss"), (mean("t") - mean("b")).alias("ce_diff"))
+    return sums.select("doc_id", "n_words", mean("t").alias("target_loss"), mean("b").alias("background_loss"), (mean("t") - mean("b")).alias("ce_diff"))

@@ -4,8 +4,13 @@ A response record (WARC/1.1) holds the HTTP headers and body as received. Its de
 repeat its target URI and date, carry their own block digests, and the metadata record keeps the source's headers and
 payload digest. Record ids are derived from content (UUID version 5), so a task that runs again writes the same bytes.
 
+The text of a conversion record holds the page's visible blocks, one a line, as the tag reader of ``html_extract`` finds
+them; the title is a field of the metadata record.
+
 Edge cases: null html counts as empty (still a response with an empty body); a null url gives records without
-WARC-Target-URI; repeated rows give repeated records with equal ids; a table without rows gives none.
+WARC-Target-URI; repeated rows give repeated records with equal ids; a table without rows gives none; further columns
+are ignored. Damaged bytes give the records before the damage; ``damaged`` lists the rows and why. A null record gives
+none and is not damaged.
 """
 
 from __future__ import annotations
@@ -16,18 +21,17 @@ import hashlib
 import html as html_lib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowsentry.llm.html_extract import blocks
+
 CRLF = b"\r\n"
 RECORD_SCHEMA = "page_id long, record_type string, record_id string, refers_to string, target_uri string, content_type string, content_length long, block_digest string, source_digest string, source_headers string, record binary"
-_HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<!\[CDATA\[|<!doctype[^>]*>")
-_BREAK = re.compile(r"(?is)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|section|article|header|footer|nav|aside|main|title|body|html|head|form|blockquote|pre|hr)\b[^>]*>")
-_TAG = re.compile(r"(?s)<[/!?a-zA-Z][^>]*>")
-
 
 def sha1_digest(block: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
@@ -42,22 +46,62 @@ def encode_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + CRLF + CRLF
 
 
+class Damage(ValueError):
+    """Bytes that are no records; the message is the reason."""
+
+
+def inflate(data: bytes) -> tuple[bytes, str | None]:
+    """The content of plain bytes or of gzip members one after the other, up to a damage, and the damage."""
+    if data[:2] != b"\x1f\x8b":
+        return data, None
+    parts = []
+    while data:
+        member = zlib.decompressobj(31)
+        try:
+            parts.append(member.decompress(data))
+        except zlib.error:
+            return b"".join(parts), "gzip data"
+        if not member.eof:
+            return b"".join(parts), "truncated gzip member"
+        data = member.unused_data
+    return b"".join(parts), None
+
+
 def decode_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Records of plain or gzip-member WARC bytes; header names in lower case. Stops at a truncated record."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+    """Records of plain or gzip-member WARC bytes; header names in lower case. Raises Damage after the last sound record."""
+    data, damage = inflate(data)
     at = 0
-    while (start := data.find(b"WARC/1.", at)) >= 0:
-        end = data.find(CRLF + CRLF, start)
+    while at < len(data):
+        if not data.startswith(b"WARC/1.", at):
+            raise Damage(damage or "no version line")
+        end = data.find(CRLF + CRLF, at)
         if end < 0:
-            return
-        lines = data[start:end].decode("utf-8", "replace").split("\r\n")[1:]
+            raise Damage(damage or "unfinished headers")
+        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
         headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        size, body = int(headers.get("content-length", 0)), end + 4
-        if body + size > len(data):
-            return
-        yield headers, data[body : body + size]
-        at = body + size
+        length, body = headers.get("content-length", ""), end + 4
+        if not re.fullmatch(r"[0-9]{1,18}", length):
+            raise Damage("no length")
+        stop = body + int(length)
+        if stop > len(data):
+            raise Damage(damage or "truncated block")
+        if data[stop : stop + 4] != CRLF + CRLF:
+            raise Damage(damage or "no end of block")
+        yield headers, data[body:stop]
+        at = stop + 4
+    if damage:
+        raise Damage(damage)
+
+
+def sound_records(data: bytes | None) -> tuple[list[tuple[dict[str, str], bytes]], str | None]:
+    """The records before the first damage, and the damage."""
+    found = []
+    try:
+        for record in decode_records(bytes(data) if data is not None else b""):
+            found.append(record)
+    except Damage as e:
+        return found, str(e)
+    return found, None
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes]:
@@ -66,10 +110,8 @@ def split_http(block: bytes) -> tuple[bytes, bytes]:
 
 
 def plain_text(html: str) -> str:
-    """All visible text: hidden elements and tags removed, blocks on their own lines, references decoded."""
-    text = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", html)))
-    lines = (" ".join(line.split()) for line in html_lib.unescape(text).split("\n"))
-    return "\n".join(line for line in lines if line)
+    """All visible text: the page's blocks, each on its own line."""
+    return "\n".join(b.text for b in blocks(html))
 
 
 def response_record(url: str | None, html: str, date: str) -> bytes:
@@ -118,18 +160,29 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
 
 
 def derive(records: DataFrame) -> DataFrame:
-    """Metadata and conversion records of every response among (page_id, record); other record types are passed over."""
+    """Metadata and conversion records of every sound response among (page_id, record); other record types are passed over."""
 
     names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
 
     def build(batches):
         for batch in batches:
-            rows = [(page, *row) for page, data in zip(batch["page_id"], batch["record"], strict=True) for headers, block in decode_records(bytes(data) if data is not None else b"") if headers.get("warc-type") == "response" for row in derivatives(headers, block)]
+            rows = [(page, *row) for page, data in zip(batch["page_id"], batch["record"], strict=True) for headers, block in sound_records(data)[0] if headers.get("warc-type") == "response" for row in derivatives(headers, block)]
             yield pd.DataFrame(rows, columns=names)
 
     return records.select("page_id", "record").mapInPandas(build, RECORD_SCHEMA)
 
 
+def damaged(records: DataFrame) -> DataFrame:
+    """(page_id, sound, reason) of every row with damaged bytes; sound records come before the damage."""
+
+    def test(batches):
+        for batch in batches:
+            found = [(page, len(sound), why) for page, (sound, why) in zip(batch["page_id"], map(sound_records, batch["record"]), strict=True) if why]
+            yield pd.DataFrame(found, columns=["page_id", "sound", "reason"])
+
+    return records.select("page_id", "record").mapInPandas(test, "page_id long, sound long, reason string")
+
+
 def archive_bytes(records: DataFrame) -> DataFrame:
     """Each record as one gzip member, so members of a partition can be concatenated into one archive file."""
     member = F.pandas_udf(lambda r: r.map(lambda b: gzip.compress(bytes(b), mtime=0)), "binary")

@@ -120,6 +120,70 @@ def test_warc_odd_pages(spark):
     assert all("WARC-Target-URI" not in bytes(r["record"]).decode() for r in got if r["page_id"] == 1)
 
 
+class Reader(__import__("html.parser", fromlist=["HTMLParser"]).HTMLParser):
+    """A plain second reading of a page: its letters without markup, and its links."""
+
+    def __init__(self):
+        super().__init__()
+        self.letters, self.links, self.title, self.skip = [], [], [], None
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_extract.RAW:
+            self.skip = tag
+        self.links += [v for k, v in attrs if tag == "a" and k == "href"]
+
+    def handle_endtag(self, tag):
+        self.skip = None if tag == self.skip else self.skip
+
+    def handle_data(self, data):
+        (self.letters if self.skip is None else self.title if self.skip == "title" else []).append(data)
+
+
+def test_warc_records_match_brute_force(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").withColumn("record", F.lit(1)).withColumn("headers", F.lit("x"))
+    got = {(r["page_id"], r["record_type"]): r for r in warc.derive(warc.responses(pages)).collect()}
+    rows = pages.collect()
+    assert len(got) == 2 * len(rows)
+    for r in rows:
+        (head, block), = warc.decode_records(warc.response_record(r["url"], r["html"], "2024-01-01T00:00:00Z"))
+        read = Reader()
+        read.feed(r["html"])
+        squeeze = lambda t: "".join(t.split())
+        made = {}
+        for kind in ("metadata", "conversion"):
+            (own, data), = warc.decode_records(bytes(got[r["page_id"], kind]["record"]))
+            made[kind] = data.decode()
+            assert own["warc-refers-to"] == head["warc-record-id"] and own["warc-refers-to-target-uri"] == own["warc-target-uri"] == r["url"]
+            assert own["warc-refers-to-date"] == head["warc-date"] and own["warc-block-digest"] == warc.sha1_digest(data)
+            assert got[r["page_id"], kind]["source_digest"] == head["warc-payload-digest"] == warc.sha1_digest(r["html"].encode())
+        assert squeeze(made["conversion"]) == squeeze("".join(read.letters))
+        fields = [line.split(": ", 1) for line in made["metadata"].split("\r\n") if line]
+        assert [v for k, v in fields if k == "outlink"] == read.links
+        assert [v for k, v in fields if k == "title"] == [" ".join("".join(read.title).split())]
+        assert [v for k, v in fields if k == "source-http-header"] == block.split(b"\r\n\r\n")[0].decode().split("\r\n")
+        assert dict(fields)["source-payload-verified"] == "true"
+
+
+def test_damaged_archives_lose_only_what_is_damaged(spark):
+    good = warc.response_record("http://a/", "<p>WARC/1.0 inside</p>", "2024-01-01T00:00:00Z")
+    zipped = gzip.compress(good)
+    cases = [(1, good + good, 2, None), (2, good + good[:-9], 1, "truncated block"), (3, zipped + zipped[:-12], 1, "truncated gzip member"), (4, good.replace(b"Content-Length: 1", b"Content-Length: x1"), 0, "no length"), (5, b"WARC/1.1\r\nContent-Length: 3", 0, "unfinished headers"), (6, good + b"junk", 1, "no version line"), (7, None, 0, None), (8, b"", 0, None), (9, good.replace(b"Content-Length: 1", b"Content-Length: 0"), 0, "no end of block"), (10, zipped[:10] + b"zzzz" + zipped[14:], 0, "gzip data")]
+    frame = spark.createDataFrame([(i, r) for i, r, _, _ in cases], "page_id long, record binary")
+    made = Counter(r["page_id"] for r in warc.derive(frame).collect())
+    told = {r["page_id"]: (r["sound"], r["reason"]) for r in warc.damaged(frame).collect()}
+    for i, _, sound, why in cases:
+        assert made[i] == 2 * sound and told.get(i, (sound, None)) == (sound, why) or (i == 10 and i in told), (i, told.get(i))
+    assert warc.derive(frame.limit(0)).count() == warc.damaged(frame.limit(0)).count() == 0
+
+
+def test_unclosed_scripts_and_tags_stay_hidden_in_linear_time():
+    assert warc.plain_text("<p>a<script>var x = 1;") == "a" and warc.plain_text("a <b") == "a" and warc.plain_text("1 < 2") == "1 < 2"
+    began = __import__("time").time()
+    for piece in ("<a ", '<a "', "<script>", "<!", "<p>", "<a b='", '<a "x'):
+        html_extract.blocks(piece * 20_000)
+    assert __import__("time").time() - began < 30
+
+
 # HTML
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><p>Site</p></header><nav><ul><li><a href=x>A</a><li><a href=y>B</a></ul></nav>
@@ -176,6 +240,19 @@ def test_titles_and_short_slots_stay(spark):
     assert all(got[i] == f"t{i} q{i} {prose(i)} {prose(i + 50)}" for i in range(6))
 
 
+def test_template_decides_and_repeated_pages_do_not(spark):
+    page = lambda i: f"<article><h1>t{i}</h1><p>{prose(i)}</p><div class=policy-alert><p>level {i}</p></div><p>Read on with us</p></article>"
+    whole = lambda i: f"t{i} {prose(i)} level {i} Read on with us"
+    assert [html_extract.main_text(page(i), None) for i in range(8)] == [whole(i) for i in range(8)]
+    got = site(spark, [page(i) for i in range(8)])
+    assert all(got[i] == whole(i).removesuffix(" Read on with us") for i in range(8))
+    rows = [(i, f"http://h.example/{i}", page(i), "x") for i in range(8) for _ in range(2)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    twice = html_extract.extract(frame).collect()
+    assert len(twice) == 16 and all(r["text"] == got[r["page_id"]] for r in twice)
+    assert html_extract.extract(frame.limit(0)).count() == 0
+
+
 def test_chrome_names_are_whole_names():
     text = lambda attributes, tag="div": html_extract.main_text(f"<p>a</p><{tag} {attributes}>b</{tag}>", None)
     for kept in ('class="overflow-hidden"', 'aria-hidden="false"', 'data-hidden="x"', 'class="social-science"', 'class="post-header"', 'title="not hidden"', 'class="search-theory text"'):
@@ -534,6 +611,15 @@ def test_lm_odd_rows(odd, none, labels):
     assert lm_score.cross_entropy_difference(odd, *lm_score.train(none, labels)).count() == odd.count()
 
 
+def test_lm_scores_rows_that_share_an_id_apart(spark, docs, labels):
+    trained = lm_score.train(docs, labels, vocabulary=500)
+    texts = ["the the the", "zzz qqq www vvv uuu", None]
+    alone = [lm_score.cross_entropy_difference(spark.createDataFrame([(1, t)], "doc_id long, text string"), *trained).first() for t in texts]
+    for i in (-5, None):
+        got = lm_score.cross_entropy_difference(spark.createDataFrame([(i, t) for t in texts], "doc_id long, text string"), *trained).collect()
+        assert sorted(tuple(r)[1:] for r in got) == sorted(tuple(r)[1:] for r in alone) and {r["doc_id"] for r in got} == {i}
+
+
 # media
 
 
