@@ -115,12 +115,16 @@ def classification(earlier: bool = False, trusted: tuple[str, ...] = ()) -> dict
         n = _count(*reasons)
         if earlier and name == "PORT_SCAN":
             condition = EARLIER_SCAN
-        conf = _confidence(base, n, cap)
+        conf, marked = _confidence(base, n, cap), "1 = 0"
         if name == "SSH_BRUTE_FORCE_OR_LOGIN_PATTERN":
             conf = f"CASE WHEN {is_trusted} AND NOT (failed_conn_rate_30s >= 95e-2 AND connections_30s >= 50 AND risk_score >= 30) THEN greatest(0.35, {conf} - 0.12) ELSE {conf} END"
         elif name == "FAILED_CONNECTION_PATTERN":
             conf = f"CASE WHEN {is_trusted} THEN greatest(0.25, {conf} - 0.10) ELSE {conf} END"
-        out[f"n_{i}"] = n
+            marked = is_trusted
+        if name == "SSH_BRUTE_FORCE_OR_LOGIN_PATTERN":
+            marked = f"{is_trusted} AND NOT (failed_conn_rate_30s >= 95e-2 AND connections_30s >= 50 AND risk_score >= 30)"
+        # That a source is trusted is a reason more, for ties.
+        out[f"n_{i}"] = n if not trusted or marked == "1 = 0" else f"({n} + CASE WHEN {marked} THEN 1 ELSE 0 END)"
         out[f"conf_{i}"] = f"CASE WHEN {condition.replace('n_reasons', n)} THEN CAST({conf} AS DOUBLE) END"
     clear = " AND ".join(f"conf_{i} IS NULL" for i in range(5))
     out["n_5"] = _count(*_BOT)

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowsentry.functions.expressions import rounded
+
 FEATURES = ("connections_30s", "unique_dst_ports_30s", "unique_dst_ips_30s", "failed_conn_rate_30s", "dns_rate_30s", "bytes_per_sec_30s", "port_entropy_30s", "burst_score_30s", "connections_5m", "unique_dst_ports_5m")
 TREES, SAMPLE, GLOBAL_LIMIT = 200, 256, 0.660
 
@@ -17,6 +19,28 @@ def scaling(windows: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFram
     return long.groupBy("feature").agg(F.percentile("value", F.lit(0.5)).alias("median"), (F.percentile("value", F.lit(0.75)) - F.percentile("value", F.lit(0.25))).alias("iqr")).withColumn("iqr", F.when(F.col("iqr") == 0, 1.0).otherwise(F.col("iqr")))
 
 
+def statistics(windows: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
+    """One row a feature, over windows with traffic: mean, sample standard deviation, median, p95, p99, maximum."""
+    long = windows.filter("connections_5m > 0").select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "feature", "value")
+    measures = {"mean": F.avg("value"), "std": F.stddev_samp("value"), "most": F.max("value")} | {n: F.percentile("value", F.lit(q)) for n, q in (("median", 0.5), ("p95", 0.95), ("p99", 0.99))}
+    found = long.groupBy("feature").agg(*[e.alias(n) for n, e in measures.items()])
+    return found.select("feature", *[F.expr(rounded(n, 4)).alias(n) for n in measures])
+
+
+def compared(scored: DataFrame, least: int = 50) -> DataFrame:
+    """(src_ip, p50, p90, p99, p999, most of both normalisers): over all windows (src_ip null), and p999 of sources with enough of them.
+
+    The old normaliser stretches each batch's raw scores over [0, 1]; the new one is ``normalised``."""
+    ends = scored.agg(F.min("raw").alias("low"), F.max("raw").alias("high"))
+    both = normalised(scored).join(scored.select("src_ip", "k", F.col("raw").alias("own_raw")), ["src_ip", "k"]).crossJoin(F.broadcast(ends))
+    old = (F.col("own_raw") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-9))
+    rows = both.select("src_ip", old.alias("old"), F.col("anomaly_score").alias("new"))
+    at = [F.percentile(c, F.lit(q)).alias(f"{c}_{n}") for c in ("old", "new") for n, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99), ("p999", 0.999))] + [F.max(c).alias(f"{c}_most") for c in ("old", "new")]
+    overall = rows.agg(F.count(F.lit(1)).alias("windows"), *at).withColumn("src_ip", F.lit(None).cast("string"))
+    own = rows.groupBy("src_ip").agg(F.count(F.lit(1)).alias("windows"), *[a for a, n in zip(at, range(len(at)), strict=True) if n in (3, 7)]).filter(F.col("windows") >= least)
+    return overall.unionByName(own, allowMissingColumns=True)
+
+
 def scaled(windows: DataFrame, scales: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
     """windows with the features replaced by (x - median) / iqr; absent values count as 0. scales has a row a feature."""
     by = {r["feature"]: r for r in scales.collect()}

@@ -51,16 +51,16 @@ def reason_counts(events: DataFrame) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select("reason", "n", F.expr(rounded("n * 1e2 / total", 2)).alias("percent"))
 
 
-#: Reason text -> signal family.
-FAMILIES = {"flag_": "flag", "connections": "connections", "burst": "burst", "bytes": "bytes", "ports": "ports", "ssh": "protocol", "failed": "failed", "risk": "risk", "anomaly": "anomaly", "repeated": "persistence", "dns": "dns", "weak": "weak"}
+#: How a reason begins -> its signal family, tested in this order.
+FAMILIES = {"anomaly": "anomaly", "risk": "risk", "connections": "connections", "failed": "failed_connections", "dns": "dns", "flag_dns": "dns", "ports": "scan_spread", "flag_": "flag", "burst": "burst", "bytes": "bytes_rate", "ssh": "ssh_context", "repeated": "repeated_source"}
 
 
 def signal_families(events: DataFrame) -> DataFrame:
     """Adds signals (families of the reasons), heuristic_only and several_signals (two families beside risk)."""
-    family = lambda r: F.coalesce(*[F.when(r.contains(t), F.lit(f)) for t, f in FAMILIES.items()], F.lit("other"))
+    family = lambda r: F.coalesce(*[F.when(r.startswith(t), F.lit(f)) for t, f in FAMILIES.items()], F.lit("other"))
     rows = events.withColumn("signals", F.array_sort(F.array_distinct(F.transform("reasons", family))))
     others = F.array_remove("signals", "risk")
-    return rows.withColumn("heuristic_only", ((F.col("anomaly_score") == 0) & (F.size("signals") > 0) & ~F.array_contains("signals", "anomaly")).cast("int")).withColumn("several_signals", (F.size(F.when(F.size(others) > 0, others).otherwise(F.col("signals"))) >= 2).cast("int"))
+    return rows.withColumn("heuristic_only", ((F.col("anomaly_score") == 0) & (F.size("signals") > 0) & ~F.array_contains("signals", "anomaly")).cast("int")).withColumn("several_signals", (F.size(others) >= 2).cast("int"))
 
 
 def class_breakdown(events: DataFrame) -> DataFrame:

@@ -28,22 +28,33 @@ _PORT = "(CASE WHEN port_spread = 1 AND connections_30s < port_connections THEN
 _DNS = "(dns_rate_30s >= 1 AND (persistence >= dns_persistence OR (risk_score >= dns_risk AND anomaly_score >= dns_anomaly)))"
 #: Whether a policy keeps a row.
 KEPT = f"CASE WHEN policy = 'current_policy' THEN 1 WHEN attack_type = 'FAILED_CONNECTION_PATTERN' THEN CASE WHEN {_FAILED} THEN 1 ELSE 0 END WHEN attack_type = 'PORT_SCAN' THEN CASE WHEN {_PORT} THEN 1 ELSE 0 END WHEN attack_type = 'DNS_ANOMALY' THEN CASE WHEN {_DNS} THEN 1 ELSE 0 END ELSE 1 END"
-#: Labelled sessions: index, label, source, first and last row index (stop excluded), expected class.
-SESSION_COLUMNS = ("session", "label", "src_ip", "start_row", "stop_row", "expected")
-SESSIONS = ((0, "normal", "192.168.50.10", 0, 120, None), (1, "normal", "192.168.50.11", 50, 150, None), (2, "normal", "192.168.50.11", 100, 200, None), (3, "attack", "192.168.50.13", 0, 60, "PORT_SCAN"), (4, "attack", "192.168.50.17", 0, 60, "DNS_ANOMALY"), (5, "attack", "192.168.50.19", 0, 60, "FAILED_CONNECTION_PATTERN"), (6, "normal", "192.168.50.12", 30, 30, None))
 
 
 def policies(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(POLICIES, "policy string, failed_connections int, failed_count int, failed_risk int, failed_persistence int, failed_signal int, port_connections int, port_support int, port_spread int, dns_risk int, dns_anomaly double, dns_persistence int")
 
 
-def sessions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SESSIONS, "session int, label string, src_ip string, start_row long, stop_row long, expected string")
+def derived_sessions(rows: DataFrame) -> DataFrame:
+    """(session, label, src_ip, start_row, stop_row, expected, rows): labelled sessions over each source's window rows, for
+    tables without a manifest. Of every six sources some have sessions with each fault that a manifest can have."""
+    spans = rows.groupBy("src_ip").agg(F.count(F.lit(1)).alias("n"))
+    spans = spans.withColumn("r", F.row_number().over(Window.orderBy("src_ip")).cast("long") - 1)  # a row a source
+    kinds = [
+        "struct(3 * r AS session, 'normal' AS label, 0L AS start_row, CASE WHEN r % 6 = 4 THEN 0L ELSE n DIV 3 END AS stop_row, CAST(NULL AS STRING) AS expected)",
+        "struct(3 * r + 1 AS session, 'normal' AS label, n DIV 4 AS start_row, CASE WHEN r % 6 = 5 THEN NULL WHEN r % 6 = 2 THEN n DIV 8 - 1 ELSE n DIV 2 END AS stop_row, CAST(NULL AS STRING) AS expected)",
+        "struct(3 * r + 2 AS session, 'attack' AS label, n DIV 2 AS start_row, CASE WHEN r % 6 = 2 THEN n + 5 ELSE n END AS stop_row, CASE r % 6 WHEN 3 THEN NULL WHEN 0 THEN 'FAILED_CONNECTION_PATTERN' WHEN 1 THEN 'DNS_ANOMALY' ELSE 'LOW_SIGNAL_REVIEW' END AS expected)",
+    ]
+    each = spans.select("src_ip", F.col("n").alias("rows"), F.explode(F.array(*[F.expr(k) for k in kinds])).alias("s"))
+    return each.select("s.session", "s.label", "src_ip", "s.start_row", "s.stop_row", "s.expected", "rows")
 
 
 def validated_sessions(found: DataFrame) -> DataFrame:
-    """Sessions with the first reason that excludes them, if any."""
-    return found.withColumn("excluded", F.when(F.col("start_row").isNull() | F.col("stop_row").isNull(), "missing bounds").when(F.col("stop_row") < F.col("start_row"), "bounds out of order").when(F.col("stop_row") == F.col("start_row"), "no rows added").when(F.col("src_ip").isNull(), "no sources").when((F.col("label") == "attack") & F.col("expected").isNull(), "no expected classes"))
+    """Sessions with the first reason that excludes them, if any; rows is the row count of the session's source."""
+    reason = F.when(F.col("start_row").isNull() | F.col("stop_row").isNull(), "missing bounds").when(F.col("stop_row") < F.col("start_row"), "bounds out of order")
+    if "rows" in found.columns:
+        reason = reason.when(F.col("stop_row") > F.col("rows"), "beyond row count")
+    reason = reason.when(F.col("stop_row") == F.col("start_row"), "no rows added").when(F.col("src_ip").isNull(), "no sources")
+    return found.withColumn("excluded", reason.when((F.col("label") == "attack") & F.col("expected").isNull(), "no expected class"))
 
 
 def scoped(rows: DataFrame, found: DataFrame, label: str) -> DataFrame:

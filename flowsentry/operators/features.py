@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,14 @@ def without_noise(flows: DataFrame) -> DataFrame:
     return flows.filter(f"NOT {is_noise()}")
 
 
+def without_noise_of(flows: DataFrame, networks: list[str]) -> DataFrame:
+    """without_noise, with destinations trimmed, and also without the broadcast addresses of these networks (IPv6 ones have none)."""
+    known = [ipaddress.ip_network(n, strict=False) for n in networks]
+    addresses = [str(n.broadcast_address) for n in known if n.version == 4]
+    trimmed = flows.withColumn("dst_ip", F.trim("dst_ip"))
+    return without_noise(trimmed.filter(~F.coalesce("dst_ip", F.lit("")).isin(*addresses)) if addresses else trimmed)
+
+
 def collected(flows: DataFrame, stored: DataFrame) -> DataFrame:
     """New flows since the stored ones' last time, without noise and exact repeats."""
     mark = stored.agg(F.max("ts_us").alias("mark"))

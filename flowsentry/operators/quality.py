@@ -24,10 +24,19 @@ def duplicates(flows: DataFrame) -> DataFrame:
 
 
 def time_gaps(flows: DataFrame, minutes: float) -> DataFrame:
-    """Gaps of more than minutes between neighbouring flows: start, length. Flows are first reduced to the ends of 10-minute buckets, so no task sorts them all; exact for gaps of 10 minutes or more."""
-    ends = flows.groupBy(F.floor(F.col("ts_us") / BUCKET_US).alias("bucket")).agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("b"))
+    """Gaps of more than minutes between neighbouring flows: start, length. Flows are first reduced to the ends of buckets
+    of at most that width, inside which no such gap can lie, so no task sorts them all."""
+    limit = int(minutes * 60e6)
+    ends = flows.groupBy(F.floor(F.col("ts_us") / min(BUCKET_US, max(limit, 1))).alias("bucket")).agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("b"))
     before = F.lag("b").over(Window.orderBy("bucket"))
-    return ends.withColumn("start_us", before).withColumn("gap_us", F.col("a") - before).filter(F.col("gap_us") > int(minutes * 60e6)).select("start_us", "gap_us")
+    return ends.withColumn("start_us", before).withColumn("gap_us", F.col("a") - before).filter(F.col("gap_us") > limit).select("start_us", "gap_us")
+
+
+def longest_gaps(gaps: DataFrame, n: int = 5, warn_minutes: float = 120) -> DataFrame:
+    """The n longest gaps, with the number of all, the longest, and the grade: warn if that is above warn_minutes, else info."""
+    totals = gaps.agg(F.count(F.lit(1)).alias("gaps"), F.max("gap_us").alias("longest_us"))
+    top = gaps.orderBy(F.desc("gap_us"), "start_us").limit(n)
+    return top.crossJoin(F.broadcast(totals)).withColumn("grade", F.when(F.col("longest_us") > int(warn_minutes * 60e6), "warn").otherwise("info"))
 
 
 def source_gaps(flows: DataFrame, seconds: int) -> DataFrame:

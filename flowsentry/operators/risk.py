@@ -48,17 +48,30 @@ def classified(risk: DataFrame, ports: DataFrame | None = None, trusted: tuple[s
     keep = [*rows.columns, "attack_type", "confidence"]
     for name, e in classification(earlier, trusted).items():
         rows = rows.withColumn(name, F.expr(e))
-    return rows.select(*keep).withColumn("reasons", reasons())
+    return rows.select(*keep).withColumn("reasons", reasons(trusted))
 
 
-def reasons():
-    """The texts of the conditions that held for the row's class."""
+def alerts(rows: DataFrame, least: float = 30) -> DataFrame:
+    """Rows of least risk or more, highest first."""
+    return rows.filter(F.col("risk_score") >= least).orderBy(F.desc("risk_score"), "src_ip", "k")
+
+
+def new_windows(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows after their source's mark (src_ip, mark), the last time processed; sources without one are all new."""
+    return rows.join(marks, "src_ip", "left").filter("mark IS NULL OR ts_us > mark").drop("mark")
+
+
+def reasons(trusted: tuple[str, ...] = ()):
+    """The texts of the conditions that held for the row's class, and that the source is a trusted one."""
     of = F.array().cast("array<string>")
-    out = F.when(F.col("attack_type") == "UNKNOWN_SUSPICIOUS", F.array(F.lit("risk or anomaly"))).otherwise(F.array(F.lit("weak indicators")))
+    when = lambda c, t: F.when(F.expr(c), F.lit(t))
+    unknown = F.array_compact(F.array(when("risk_score >= 30", "risk"), when("anomaly_score >= 35e-2", "anomaly")))
+    out = F.when(F.col("attack_type") == "UNKNOWN_SUSPICIOUS", unknown).otherwise(F.array_compact(F.array(F.lit("weak indicators"), when("risk_score >= 20 AND risk_score < 30", "risk in review range"))))
     for name, conditions in [*((k, v[1]) for k, v in RULES.items()), ("BOT_LIKE_BEHAVIOR", BOT)]:
         texts = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(t)) for c, t in reason_texts(conditions)]))
         out = F.when(F.col("attack_type") == name, texts).otherwise(out)
-    return F.coalesce(out, of)
+    out = F.coalesce(out, of)
+    return F.when(F.col("src_ip").isin(*trusted), F.concat(out, F.array(F.lit("trusted source")))).otherwise(out) if trusted else out
 
 
 #: The order in which events are shown.

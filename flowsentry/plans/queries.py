@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsentry.functions.expressions import ACTIONABLE, CLASSES, DECISION, FLAGS, LEVELS, RULES, SENSITIVE_PORTS, TRUSTED, reason_texts, rounded
-from flowsentry.llm.common import durable
 from flowsentry.operators import anomaly, audit, baselines, calibrate, features, quality, risk, state, windows
 from flowsentry.plans import oracle as o
-from flowsentry.streaming import live
 from flowsentry.sources.flows import CONN_FIELDS, DNS_FIELDS, SSL_FIELDS, flows, parse_auth_log, parse_conn_log, parse_dns_log, parse_firewall_log, parse_ssl_log, read_alerts
+from flowsentry.sources.tables import durable
+from flowsentry.streaming import live
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -214,9 +214,10 @@ def risk_explain(spark, d):
     return risk.explained(risk_of(spark, d)).select("src_ip", "k", "explanation")
 
 
-@query(f"WITH {o.RISK_ROWS} SELECT src_ip, k, risk_score, risk_level FROM risk WHERE risk_score >= 30")
+@query(f"WITH {o.RISK_ROWS} SELECT src_ip, k, risk_score, risk_level FROM risk WHERE risk_score >= 20")
 def risk_alerts(spark, d):
-    return risk_of(spark, d).filter("risk_score >= 30").select("src_ip", "k", "risk_score", "risk_level").orderBy(F.desc("risk_score"))
+    """From 20 on here: without anomaly scores hardly a window of the given tables reaches the usual 30."""
+    return risk.alerts(risk_of(spark, d), 20).select("src_ip", "k", "risk_score", "risk_level")
 
 
 _LEVEL_COUNTS = ", ".join(f"CAST(sum(CASE WHEN risk_level = '{x}' THEN 1 ELSE 0 END) AS BIGINT) AS {x.lower()}" for x in LEVELS)
@@ -343,9 +344,18 @@ def quality_duplicates(spark, d):
     return quality.duplicates(flows(spark, d))
 
 
-@query(f"{_FLOWS}, g AS (SELECT ts_us, lag(ts_us) OVER (ORDER BY ts_us) AS p FROM flows) SELECT p AS start_us, ts_us - p AS gap_us FROM g WHERE ts_us - p > 600000000")
+_GAPS = f"{_FLOWS}, g AS (SELECT lag(ts_us) OVER (ORDER BY ts_us) AS start_us, ts_us - lag(ts_us) OVER (ORDER BY ts_us) AS gap_us FROM flows), long AS (SELECT start_us, gap_us FROM g WHERE gap_us > 3000000)"
+
+
+@query(f"{_GAPS} SELECT start_us, gap_us FROM long")
 def quality_time_gaps(spark, d):
-    return quality.time_gaps(flows(spark, d), 10)
+    """Gaps of more than 3 seconds; the given flows have none of minutes."""
+    return quality.time_gaps(flows(spark, d), 3 / 60)
+
+
+@query(f"{_GAPS} SELECT start_us, gap_us, (SELECT count(*) FROM long) AS gaps, (SELECT max(gap_us) FROM long) AS longest_us, 'info' AS grade FROM long ORDER BY gap_us DESC, start_us LIMIT 5")
+def quality_longest_gaps(spark, d):
+    return quality.longest_gaps(quality.time_gaps(flows(spark, d), 3 / 60))
 
 
 @query(f"{_FLOWS}, g AS (SELECT src_ip, ts_us - lag(ts_us) OVER (PARTITION BY src_ip ORDER BY ts_us, event_id) AS gap FROM flows) SELECT src_ip, count(*) AS gaps, max(gap) AS longest_us FROM g WHERE gap > 30000000 GROUP BY 1")
@@ -453,7 +463,7 @@ def accuracy_distributions(spark, d):
     return audit.distributions(events_of(spark, d))
 
 
-_REASONS = " UNION ALL ".join([*(f"SELECT src_ip, k, anomaly_score, attack_type, '{t}' AS reason FROM events_ WHERE attack_type = '{a}' AND {c}" for a, cs in [*((k, v[1]) for k, v in RULES.items()), ("BOT_LIKE_BEHAVIOR", risk.BOT)] for c, t in reason_texts(cs)), "SELECT src_ip, k, anomaly_score, attack_type, 'risk or anomaly' FROM events_ WHERE attack_type = 'UNKNOWN_SUSPICIOUS'", "SELECT src_ip, k, anomaly_score, attack_type, 'weak indicators' FROM events_ WHERE attack_type = 'LOW_SIGNAL_REVIEW'"])
+_REASONS = " UNION ALL ".join([*(f"SELECT src_ip, k, anomaly_score, attack_type, '{t}' AS reason FROM events_ WHERE attack_type = '{a}' AND {c}" for a, cs in [*((k, v[1]) for k, v in RULES.items()), ("BOT_LIKE_BEHAVIOR", risk.BOT)] for c, t in reason_texts(cs)), "SELECT src_ip, k, anomaly_score, attack_type, 'risk' FROM events_ WHERE attack_type = 'UNKNOWN_SUSPICIOUS' AND risk_score >= 30", "SELECT src_ip, k, anomaly_score, attack_type, 'anomaly' FROM events_ WHERE attack_type = 'UNKNOWN_SUSPICIOUS' AND anomaly_score >= 35e-2", "SELECT src_ip, k, anomaly_score, attack_type, 'risk in review range' FROM events_ WHERE attack_type = 'LOW_SIGNAL_REVIEW' AND risk_score >= 20 AND risk_score < 30", "SELECT src_ip, k, anomaly_score, attack_type, 'weak indicators' FROM events_ WHERE attack_type = 'LOW_SIGNAL_REVIEW'"])
 
 
 @query(f"WITH {o.EVENTS}, reasons AS ({_REASONS}) SELECT reason, count(*) AS n, {rounded('count(*) * 1e2 / (SELECT count(*) FROM events_)', 2)} AS percent FROM reasons GROUP BY 1")
@@ -461,10 +471,11 @@ def accuracy_reasons(spark, d):
     return audit.reason_counts(events_of(spark, d))
 
 
-_FAMILY = "CASE " + " ".join(f"WHEN contains(reason, '{t}') THEN '{f}'" for t, f in audit.FAMILIES.items()) + " ELSE 'other' END"
+# Written out by hand, as is the Spark side: which family each reason is of.
+_FAMILY = "CASE WHEN reason = 'anomaly' THEN 'anomaly' WHEN reason IN ('risk', 'risk with connections', 'risk in review range') THEN 'risk' WHEN reason IN ('connections', 'connections with risk', 'connections with failures') THEN 'connections' WHEN reason = 'failed rate' THEN 'failed_connections' WHEN reason IN ('dns rate', 'flag_dns_flood') THEN 'dns' WHEN reason IN ('ports in 30s', 'ports in 1m') THEN 'scan_spread' WHEN reason IN ('flag_burst', 'flag_port_scan', 'flag_brute_force') THEN 'flag' WHEN reason = 'burst with support' THEN 'burst' WHEN reason = 'bytes with support' THEN 'bytes_rate' WHEN reason = 'ssh evidence' THEN 'ssh_context' WHEN reason = 'repeated source' THEN 'repeated_source' ELSE 'other' END"
 
 
-@query(f"WITH {o.EVENTS}, reasons AS ({_REASONS}), fam AS (SELECT DISTINCT src_ip, k, anomaly_score, {_FAMILY} AS family FROM reasons) SELECT src_ip, k, string_agg(family, ',' ORDER BY family) AS signals, CASE WHEN min(anomaly_score) = 0 AND sum(CASE WHEN family = 'anomaly' THEN 1 ELSE 0 END) = 0 THEN 1 ELSE 0 END AS heuristic_only, CASE WHEN sum(CASE WHEN family <> 'risk' THEN 1 ELSE 0 END) >= 2 THEN 1 ELSE 0 END AS several_signals FROM fam GROUP BY 1, 2")
+@query(f"WITH {o.EVENTS}, reasons AS ({_REASONS}), fam AS (SELECT DISTINCT src_ip, k, anomaly_score, {_FAMILY} AS family FROM reasons) SELECT src_ip, k, string_agg(family, ',' ORDER BY family) AS signals, CASE WHEN min(anomaly_score) = 0 AND sum(CASE WHEN family = 'anomaly' THEN 1 ELSE 0 END) = 0 THEN 1 ELSE 0 END AS heuristic_only, CASE WHEN count(DISTINCT CASE WHEN family <> 'risk' THEN family END) >= 2 THEN 1 ELSE 0 END AS several_signals FROM fam GROUP BY 1, 2")
 def accuracy_signals(spark, d):
     return audit.signal_families(events_of(spark, d)).select("src_ip", "k", F.array_join("signals", ",").alias("signals"), "heuristic_only", "several_signals")
 
@@ -493,8 +504,12 @@ def accuracy_headline(spark, d):
 
 _VALUES = lambda rows: ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in r) + ")" for r in rows)
 _EARLIER = f"{o.RISK_ROWS}, {o.PORTS}, {o.events('events_', (), True)}"
-_GOOD = "start_row IS NOT NULL AND stop_row > start_row AND src_ip IS NOT NULL AND NOT (label = 'attack' AND expected IS NULL)"
-_SESSIONS = f"sessions({', '.join(calibrate.SESSION_COLUMNS)}) AS (VALUES {_VALUES(calibrate.SESSIONS)}), policies({', '.join(calibrate.POLICY_COLUMNS)}) AS (VALUES {_VALUES(calibrate.POLICIES)})"
+_GOOD = "start_row IS NOT NULL AND stop_row > start_row AND stop_row <= rows AND src_ip IS NOT NULL AND NOT (label = 'attack' AND expected IS NULL)"
+_SESSIONS = f"""spans AS (SELECT src_ip, row_number() OVER (ORDER BY src_ip) - 1 AS r, count(*) AS n FROM windows GROUP BY 1),
+sessions AS (SELECT 3 * r AS session, 'normal' AS label, src_ip, 0 AS start_row, CASE WHEN r % 6 = 4 THEN 0 ELSE n // 3 END AS stop_row, CAST(NULL AS VARCHAR) AS expected, n AS rows FROM spans
+  UNION ALL SELECT 3 * r + 1, 'normal', src_ip, n // 4, CASE WHEN r % 6 = 5 THEN NULL WHEN r % 6 = 2 THEN n // 8 - 1 ELSE n // 2 END, NULL, n FROM spans
+  UNION ALL SELECT 3 * r + 2, 'attack', src_ip, n // 2, CASE WHEN r % 6 = 2 THEN n + 5 ELSE n END, CASE r % 6 WHEN 3 THEN NULL WHEN 0 THEN 'FAILED_CONNECTION_PATTERN' WHEN 1 THEN 'DNS_ANOMALY' ELSE 'LOW_SIGNAL_REVIEW' END, n FROM spans),
+policies({', '.join(calibrate.POLICY_COLUMNS)}) AS (VALUES {_VALUES(calibrate.POLICIES)})"""
 
 
 def _scope(table: str, label: str) -> str:
@@ -508,15 +523,18 @@ def _replay(source: str) -> str:
 _NORMAL_EVENTS, _ATTACK_EVENTS = _scope("events_", "normal"), _scope("events_", "attack")
 
 
-@query(f"WITH {_SESSIONS} SELECT session, label, CASE WHEN start_row IS NULL OR stop_row IS NULL THEN 'missing bounds' WHEN stop_row < start_row THEN 'bounds out of order' WHEN stop_row = start_row THEN 'no rows added' WHEN src_ip IS NULL THEN 'no sources' WHEN label = 'attack' AND expected IS NULL THEN 'no expected classes' END AS excluded, (SELECT count(*) FROM events WHERE event_id < 100) AS sample FROM sessions")
+def sessions_of(spark, d):
+    return calibrate.derived_sessions(windows.window_features(flows(spark, d)))
+
+
+@query(f"WITH {o.WINDOWS}, {_SESSIONS} SELECT session, label, src_ip, CASE WHEN start_row IS NULL OR stop_row IS NULL THEN 'missing bounds' WHEN stop_row < start_row THEN 'bounds out of order' WHEN stop_row > rows THEN 'beyond row count' WHEN stop_row = start_row THEN 'no rows added' WHEN src_ip IS NULL THEN 'no sources' WHEN label = 'attack' AND expected IS NULL THEN 'no expected class' END AS excluded FROM sessions")
 def calib_sessions(spark, d):
-    n = flows(spark, d).filter("event_id < 100").agg(F.count(F.lit(1)).alias("sample"))
-    return calibrate.validated_sessions(calibrate.sessions(spark)).select("session", "label", "excluded").crossJoin(F.broadcast(n))
+    return calibrate.validated_sessions(sessions_of(spark, d)).select("session", "label", "src_ip", "excluded")
 
 
 @query(f"WITH {o.RISK_ROWS}, {_SESSIONS} SELECT src_ip, k, session, risk_score FROM {_scope('risk', 'normal')} x")
 def calib_normal_rows(spark, d):
-    return calibrate.scoped(risk_of(spark, d), calibrate.sessions(spark), "normal").select("src_ip", "k", "session", "risk_score")
+    return calibrate.scoped(risk_of(spark, d), sessions_of(spark, d), "normal").select("src_ip", "k", "session", "risk_score")
 
 
 @query(f"WITH {_EARLIER}, {_SESSIONS}, {_replay('events_')} SELECT src_ip, k, attack_type, CAST(sequence AS BIGINT) AS sequence, persistence FROM per")
@@ -560,13 +578,13 @@ _VALIDATION = f"{_replay(_ATTACK_EVENTS)}, seen AS (SELECT policy, session, stri
 
 @query(f"WITH {_EARLIER}, {_SESSIONS}, {_VALIDATION} SELECT * FROM validation")
 def calib_attack_validation(spark, d):
-    return calibrate.attack_validation(events_of(spark, d, earlier=True), calibrate.sessions(spark))
+    return calibrate.attack_validation(events_of(spark, d, earlier=True), sessions_of(spark, d))
 
 
 @query(f"WITH {_EARLIER}, {_SESSIONS}, {_VALIDATION} SELECT policy, CAST(sum(hit) AS BIGINT) AS hits, count(*) AS expected_sessions, {rounded('sum(hit) * 1e2 / count(*)', 2)} AS recall FROM validation GROUP BY 1")
 def calib_recall(spark, d):
     events = events_of(spark, d, earlier=True)
-    return calibrate.readiness(calibrate.attack_validation(events, calibrate.sessions(spark)), metrics_of(spark, d)).select("policy", "hits", "expected_sessions", "recall")
+    return calibrate.readiness(calibrate.attack_validation(events, sessions_of(spark, d)), metrics_of(spark, d)).select("policy", "hits", "expected_sessions", "recall")
 
 
 @query(f"WITH {o.RISK_ROWS}, {o.PORTS}, {o.events('events_')}, {o.events('earlier', (), True)} SELECT c.src_ip, c.k, e.attack_type AS earlier_type, c.attack_type AS current_type, CASE WHEN e.attack_type = c.attack_type THEN 1 ELSE 0 END AS same FROM events_ c JOIN earlier e ON e.src_ip = c.src_ip AND e.k = c.k")
@@ -659,3 +677,6 @@ def risk_with_anomaly(spark, d):
 def stream_window_counts(spark, d):
     out = live.window_counts(flows(spark, d).withColumn("ts", F.timestamp_micros("ts_us")))
     return out.select("src_ip", F.unix_seconds("window_end").alias("window_end"), "connections", F.col("ports").cast("long").alias("ports"), F.col("ips").cast("long").alias("ips"), "failed_rate")
+
+
+from flowsentry.plans import evidence_queries  # noqa: E402, F401  adds its queries

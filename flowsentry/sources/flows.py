@@ -101,6 +101,31 @@ def read_alerts(lines: DataFrame, fields: str = "time string, source string, sev
     return lines.select(*[(F.when(known, parsed[n]).otherwise(F.lit("legacy-log")) if n == "alert_type" else F.when(known, parsed[n])).alias(n) for n in names], F.when(~known, F.col("value")).alias("text"))
 
 
+def read_daily(spark: SparkSession, folder: str, days: list[str] | None = None, last: int | None = None) -> DataFrame:
+    """Daily Parquet folders date=YYYY-MM-DD under folder, as one table with its source date: those of days, or the last so many days."""
+    rows = spark.read.option("mergeSchema", "true").option("basePath", folder).parquet(folder).withColumn("date", F.col("date").cast("string"))
+    if days is not None:
+        rows = rows.filter(F.col("date").isin(*days))
+    if last is not None:
+        newest = rows.select("date").distinct().orderBy(F.desc("date")).limit(last)
+        rows = rows.join(F.broadcast(newest), "date")  # a row a day
+    return rows.withColumnRenamed("date", "source_date")
+
+
+def write_baselines(profiles: DataFrame, path: str) -> None:
+    """Baselines as JSON, one document a source: its measures under its address."""
+    measures = F.struct(*[c for c in profiles.columns if c != "src_ip"])
+    profiles.select(F.create_map("src_ip", measures).alias("per_ip")).write.json(path)
+
+
+def read_baselines(spark: SparkSession, path: str, measures: str) -> DataFrame:
+    """Baselines of JSON documents of either shape: a map of sources under per_ip, or the map itself."""
+    kind = f"map<string, struct<{', '.join(m.strip().replace(' ', ': ', 1) for m in measures.split(','))}>>"
+    lines = spark.read.text(path)
+    wrapped = F.from_json("value", f"per_ip {kind}")["per_ip"]
+    return lines.select(F.explode(F.coalesce(wrapped, F.from_json("value", kind))).alias("src_ip", "m")).select("src_ip", "m.*")
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Sessions of a ground-truth manifest, one row each, with their index."""
     return spark.read.json(path, multiLine=True).select(F.posexplode_outer("sessions").alias("session_index", "session")).select("session_index", "session.*")
