@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowsentry.functions.expressions import ACTIONABLE, DECISION, rounded
 from flowsentry.operators.state import cooldown
+from flowsentry.operators.timelines import stretches
 
 GAP_US, COOLDOWN_US = 90_000_000, 600_000_000
 # The candidate policies and their thresholds.
@@ -67,9 +68,7 @@ def scoped(rows: DataFrame, found: DataFrame, label: str) -> DataFrame:
 
 def sequences(events: DataFrame, gap_us: int = GAP_US) -> DataFrame:
     """Adds sequence (number within source and class) and persistence (its length); a gap of up to gap_us continues one."""
-    along = Window.partitionBy("src_ip", "attack_type").orderBy("ts_us", "k")
-    new = F.when(F.col("ts_us") - F.lag("ts_us").over(along) <= gap_us, 0).otherwise(1)
-    numbered = events.withColumn("new", new).withColumn("sequence", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+    numbered = stretches(events, ["src_ip", "attack_type"], gap_us, "sequence", ("k",))
     return numbered.withColumn("persistence", F.count(F.lit(1)).over(Window.partitionBy("src_ip", "attack_type", "sequence")))
 
 
@@ -140,9 +139,12 @@ def unsent(events: DataFrame, sent: DataFrame) -> DataFrame:
 
 
 def due_alerts(events: DataFrame, pause_us: int = COOLDOWN_US, increase: float = 10.0) -> DataFrame:
-    """Actionable events that go out: pause_us after the source's and class's last one sent, or sooner if risk rose by increase since it."""
+    """Actionable events that go out: pause_us after the source's and class's last one sent, or sooner if risk rose by increase since it.
+
+    The first event after a pause always goes out, so each stretch without one is decided by itself."""
     rows = F.array_sort(F.collect_list(F.struct("ts_us", "k", "risk_score")))
-    grouped = events.filter("decision = 'actionable'").groupBy("src_ip", "attack_type").agg(rows.alias("rows"))
+    parted = stretches(events.filter("decision = 'actionable'"), ["src_ip", "attack_type"], pause_us, "stretch", ("k",), closed=False)
+    grouped = parted.groupBy("src_ip", "attack_type", "stretch").agg(rows.alias("rows"))
     empty = F.array().cast("array<struct<ts_us:bigint,k:bigint,risk_score:double>>")
     sends = lambda kept, x: (F.size(kept) == 0) | (x["ts_us"] - F.element_at(kept, -1)["ts_us"] >= pause_us) | (x["risk_score"] >= F.element_at(kept, -1)["risk_score"] + increase)
     kept = F.aggregate("rows", empty, lambda kept, x: F.when(sends(kept, x), F.concat(kept, F.array(x))).otherwise(kept))

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsentry.functions.expressions import is_noise, rounded
+from flowsentry.operators.timelines import previous
 
 BUCKET_US = 600_000_000
+#: Ids of flows that are looked at together for their order of arrival.
+ARRIVALS = 100_000
 REQUIRED = ("ts_us", "src_ip", "dst_ip", "dst_port", "proto", "conn_state", "orig_bytes", "resp_bytes", "duration")
 
 
@@ -41,15 +44,15 @@ def longest_gaps(gaps: DataFrame, n: int = 5, warn_minutes: float = 120) -> Data
 
 def source_gaps(flows: DataFrame, seconds: int) -> DataFrame:
     """Each source's gaps of more than seconds: number and longest."""
-    along = Window.partitionBy("src_ip").orderBy("ts_us", "event_id")
-    gaps = flows.withColumn("gap", F.col("ts_us") - F.lag("ts_us").over(along)).filter(F.col("gap") > seconds * 1_000_000)
+    timed = previous(flows, ["src_ip"], "ts_us", "ts_us", BUCKET_US, "before_us", ("event_id",))
+    gaps = timed.withColumn("gap", F.col("ts_us") - F.col("before_us")).filter(F.col("gap") > seconds * 1_000_000)
     return gaps.groupBy("src_ip").agg(F.count(F.lit(1)).alias("gaps"), F.max("gap").alias("longest_us"))
 
 
 def out_of_order(flows: DataFrame) -> DataFrame:
     """Flows of each source that arrived before an older one."""
-    along = Window.partitionBy("src_ip").orderBy("event_id")
-    return flows.withColumn("late", (F.col("ts_us") < F.lag("ts_us").over(along)).cast("int")).groupBy("src_ip").agg(F.coalesce(F.sum("late"), F.lit(0)).alias("late"))
+    arrived = previous(flows, ["src_ip"], "event_id", "ts_us", ARRIVALS, "before_us")
+    return arrived.withColumn("late", (F.col("ts_us") < F.col("before_us")).cast("int")).groupBy("src_ip").agg(F.coalesce(F.sum("late"), F.lit(0)).alias("late"))
 
 
 def variety(flows: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsentry.functions.expressions import SENSITIVE_PORTS, is_noise, rounded
+from flowsentry.operators.timelines import stretches
 
 AGO = {"30s": 30_000_000, "5m": 300_000_000, "1h": 3_600_000_000}
 _FAILED = "conn_state IN ('S0', 'REJ')"
@@ -68,15 +71,30 @@ def perimeter_scans(rows: DataFrame, threshold: int = 5, window_us: int = 30_000
     return rows.withColumn("ports", F.size(F.collect_set("dst_port").over(trailing)).cast("long")).filter(F.col("ports") >= threshold).select("src_ip", "ts_us", "event_id", "ports")
 
 
-def cooled(times: Column, pause_us: int) -> Column:
+def cooled(pause_us: int):
     """Of ascending times those kept when each must be pause_us or more after the last one kept."""
-    return F.aggregate(times, F.array().cast("array<bigint>"), lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= pause_us), F.concat(kept, F.array(t))).otherwise(kept))
+
+    def keep(times: np.ndarray) -> list[int]:
+        out, at = [], 0
+        while at < len(times):
+            out.append(int(times[at]))
+            at = int(np.searchsorted(times, times[at] + pause_us))
+        return out
+
+    @F.pandas_udf("array<bigint>")
+    def kept(rows: pd.Series) -> pd.Series:
+        return rows.map(keep)
+
+    return kept
 
 
 def cooldown(alerts: DataFrame, keys: list[str], pause_us: int) -> DataFrame:
-    """(keys, ts_us) of the alerts that are emitted; alerts of one key and time are one."""
-    times = alerts.groupBy(*keys).agg(F.array_sort(F.collect_set("ts_us")).alias("times"))
-    return times.select(*keys, F.explode(cooled(F.col("times"), pause_us)).alias("ts_us"))
+    """(keys, ts_us) of the alerts that are emitted; alerts of one key and time are one.
+
+    The first alert after a pause is always emitted, so each stretch of alerts without one is decided by itself."""
+    distinct = alerts.select(*keys, "ts_us").distinct()
+    times = stretches(distinct, keys, pause_us, "stretch", closed=False).groupBy(*keys, "stretch").agg(F.array_sort(F.collect_list("ts_us")).alias("times"))
+    return times.select(*keys, F.explode(cooled(pause_us)("times")).alias("ts_us"))
 
 
 def login_levels(logins: DataFrame, window_us: int = 60_000_000) -> DataFrame:
