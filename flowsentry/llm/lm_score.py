@@ -5,36 +5,43 @@ their counts: the target's come from the documents labelled good (and not held o
 documents. A document's score is the mean over its words of the target loss minus the background loss; lower is closer
 to the target.
 
-Counts run over every word of every document, are combined per batch and summed by shuffles. The models know the
-VOCABULARY most frequent words and every bigram of theirs that all documents hold LEAST times or more, so what they
-gather grows with the input; the mass of rarer bigrams goes to the unigram model, and each conditional distribution
-still sums to 1. Scoring finds the FREQUENT bigrams, most of all words, in a broadcast table of bounded size. The
-others leave each batch once for each document and meet the table of rare bigrams in a shuffled join; as each of them is
-rarer than one word in FREQUENT, no key of that join is hot. FREQUENT moves work between the two and changes no score.
-
-Edge cases: null or empty texts have 0 words and score 0; words outside the vocabulary are one class; without target
-rows both models are the background, and every score is 0; texts of any length are used whole; rows that repeat a
-doc_id, or have none, count and are scored each by itself; further columns are ignored.
+The vocabulary is every word that all documents hold LEAST times or more, the bigrams are all pairs of words that follow
+each other so often; other words are one class, and the mass of other bigrams goes to the unigram model, so each
+conditional distribution sums to 1. What the models gather thus grows with the input, and nothing in it has a most.
+
+A text's loss is a sum: each word adds its unigram loss, each context its loss of mass to bigrams, and each bigram of
+the models a correction. Scoring finds the most frequent words and bigrams (FREQUENT_WORDS, FREQUENT_BIGRAMS) in
+broadcast arrays of bounded size. The others leave each batch once for each document and meet their table in a shuffled
+join; words and bigrams that surely have no row there are told by a broadcast bitmap of FILTER_BITS and stay at home.
+Which rows are broadcast, and the bitmap's size, move work and change no score.
+
+Words are told apart by 64-bit hashes. Edge cases: null or empty texts have 0 words and score 0; without target rows
+both models are the background, and every score is 0; texts of any length are used whole; rows that repeat a doc_id, or
+have none, count and are scored each by itself; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowsentry.llm.common import checked_broadcast, durable, text_or_empty
-from flowsentry.llm.ngram_join import BLOCK_BYTES, word_hashes
+from flowsentry.llm.common import checked_broadcast, discard, durable, text_or_empty
+from flowsentry.llm.ngram_join import _FACTORS, BLOCK_BYTES, _mix, word_hashes
 
-#: Words of the models, the least count of their bigrams, and the most bigrams that are broadcast.
-VOCABULARY, LEAST, FREQUENT = 30_000, 3, 1_000_000
+#: The least count of the models' words and bigrams.
+LEAST = 3
+#: The most words and bigrams that are broadcast (40 and 24 bytes each), and the bits of the bitmap of the others (16 MB).
+FREQUENT_WORDS, FREQUENT_BIGRAMS, FILTER_BITS = 250_000, 500_000, 1 << 27
 #: Weight of the bigram model where all its mass is kept, and the added count of the unigram model.
 BIGRAM_WEIGHT, ADDED = 0.8, 0.5
+#: Names that no word has: before a row of a single word, before a text's first word, before a document's own row.
+SINGLE, START, OWN = 0, 1, -1
 
 
 def _blocks(texts: list[str]):
-    """(first text, words' hashes, the text of each word) for runs of texts of about BLOCK_BYTES."""
+    """(first text, words' hashes, the text of each word, texts) for runs of texts of about BLOCK_BYTES."""
     block: list[bytes] = []
     held = first = 0
     for i, text in enumerate(texts):
@@ -50,152 +57,201 @@ def _blocks(texts: list[str]):
 
 def _block(block: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
     hashes, starts = word_hashes(np.frombuffer(b" ".join(block), np.uint8))
+    words = hashes.view(np.int64)
     ends = np.cumsum([len(x) + 1 for x in block])
-    return hashes.view(np.int64), np.searchsorted(ends, starts, side="right"), len(block)
+    return np.where((words >= OWN) & (words <= START), START + 1, words), np.searchsorted(ends, starts, side="right"), len(block)
 
 
-def _marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, target): whether a document trains the target model."""
-    good = labels.filter((F.col("quality") == 1) & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1)).select("doc_id", F.lit(1).alias("target")).distinct()
-    return docs.select("doc_id", text_or_empty().alias("text")).join(checked_broadcast(good), "doc_id", "left").select("text", F.coalesce("target", F.lit(0)).alias("target"))
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word hash, n) over all documents."""
-
-    def count(batches):
-        for batch in batches:
-            found = [h for _, h, _, _ in _blocks(batch["text"].tolist())]
-            w, n = np.unique(np.concatenate(found) if found else np.empty(0, np.int64), return_counts=True)
-            yield pd.DataFrame({"word": w, "n": n})
-
-    return docs.select(text_or_empty().alias("text")).mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _named(words: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the distinct words, sorted, with START; of each word the place there of the word before it, and its own)."""
+    every, at = np.unique(np.append(words, START), return_inverse=True)
+    here, before = at[:-1], np.empty(len(words), np.int64)
+    before[1:] = here[:-1]
+    before[np.flatnonzero(np.diff(of, prepend=-1))] = at[-1]
+    return every, before, here
 
 
-def word_ids(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """1, 2, ... for the words of the sorted vocabulary, 0 for others."""
-    if not len(vocabulary):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == hashes, at + 1, 0)
+def pair_codes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A 64-bit code (uint64) of each bigram, or of each single word."""
+    return _mix(before.view(np.uint64) * _FACTORS[7] + word.view(np.uint64) * _FACTORS[8])
 
 
-def _codes(hashes: np.ndarray, of: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """The bigram code of each word; a text's first word follows the start class."""
-    ids = word_ids(hashes, vocabulary)
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[np.flatnonzero(np.diff(of, prepend=-1))] = len(vocabulary) + 1
-    return before * (len(vocabulary) + 2) + ids
+def _marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, target): whether a document trains the target model."""
+    good = labels.filter((F.col("quality") == 1) & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1)).select("doc_id", F.lit(1).alias("target")).distinct()
+    return docs.select("doc_id", text_or_empty().alias("text")).join(checked_broadcast(good), "doc_id", "left").select("text", F.coalesce("target", F.lit(0)).alias("target"))
 
 
-def bigram_counts(marked: DataFrame, shared) -> DataFrame:
-    """(code, n, n_target) over all documents."""
+def counts_of(marked: DataFrame, least: int) -> DataFrame:
+    """(before, word, n, t, c, ct): every word (before is SINGLE) and every bigram seen least times or more, with its count
+    in all and in target documents; c and ct count a word as a context (START: the texts with words)."""
 
     def count(batches):
         for batch in batches:
-            codes, weights = [], []
+            words, of, good = [], [], []
             targets = batch["target"].to_numpy()
-            for first, hashes, of, _ in _blocks(batch["text"].tolist()):
-                codes.append(_codes(hashes, of, shared.value))
-                weights.append(targets[first + of])
-            c, at, n = np.unique(np.concatenate(codes) if codes else np.empty(0, np.int64), return_inverse=True, return_counts=True)
-            t = np.bincount(at, np.concatenate(weights) if weights else None, minlength=len(c)).astype(np.int64)
-            yield pd.DataFrame({"code": c, "n": n, "n_target": t})
+            for first, found, texts, _ in _blocks(batch["text"].tolist()):
+                words.append(found)
+                of.append(first + texts)
+                good.append(targets[first + texts])
+            if not words:
+                continue
+            found, weight = np.concatenate(words), np.concatenate(good)
+            every, before, here = _named(found, np.concatenate(of))
+            size = len(every)
+            sums = lambda at, w=None, m=size: np.bincount(at, w, minlength=m).astype(np.int64)
+            yield pd.DataFrame({"before": SINGLE, "word": every, "n": sums(here), "t": sums(here, weight), "c": sums(before), "ct": sums(before, weight)})
+            code, at, n = np.unique(before * size + here, return_inverse=True, return_counts=True)
+            yield pd.DataFrame({"before": every[code // size], "word": every[code % size], "n": n, "t": sums(at, weight, len(code)), "c": 0, "ct": 0})
+
+    rows = marked.mapInPandas(count, "before long, word long, n long, t long, c long, ct long")
+    return rows.groupBy("before", "word").agg(*[F.sum(c).alias(c) for c in ("n", "t", "c", "ct")]).filter((F.col("before") == SINGLE) | (F.col("n") >= least))
+
+
+def _frequent(rows: DataFrame, limit: int) -> Column:
+    """Which rows are frequent: the highest quarter octaves of n that hold at most limit rows."""
+    octave = F.floor(4 * F.log2(F.col("n").cast("double")))
+    least, held = 1 << 30, 0
+    for r in sorted(rows.groupBy(octave.alias("octave")).agg(F.count(F.lit(1)).alias("rows")).collect(), reverse=True):
+        held += r["rows"]
+        if held > limit:
+            break
+        least = r["octave"]
+    return octave >= least
+
+
+def _bitmap(rows: DataFrame, bits: int) -> np.ndarray:
+    """The bits at the codes of rows (before, word), made in tasks; at most bits / 64 rows come to the driver."""
+
+    def mark(batches):
+        for batch in batches:
+            code = pair_codes(batch["before"].to_numpy(np.int64), batch["word"].to_numpy(np.int64)) & np.uint64(bits - 1)
+            slot, at = np.unique(code >> np.uint64(6), return_inverse=True)
+            held = np.zeros(len(slot), np.uint64)
+            np.bitwise_or.at(held, at, np.uint64(1) << (code & np.uint64(63)))
+            yield pd.DataFrame({"slot": slot.view(np.int64), "bits": held.view(np.int64)})
 
-    return marked.mapInPandas(count, "code long, n long, n_target long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    found = rows.select("before", "word").mapInPandas(mark, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(max(bits // 64, 1), np.uint64)
+    out[found["slot"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
 
 
 class Models:
-    """The two models' probabilities, as arrays; the bigrams are the frequent ones alone."""
-
-    def __init__(self, vocabulary: np.ndarray, unigrams: np.ndarray, contexts: np.ndarray, kept: np.ndarray, codes: np.ndarray, counts: np.ndarray):
-        """unigrams[k, id], contexts[k, id]: counts of words and of words as contexts; kept[k, id]: those before a bigram of the models; counts[k, i] of bigram codes[i]; k: 0 background, 1 target."""
-        self.vocabulary, self.codes, self.width = vocabulary, codes, len(vocabulary) + 2
-        self.single = (unigrams + ADDED) / (unigrams.sum(axis=1, keepdims=True) + ADDED * (self.width - 1))
-        self.total = np.maximum(contexts, 1)
-        self.rest = 1 - BIGRAM_WEIGHT * kept / self.total
-        self.known = self.losses_of(codes, counts)
-
-    def losses_of(self, codes: np.ndarray, counts: np.ndarray | float = 0.0) -> np.ndarray:
-        """losses[k, i]: negative log probabilities of bigrams with these counts."""
-        before, ids = codes // self.width, codes % self.width
-        return -np.log(self.rest[:, before] * self.single[:, ids] + BIGRAM_WEIGHT * counts / self.total[:, before])
-
-    def losses(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(losses[k, word], which bigrams are not frequent); theirs are the unigram model's alone."""
-        if not len(self.codes):
-            return self.losses_of(codes), np.ones(len(codes), bool)
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        rare = self.codes[at] != codes
-        out = self.known[:, at]
-        out[:, rare] = self.losses_of(codes[rare])
-        return out, rare
-
-
-def train(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, least: int = LEAST, frequent: int = FREQUENT) -> tuple[Models, DataFrame]:
-    """The models, and (code, background, target) of rare bigrams: what their counts change in the losses."""
-    spark = docs.sparkSession
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(vocabulary).toPandas()
-    words = np.sort(top["word"].to_numpy(np.int64))
-    width = len(words) + 2
-    pairs = durable(bigram_counts(_marked(docs, labels), spark.sparkContext.broadcast(words)))
-    sums = pairs.agg(F.sum("n").alias("n"), F.sum("n_target").alias("t")).first()
-    if not sums["t"]:
-        pairs = pairs.withColumn("n_target", F.col("n"))
-    id_, before = F.col("code") % width, F.floor(F.col("code") / width)
-    single, context, mass = np.zeros((2, width - 1)), np.zeros((2, width)), np.zeros((2, width))
-    kept = pairs.filter(F.col("n") >= least)
-    for frame, of, into in ((pairs, id_, single), (pairs, before, context), (kept, before, mass)):
-        for r in frame.groupBy(of.cast("long").alias("id")).agg(F.sum("n").alias("n"), F.sum("n_target").alias("t")).toPandas().itertuples():
-            into[:, r.id] = r.n, r.t
-    often = max(least, -(-(sums["n"] or 0) // frequent))
-    table = kept.filter(F.col("n") >= often).toPandas().sort_values("code")
-    counts = np.stack([table["n"].to_numpy(float), table["n_target"].to_numpy(float)])
-    models = Models(words, single, context, mass, table["code"].to_numpy(np.int64), counts)
-    shared = spark.sparkContext.broadcast(models)
-
-    def change(batches):
-        for batch in batches:
-            codes = batch["code"].to_numpy(np.int64)
-            d = shared.value.losses_of(codes, batch[["n", "n_target"]].to_numpy(float).T) - shared.value.losses_of(codes)
-            yield pd.DataFrame({"code": codes, "background": d[0], "target": d[1]})
-
-    return models, durable(kept.filter(F.col("n") < often).mapInPandas(change, "code long, background double, target double"))
+    """What scoring looks up: the loss of an unknown word in each model (0 background, 1 target), the frequent words' and
+    bigrams' changes to it, and the bitmap of the other ones that have any."""
+
+    def __init__(self, other: np.ndarray, words: pd.DataFrame, bigrams: pd.DataFrame, bits: np.ndarray):
+        words = words.sort_values("word")
+        codes = pair_codes(bigrams["before"].to_numpy(np.int64), bigrams["word"].to_numpy(np.int64))
+        order = np.argsort(codes)
+        self.other, self.bits = other, bits
+        self.words, self.codes = words["word"].to_numpy(np.int64), codes[order]
+        self.word_changes = words[["b", "t", "cb", "ct"]].to_numpy(float).T.copy()
+        self.corrections = bigrams[["b", "t"]].to_numpy(float)[order].T.copy()
+
+    @staticmethod
+    def _looked_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values of the asked keys, 0 where absent; which are there)."""
+        if not len(keys):
+            return np.zeros((len(values), len(asked))), np.zeros(len(asked), bool)
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        there = keys[at] == asked
+        return np.where(there, values[:, at], 0.0), there
+
+    def of_words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._looked_up(self.words, self.word_changes, words)
+
+    def of_bigrams(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._looked_up(self.codes, self.corrections, codes)
+
+    def may_hold(self, codes: np.ndarray) -> np.ndarray:
+        at = codes & np.uint64(64 * len(self.bits) - 1)
+        return (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+
+
+def train(docs: DataFrame, labels: DataFrame, least: int = LEAST, words: int = FREQUENT_WORDS, bigrams: int = FREQUENT_BIGRAMS, bits: int = FILTER_BITS) -> tuple[Models, DataFrame]:
+    """The models' frequent part, and (before, word, b, t, cb, ct) of the rest: what a word (before is SINGLE) or bigram
+    changes in the background's and the target's loss, and a word as context."""
+    counts = durable(counts_of(_marked(docs, labels), least))
+    known = F.col("n") >= least
+    single = counts.filter(F.col("before") == SINGLE)
+    sums = single.agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum(F.when(known, F.col("n"))).alias("known_n"), F.sum(F.when(known, F.col("t"))).alias("known_t"), F.count_if(known).alias("words")).first()
+    total = {"n": sums["n"] or 0, "t": sums["t"] or 0}
+    rest = {"n": total["n"] - (sums["known_n"] or 0), "t": total["t"] - (sums["known_t"] or 0)}
+    read = counts
+    if not total["t"]:
+        total["t"], rest["t"] = total["n"], rest["n"]
+        read = counts.withColumns({"t": F.col("n"), "ct": F.col("c")})
+    over = {x: max(total[x], 1) + ADDED * (sums["words"] + 1) for x in total}
+    other = np.array([-np.log((rest[x] + ADDED) / over[x]) for x in ("n", "t")])
+
+    pairs = read.filter(F.col("before") != SINGLE)
+    mass = pairs.groupBy(F.col("before").alias("word")).agg(F.sum("n").alias("mn"), F.sum("t").alias("mt"))
+    lost = lambda m, c: -F.log(1 - BIGRAM_WEIGHT * F.coalesce(F.col(m), F.lit(0)) / F.greatest(F.col(c), F.lit(1)))
+    gain = lambda x, o: -F.log((F.col(x) + ADDED) / over[x]) - float(o)
+    vocabulary = read.filter((F.col("before") == SINGLE) & (known | (F.col("word") == START))).join(mass, "word", "left")
+    vocabulary = durable(vocabulary.select("before", "word", F.greatest("n", "c").alias("n"), F.greatest("c", F.lit(1)).alias("contexts"), F.greatest("ct", F.lit(1)).alias("target_contexts"), gain("n", other[0]).alias("b"), gain("t", other[1]).alias("t"), lost("mn", "c").alias("cb"), lost("mt", "ct").alias("ct")))
+
+    context = vocabulary.select(F.col("word").alias("before"), "contexts", "target_contexts", "cb", "ct")
+    follower = vocabulary.select("word", F.col("b").alias("wb"), F.col("t").alias("wt"))
+    joined = pairs.select("before", "word", "n", F.col("t").alias("nt")).join(context, "before").join(follower, "word")
+
+    def correction(count: str, contexts: str, lost_: str, gained: str, o: float) -> Column:
+        without = F.col(lost_) + F.col(gained) + float(o)
+        return -F.log(F.exp(-without) + BIGRAM_WEIGHT * F.col(count) / F.col(contexts)) - without
+
+    zero = F.lit(0.0)
+    corrected = durable(joined.select("before", "word", "n", correction("n", "contexts", "cb", "wb", other[0]).alias("b"), correction("nt", "target_contexts", "ct", "wt", other[1]).alias("t"), zero.alias("cb"), zero.alias("ct")))
+    discard(counts)
+
+    often_words, often_bigrams = _frequent(vocabulary, words), _frequent(corrected, bigrams)
+    rare = vocabulary.filter(~often_words).select("before", "word", "b", "t", "cb", "ct").unionByName(corrected.filter(~often_bigrams).drop("n"))
+    models = Models(other, vocabulary.filter(often_words).select("word", "b", "t", "cb", "ct").toPandas(), corrected.filter(often_bigrams).select("before", "word", "b", "t").toPandas(), _bitmap(rare, bits))
+    return models, rare
 
 
 def _scored(docs: DataFrame, models: Models) -> DataFrame:
-    """Two kinds of rows: of each document (a negative code, its words and losses), and of each of its bigrams that are not frequent (code, times).
+    """Two kinds of rows: of each document (before is OWN: its words and losses), and of each of its words and bigrams that
+    are in no broadcast array but may be in the models (before, word, times, times as context).
 
     row numbers the rows of docs: ids may repeat. It follows from the place in the files, so a task that runs again gives the same."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def rate(batches):
+        m = shared.value
         for batch in batches:
             ids, numbers = batch["doc_id"], batch["row"].to_numpy(np.int64)
-            for first, hashes, of, size in _blocks(batch["text"].tolist()):
-                codes = _codes(hashes, of, shared.value.vocabulary)
-                losses, rare = shared.value.losses(codes)
-                sums = [np.bincount(of, x, minlength=size) for x in losses]
+            for first, words, of, size in _blocks(batch["text"].tolist()):
+                every, before, here = _named(words, of)
+                changes, there = m.of_words(every)
+                codes = pair_codes(every[before], every[here])
+                fixed, known = m.of_bigrams(codes)
+                losses = m.other[:, None] + changes[:2, here] + changes[2:, before] + fixed
                 own = numbers[first : first + size]
-                yield pd.DataFrame({"code": -1 - np.arange(first, first + size), "row": own, "doc_id": ids.iloc[first : first + size].to_numpy(), "own": True, "n": np.bincount(of, minlength=size), "background": sums[0], "target": sums[1]})
-                # Bigrams of one document follow each other, so times are runs of one code.
-                of, codes = of[rare], codes[rare]
-                order = np.lexsort((of, codes))
-                of, codes = of[order], codes[order]
-                starts = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(codes, prepend=-1) != 0))
-                yield pd.DataFrame({"code": codes[starts], "row": own[of[starts]], "doc_id": None, "own": False, "n": np.diff(np.append(starts, len(of))), "background": 0.0, "target": 0.0})
+                sums = [np.bincount(of, x, minlength=size) for x in losses]
+                yield pd.DataFrame({"before": OWN, "word": own, "row": own, "doc_id": ids.iloc[first : first + size].to_numpy(), "n": np.bincount(of, minlength=size), "c": 0, "background": sums[0], "target": sums[1]})
+                # Each text's distinct bigrams and words, numbered inside the block.
+                left, total = ~known & m.may_hold(codes), len(every)
+                pair, n = np.unique((of[left] * total + before[left]) * total + here[left], return_counts=True)
+                text, pair = pair // (total * total), pair % (total * total)
+                yield pd.DataFrame({"before": every[pair // total], "word": every[pair % total], "row": own[text], "doc_id": None, "n": n, "c": 0, "background": 0.0, "target": 0.0})
+                asked = ~there & m.may_hold(pair_codes(np.full(total, SINGLE, np.int64), every))
+                as_word, as_context = asked[here], asked[before]
+                single, at = np.unique(np.concatenate([of[as_word] * total + here[as_word], of[as_context] * total + before[as_context]]), return_inverse=True)
+                k, every_n = int(as_word.sum()), len(single)
+                yield pd.DataFrame({"before": SINGLE, "word": every[single % total], "row": own[single // total], "doc_id": None, "n": np.bincount(at[:k], minlength=every_n), "c": np.bincount(at[k:], minlength=every_n), "background": 0.0, "target": 0.0})
 
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text_or_empty().alias("text"))
-    return rows.mapInPandas(rate, "code long, row long, doc_id long, own boolean, n int, background double, target double")
+    return rows.mapInPandas(rate, "before long, word long, row long, doc_id long, n int, c int, background double, target double")
 
 
 def cross_entropy_difference(docs: DataFrame, models: Models, rare: DataFrame) -> DataFrame:
     """(doc_id, n_words, target_loss, background_loss, ce_diff) of every document; losses are means over words."""
-    changes = rare.select("code", F.col("background").alias("b"), F.col("target").alias("t"))
-    met = _scored(docs, models).join(changes, "code", "left").filter(F.col("own") | F.col("b").isNotNull())
-    loss = lambda base, change: F.when(F.col("own"), F.col(base)).otherwise(F.col("n") * F.col(change))
-    parts = met.select("row", "doc_id", F.when(F.col("own"), F.col("n")).otherwise(0).alias("n"), loss("background", "b").alias("b"), loss("target", "t").alias("t"))
-    sums = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_words"), F.sum("b").alias("b"), F.sum("t").alias("t"))
+    own = F.col("before") == OWN
+    met = _scored(docs, models).join(rare, ["before", "word"], "left").filter(own | F.col("b").isNotNull())
+    loss = lambda base, change, context: F.when(own, F.col(base)).otherwise(F.col("n") * F.col(change) + F.col("c") * F.col(context))
+    parts = met.select("row", "doc_id", F.when(own, F.col("n")).otherwise(0).alias("words"), loss("background", "b", "cb").alias("bl"), loss("target", "t", "ct").alias("tl"))
+    sums = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("words").alias("n_words"), F.sum("bl").alias("bl"), F.sum("tl").alias("tl"))
     mean = lambda c: F.col(c) / F.greatest("n_words", F.lit(1))
-    return sums.select("doc_id", "n_words", mean("t").alias("target_loss"), mean("b").alias("background_loss"), (mean("t") - mean("b")).alias("ce_diff"))
+    return sums.select("doc_id", "n_words", mean("tl").alias("target_loss"), mean("bl").alias("background_loss"), (mean("tl") - mean("bl")).alias("ce_diff"))

@@ -573,35 +573,36 @@ def test_mixed_rows_hold_the_words_taken(docs, odd, none):
 # LM scores
 
 
-@pytest.mark.parametrize("frequent", [1, 500, 10**6])
-def test_lm_models_are_distributions_and_match_brute_force(spark, docs, labels, frequent):
-    models, rare = lm_score.train(docs, labels, vocabulary=50, least=3, frequent=frequent)
-    width = len(models.vocabulary) + 2
+@pytest.mark.parametrize(("words", "bigrams", "bits"), [(0, 0, 64), (50, 500, 1 << 10), (10**6, 10**6, 1 << 20)])
+def test_lm_models_are_distributions_and_match_brute_force(spark, docs, labels, words, bigrams, bits):
+    models, rare = lm_score.train(docs, labels, words=words, bigrams=bigrams, bits=bits)
+    assert (rare.count() == 0) == (words > 50) and len(models.words) <= words and len(models.codes) <= bigrams
     good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1 and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
-    rows = docs.collect()
-    ids = {r["doc_id"]: lm_score.word_ids(np.concatenate([h for _, h, _, _ in lm_score._blocks([r["text"] or ""])] or [np.empty(0, np.int64)]), models.vocabulary).tolist() for r in rows}
+    texts = {r["doc_id"]: re.findall(r"[^\x20\x09-\x0D]+", (r["text"] or "").translate({x: x + 32 for x in range(65, 91)})) for r in docs.collect()}
     got = {r["doc_id"]: r for r in lm_score.cross_entropy_difference(docs, models, rare).collect()}
-    assert len(got) == len(rows)
-    bigrams = {d: list(zip([width - 1, *ids[d]], ids[d], strict=False)) for d in ids}
-    everywhere = Counter(x for d in ids for x in bigrams[d])
-    kept = {x for x, n in everywhere.items() if n >= 3}
-    for k, chosen in ((0, set(ids)), (1, good & set(ids))):
-        pairs = Counter(x for d in chosen for x in bigrams[d])
+    assert len(got) == len(texts)
+    followed = {d: list(zip([None, *texts[d]], texts[d], strict=False)) for d in texts}
+    known = {w for w, n in Counter(w for d in texts for w in texts[d]).items() if n >= lm_score.LEAST}
+    kept = {x for x, n in Counter(x for d in texts for x in followed[d]).items() if n >= lm_score.LEAST}
+    assert len(known) > 50 and len(kept) > 50
+    for k, chosen in ((0, set(texts)), (1, good & set(texts))):
+        pairs = Counter(x for d in chosen for x in followed[d])
         context, single, mass = Counter(), Counter(), Counter()
         for (a, b), n in pairs.items():
             context[a] += n
-            single[b] += n
+            single[b if b in known else 0] += n
             mass[a] += n if (a, b) in kept else 0
         n_all = sum(single.values())
 
         def p(a, b, pairs=pairs, context=context, single=single, mass=mass, n_all=n_all):
             total = max(context[a], 1)
-            return (1 - lm_score.BIGRAM_WEIGHT * mass[a] / total) * (single[b] + lm_score.ADDED) / (n_all + lm_score.ADDED * (width - 1)) + (lm_score.BIGRAM_WEIGHT * pairs[a, b] / total if (a, b) in kept else 0)
+            alone = (single[b if b in known else 0] + lm_score.ADDED) / (n_all + lm_score.ADDED * (len(known) + 1))
+            return (1 - lm_score.BIGRAM_WEIGHT * mass[a] / total) * alone + (lm_score.BIGRAM_WEIGHT * pairs[a, b] / total if (a, b) in kept else 0)
 
-        for a in (0, 3, width - 1):
-            assert abs(sum(p(a, b) for b in range(width - 1)) - 1) < 1e-9
-        for d in ids:
-            want = np.mean([-np.log(p(a, b)) for a, b in bigrams[d]]) if ids[d] else 0.0
+        for a in (None, *sorted(known)[:3], "never seen"):
+            assert abs(sum(p(a, b) for b in (*known, 0)) - 1) < 1e-9
+        for d in texts:
+            want = np.mean([-np.log(p(a, b)) for a, b in followed[d]]) if texts[d] else 0.0
             assert abs(got[d]["target_loss" if k else "background_loss"] - want) < 1e-9
 
 
@@ -612,7 +613,7 @@ def test_lm_odd_rows(odd, none, labels):
 
 
 def test_lm_scores_rows_that_share_an_id_apart(spark, docs, labels):
-    trained = lm_score.train(docs, labels, vocabulary=500)
+    trained = lm_score.train(docs, labels)
     texts = ["the the the", "zzz qqq www vvv uuu", None]
     alone = [lm_score.cross_entropy_difference(spark.createDataFrame([(1, t)], "doc_id long, text string"), *trained).first() for t in texts]
     for i in (-5, None):
