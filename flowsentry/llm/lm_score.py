@@ -15,7 +15,8 @@ broadcast arrays of bounded size. The others leave each batch once for each docu
 join; words and bigrams that surely have no row there are told by a broadcast bitmap of FILTER_BITS and stay at home.
 Which rows are broadcast, and the bitmap's size, move work and change no score.
 
-Words are told apart by 64-bit hashes. Edge cases: null or empty texts have 0 words and score 0; without target rows
+Words are told apart by 64-bit hashes, of which a sample's most common words (NAMED_WORDS) get short ones, so that most
+rows of a shuffle are small; that changes no count. Edge cases: null or empty texts have 0 words and score 0; without target rows
 both models are the background, and every score is 0; texts of any length are used whole; rows that repeat a doc_id, or
 have none, count and are scored each by itself; further columns are ignored.
 """
@@ -34,10 +35,14 @@ from flowsentry.llm.ngram_join import _FACTORS, BLOCK_BYTES, _mix, word_hashes
 LEAST = 3
 #: The most words and bigrams that are broadcast (40 and 24 bytes each), and the bits of the bitmap of the others (16 MB).
 FREQUENT_WORDS, FREQUENT_BIGRAMS, FILTER_BITS = 250_000, 500_000, 1 << 27
+#: The share of documents whose most common words get short names, and how many do.
+NAMING_SHARE, NAMED_WORDS = 1 / 16, 60_000
 #: Weight of the bigram model where all its mass is kept, and the added count of the unigram model.
 BIGRAM_WEIGHT, ADDED = 0.8, 0.5
 #: Names that no word has: before a row of a single word, before a text's first word, before a document's own row.
 SINGLE, START, OWN = 0, 1, -1
+#: Names below this are short ones.
+SHORT = 1 << 16
 
 
 def _blocks(texts: list[str]):
@@ -59,16 +64,39 @@ def _block(block: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
     hashes, starts = word_hashes(np.frombuffer(b" ".join(block), np.uint8))
     words = hashes.view(np.int64)
     ends = np.cumsum([len(x) + 1 for x in block])
-    return np.where((words >= OWN) & (words <= START), START + 1, words), np.searchsorted(ends, starts, side="right"), len(block)
+    return np.where((words >= OWN) & (words < SHORT), SHORT, words), np.searchsorted(ends, starts, side="right"), len(block)
 
 
-def _named(words: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(the distinct words, sorted, with START; of each word the place there of the word before it, and its own)."""
-    every, at = np.unique(np.append(words, START), return_inverse=True)
+def _named(words: np.ndarray, of: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the distinct words' names, sorted, with START; of each word the place there of the word before it, and its own).
+
+    short holds the sorted hashes of words whose names are START + 1, START + 2, ..."""
+    found, at = np.unique(np.append(words, START), return_inverse=True)
+    if len(short):
+        place = np.minimum(np.searchsorted(short, found), len(short) - 1)
+        found = np.where(short[place] == found, place + START + 1, found)
+    order = np.argsort(found)
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    at = rank[at]
     here, before = at[:-1], np.empty(len(words), np.int64)
     before[1:] = here[:-1]
     before[np.flatnonzero(np.diff(of, prepend=-1))] = at[-1]
-    return every, before, here
+    return found[order], before, here
+
+
+def short_names(docs: DataFrame, share: float = NAMING_SHARE, most: int = NAMED_WORDS) -> np.ndarray:
+    """The sorted hashes of the most common words of a sample of docs."""
+
+    def count(batches):
+        for batch in batches:
+            found = [words for _, words, _, _ in _blocks(batch["text"].tolist())]
+            w, n = np.unique(np.concatenate(found) if found else np.empty(0, np.int64), return_counts=True)
+            yield pd.DataFrame({"word": w, "n": n})
+
+    rows = docs.sample(share, seed=1).select(text_or_empty().alias("text")).mapInPandas(count, "word long, n long")
+    top = rows.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(min(most, SHORT - START - 1))
+    return np.sort(top.select("word").toArrow()["word"].to_numpy())
 
 
 def pair_codes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -82,7 +110,7 @@ def _marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_or_empty().alias("text")).join(checked_broadcast(good), "doc_id", "left").select("text", F.coalesce("target", F.lit(0)).alias("target"))
 
 
-def counts_of(marked: DataFrame, least: int) -> DataFrame:
+def counts_of(marked: DataFrame, least: int, short) -> DataFrame:
     """(before, word, n, t, c, ct): every word (before is SINGLE) and every bigram seen least times or more, with its count
     in all and in target documents; c and ct count a word as a context (START: the texts with words)."""
 
@@ -97,7 +125,7 @@ def counts_of(marked: DataFrame, least: int) -> DataFrame:
             if not words:
                 continue
             found, weight = np.concatenate(words), np.concatenate(good)
-            every, before, here = _named(found, np.concatenate(of))
+            every, before, here = _named(found, np.concatenate(of), short.value)
             size = len(every)
             sums = lambda at, w=None, m=size: np.bincount(at, w, minlength=m).astype(np.int64)
             yield pd.DataFrame({"before": SINGLE, "word": every, "n": sums(here), "t": sums(here, weight), "c": sums(before), "ct": sums(before, weight)})
@@ -131,9 +159,9 @@ def _bitmap(rows: DataFrame, bits: int) -> np.ndarray:
             np.bitwise_or.at(held, at, np.uint64(1) << (code & np.uint64(63)))
             yield pd.DataFrame({"slot": slot.view(np.int64), "bits": held.view(np.int64)})
 
-    found = rows.select("before", "word").mapInPandas(mark, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toPandas()
+    found = rows.select("before", "word").mapInPandas(mark, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(max(bits // 64, 1), np.uint64)
-    out[found["slot"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    out[found["slot"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return out
 
 
@@ -141,11 +169,11 @@ class Models:
     """What scoring looks up: the loss of an unknown word in each model (0 background, 1 target), the frequent words' and
     bigrams' changes to it, and the bitmap of the other ones that have any."""
 
-    def __init__(self, other: np.ndarray, words: pd.DataFrame, bigrams: pd.DataFrame, bits: np.ndarray):
+    def __init__(self, short: np.ndarray, other: np.ndarray, words: pd.DataFrame, bigrams: pd.DataFrame, bits: np.ndarray):
         words = words.sort_values("word")
         codes = pair_codes(bigrams["before"].to_numpy(np.int64), bigrams["word"].to_numpy(np.int64))
         order = np.argsort(codes)
-        self.other, self.bits = other, bits
+        self.short, self.other, self.bits = short, other, bits
         self.words, self.codes = words["word"].to_numpy(np.int64), codes[order]
         self.word_changes = words[["b", "t", "cb", "ct"]].to_numpy(float).T.copy()
         self.corrections = bigrams[["b", "t"]].to_numpy(float)[order].T.copy()
@@ -173,7 +201,8 @@ class Models:
 def train(docs: DataFrame, labels: DataFrame, least: int = LEAST, words: int = FREQUENT_WORDS, bigrams: int = FREQUENT_BIGRAMS, bits: int = FILTER_BITS) -> tuple[Models, DataFrame]:
     """The models' frequent part, and (before, word, b, t, cb, ct) of the rest: what a word (before is SINGLE) or bigram
     changes in the background's and the target's loss, and a word as context."""
-    counts = durable(counts_of(_marked(docs, labels), least))
+    short = short_names(docs)
+    counts = durable(counts_of(_marked(docs, labels), least, docs.sparkSession.sparkContext.broadcast(short)))
     known = F.col("n") >= least
     single = counts.filter(F.col("before") == SINGLE)
     sums = single.agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum(F.when(known, F.col("n"))).alias("known_n"), F.sum(F.when(known, F.col("t"))).alias("known_t"), F.count_if(known).alias("words")).first()
@@ -207,7 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, least: int = LEAST, words: int = F
 
     often_words, often_bigrams = _frequent(vocabulary, words), _frequent(corrected, bigrams)
     rare = vocabulary.filter(~often_words).select("before", "word", "b", "t", "cb", "ct").unionByName(corrected.filter(~often_bigrams).drop("n"))
-    models = Models(other, vocabulary.filter(often_words).select("word", "b", "t", "cb", "ct").toPandas(), corrected.filter(often_bigrams).select("before", "word", "b", "t").toPandas(), _bitmap(rare, bits))
+    models = Models(short, other, vocabulary.filter(often_words).select("word", "b", "t", "cb", "ct").toArrow().to_pandas(), corrected.filter(often_bigrams).select("before", "word", "b", "t").toArrow().to_pandas(), _bitmap(rare, bits))
     return models, rare
 
 
@@ -223,7 +252,7 @@ def _scored(docs: DataFrame, models: Models) -> DataFrame:
         for batch in batches:
             ids, numbers = batch["doc_id"], batch["row"].to_numpy(np.int64)
             for first, words, of, size in _blocks(batch["text"].tolist()):
-                every, before, here = _named(words, of)
+                every, before, here = _named(words, of, m.short)
                 changes, there = m.of_words(every)
                 codes = pair_codes(every[before], every[here])
                 fixed, known = m.of_bigrams(codes)
