@@ -37,6 +37,8 @@ LEAST = 3
 FREQUENT_WORDS, FREQUENT_BIGRAMS, FILTER_BITS = 250_000, 500_000, 1 << 27
 #: The share of documents whose most common words get short names, and how many do.
 NAMING_SHARE, NAMED_WORDS = 1 / 16, 60_000
+#: Words that are counted together in a task before they leave it: a bound on its memory.
+RUN_WORDS = 1 << 20
 #: Weight of the bigram model where all its mass is kept, and the added count of the unigram model.
 BIGRAM_WEIGHT, ADDED = 0.8, 0.5
 #: Names that no word has: before a row of a single word, before a text's first word, before a document's own row.
@@ -114,23 +116,26 @@ def counts_of(marked: DataFrame, least: int, short) -> DataFrame:
     """(before, word, n, t, c, ct): every word (before is SINGLE) and every bigram seen least times or more, with its count
     in all and in target documents; c and ct count a word as a context (START: the texts with words)."""
 
+    def tables(found: np.ndarray, of: np.ndarray, weight: np.ndarray):
+        every, before, here = _named(found, of, short.value)
+        size = len(every)
+        sums = lambda at, w=None, m=size: np.bincount(at, w, minlength=m).astype(np.int64)
+        yield pd.DataFrame({"before": SINGLE, "word": every, "n": sums(here), "t": sums(here, weight), "c": sums(before), "ct": sums(before, weight)})
+        code, at, n = np.unique(before * size + here, return_inverse=True, return_counts=True)
+        yield pd.DataFrame({"before": every[code // size], "word": every[code % size], "n": n, "t": sums(at, weight, len(code)), "c": 0, "ct": 0})
+
     def count(batches):
         for batch in batches:
-            words, of, good = [], [], []
+            run, held = [], 0
             targets = batch["target"].to_numpy()
             for first, found, texts, _ in _blocks(batch["text"].tolist()):
-                words.append(found)
-                of.append(first + texts)
-                good.append(targets[first + texts])
-            if not words:
-                continue
-            found, weight = np.concatenate(words), np.concatenate(good)
-            every, before, here = _named(found, np.concatenate(of), short.value)
-            size = len(every)
-            sums = lambda at, w=None, m=size: np.bincount(at, w, minlength=m).astype(np.int64)
-            yield pd.DataFrame({"before": SINGLE, "word": every, "n": sums(here), "t": sums(here, weight), "c": sums(before), "ct": sums(before, weight)})
-            code, at, n = np.unique(before * size + here, return_inverse=True, return_counts=True)
-            yield pd.DataFrame({"before": every[code // size], "word": every[code % size], "n": n, "t": sums(at, weight, len(code)), "c": 0, "ct": 0})
+                run.append((found, first + texts, targets[first + texts]))
+                held += len(found)
+                if held >= RUN_WORDS:
+                    yield from tables(*map(np.concatenate, zip(*run, strict=True)))
+                    run, held = [], 0
+            if run:
+                yield from tables(*map(np.concatenate, zip(*run, strict=True)))
 
     rows = marked.mapInPandas(count, "before long, word long, n long, t long, c long, ct long")
     return rows.groupBy("before", "word").agg(*[F.sum(c).alias(c) for c in ("n", "t", "c", "ct")]).filter((F.col("before") == SINGLE) | (F.col("n") >= least))
