@@ -38,7 +38,7 @@ FREQUENT_WORDS, FREQUENT_BIGRAMS, FILTER_BITS = 250_000, 500_000, 1 << 27
 #: The share of documents whose most common words get short names, and how many do.
 NAMING_SHARE, NAMED_WORDS = 1 / 16, 60_000
 #: Words that are counted together in a task before they leave it: a bound on its memory.
-RUN_WORDS = 1 << 20
+RUN_WORDS = 1 << 18
 #: Weight of the bigram model where all its mass is kept, and the added count of the unigram model.
 BIGRAM_WEIGHT, ADDED = 0.8, 0.5
 #: Names that no word has: before a row of a single word, before a text's first word, before a document's own row.
