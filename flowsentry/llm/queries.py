@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsentry.llm import fingerprint, html_extract, lm_score, media, mixing, ngram_join, packing, token_counts, toxicity, warc
+from flowsentry.llm import fingerprint, html_extract, lm_score, media, mixing, ngram_join, packing, periodic, token_counts, toxicity, warc
 from flowsentry.llm.common import documents, durable, table
 
 
@@ -60,10 +60,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    return {f.__name__: f for f in (op1_fingerprints, op2_warc, op3_html, op4_ngram_join, op5_token_counts, op6_packing, op7_mixing, op8_lm_scores, op9_media, op10_toxicity)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_fingerprints, op2_warc, op3_html, op4_ngram_join, op5_token_counts, op6_packing, op7_mixing, op8_lm_scores, op9_media, op10_toxicity, op13_periodic_runs)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
