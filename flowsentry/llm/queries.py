@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsentry.llm import fingerprint, html_extract, lm_score, media, mixing, ngram_join, packing, periodic, quality, token_counts, toxicity, warc
+from flowsentry.llm import fingerprint, html_extract, lm_score, media, mixing, ngram_join, packing, periodic, prefix_trie, quality, token_counts, toxicity, warc
 from flowsentry.llm.common import documents, durable, table
 
 
@@ -60,6 +60,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.scores(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -72,10 +76,10 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     import corpus_pipeline
 
-    return {f.__name__: f for f in (op1_fingerprints, op2_warc, op3_html, op4_ngram_join, op5_token_counts, op6_packing, op7_mixing, op8_lm_scores, op9_media, op10_toxicity, op12_quality, op13_periodic_runs)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_fingerprints, op2_warc, op3_html, op4_ngram_join, op5_token_counts, op6_packing, op7_mixing, op8_lm_scores, op9_media, op10_toxicity, op11_prefix_trie, op12_quality, op13_periodic_runs)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    return {"op7_mixing": mixing.ORACLE_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op7_mixing": mixing.ORACLE_SQL, "op11_prefix_trie": prefix_trie.ORACLE_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
