@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowsentry.functions.expressions import ACTIONABLE, DECISION, rounded
-from flowsentry.operators.state import cooldown
+from flowsentry.operators.pauses import cooldown, sent_alerts
 from flowsentry.operators.timelines import stretches
 
 GAP_US, COOLDOWN_US = 90_000_000, 600_000_000
@@ -139,16 +139,9 @@ def unsent(events: DataFrame, sent: DataFrame) -> DataFrame:
 
 
 def due_alerts(events: DataFrame, pause_us: int = COOLDOWN_US, increase: float = 10.0) -> DataFrame:
-    """Actionable events that go out: pause_us after the source's and class's last one sent, or sooner if risk rose by increase since it.
-
-    The first event after a pause always goes out, so each stretch without one is decided by itself."""
-    rows = F.array_sort(F.collect_list(F.struct("ts_us", "k", "risk_score")))
-    parted = stretches(events.filter("decision = 'actionable'"), ["src_ip", "attack_type"], pause_us, "stretch", ("k",), closed=False)
-    grouped = parted.groupBy("src_ip", "attack_type", "stretch").agg(rows.alias("rows"))
-    empty = F.array().cast("array<struct<ts_us:bigint,k:bigint,risk_score:double>>")
-    sends = lambda kept, x: (F.size(kept) == 0) | (x["ts_us"] - F.element_at(kept, -1)["ts_us"] >= pause_us) | (x["risk_score"] >= F.element_at(kept, -1)["risk_score"] + increase)
-    kept = F.aggregate("rows", empty, lambda kept, x: F.when(sends(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
-    return grouped.select("src_ip", "attack_type", F.explode(kept).alias("x")).select("src_ip", "attack_type", "x.*")
+    """Actionable events that go out: pause_us after the source's and class's last one sent, or sooner if risk rose by increase since it."""
+    alerts = events.filter("decision = 'actionable'").select("src_ip", "attack_type", "ts_us", F.col("k").alias("id"), F.col("risk_score").cast("double").alias("risk"))
+    return sent_alerts(alerts, ["src_ip", "attack_type"], pause_us, increase).withColumnsRenamed({"id": "k", "risk": "risk_score"})
 
 
 def primed(events: DataFrame) -> DataFrame:

@@ -50,3 +50,13 @@ def stretches(rows: DataFrame, keys: list[str], gap_us: int, name: str, ties: tu
     joined = gap <= gap_us if closed else gap < gap_us
     marked = durable(previous(rows, keys, "ts_us", "ts_us", width, before, ties).withColumn(new, F.when(joined, 0).otherwise(1)))
     return running_sum(marked, keys, "ts_us", new, width, name, ties).drop(before, new)
+
+
+def swept(rows: DataFrame, deltas: DataFrame, keys: list[str], width: int, name: str) -> DataFrame:
+    """rows with name: the sum of delta over the key's deltas (keys, ts_us, delta) at or before the row's time.
+
+    Deltas of one time are summed in each task before they are dealt; rows come after the deltas of their time."""
+    delta, after = "timeline_delta", "timeline_after"
+    sums = deltas.groupBy(*keys, "ts_us").agg(F.sum("delta").alias(delta)).withColumn(after, F.lit(0))
+    line = durable(rows.withColumn(delta, F.lit(0).cast("long")).withColumn(after, F.lit(1)).unionByName(sums, allowMissingColumns=True))  # read twice
+    return running_sum(line, keys, "ts_us", delta, width, name, (after,)).filter(f"{after} = 1").drop(delta, after)

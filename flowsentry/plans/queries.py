@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsentry.functions.expressions import ACTIONABLE, CLASSES, DECISION, FLAGS, LEVELS, RULES, SENSITIVE_PORTS, TRUSTED, reason_texts, rounded
-from flowsentry.operators import anomaly, audit, baselines, calibrate, features, quality, risk, state, windows
+from flowsentry.operators import anomaly, audit, baselines, calibrate, features, pauses, quality, risk, state, windows
 from flowsentry.plans import oracle as o
 from flowsentry.sources.flows import CONN_FIELDS, DNS_FIELDS, SSL_FIELDS, flows, parse_auth_log, parse_conn_log, parse_dns_log, parse_firewall_log, parse_ssl_log, read_alerts
 from flowsentry.sources.tables import durable
@@ -311,7 +311,7 @@ def _cooled(ctes: str, table: str, keys: str, pause: int) -> str:
 
 @query(_cooled(_SCANS, "scans", "src_ip", 30_000_000))
 def perimeter_cooldown(spark, d):
-    return state.cooldown(state.perimeter_scans(features.without_noise(flows(spark, d))), ["src_ip"], 30_000_000)
+    return pauses.cooldown(state.perimeter_scans(features.without_noise(flows(spark, d))), ["src_ip"], 30_000_000)
 
 
 _LEVELS = f"""{_LOGINS}, seg AS (SELECT *, sum(CASE WHEN outcome = 'success' THEN 1 ELSE 0 END) OVER (PARTITION BY ip ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING) AS s FROM logins),

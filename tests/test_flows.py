@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowsentry.functions.expressions import CLASSES
-from flowsentry.operators import anomaly, calibrate, features, quality, risk, state
+from flowsentry.operators import anomaly, calibrate, features, pauses, quality, risk, state
 from flowsentry.plans import queries
 from flowsentry.plans.queries import ORACLE, QUERIES
 from flowsentry.sources.flows import flows, parse_auth_log, parse_conn_log, parse_firewall_log, read_alerts, write_alerts
@@ -51,7 +51,7 @@ def test_sequences_split_at_long_gaps_and_cooldown_is_greedy(spark):
     rows = spark.createDataFrame([("a", "X", i, t * 1_000_000) for i, t in enumerate((0, 30, 300))], "src_ip string, attack_type string, k long, ts_us long")
     assert [r["persistence"] for r in calibrate.sequences(rows).orderBy("k").collect()] == [2, 2, 1]
     times = spark.createDataFrame([("a", t * 1_000_000) for t in (0, 30, 660)], "src_ip string, ts_us long")
-    assert state.cooldown(times, ["src_ip"], 600_000_000).count() == 2
+    assert pauses.cooldown(times, ["src_ip"], 600_000_000).count() == 2
 
 
 def test_routing_fails_closed(spark):
@@ -114,7 +114,7 @@ def test_perimeter_stream_equals_batch(spark, tmp_path):
     run = live.perimeter_alerts(stream).writeStream.format("memory").queryName("perimeter").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
     run.awaitTermination()
     got = {(r["src_ip"], r["ts_us"]) for r in spark.table("perimeter").collect()}
-    assert got == {(r["src_ip"], r["ts_us"]) for r in state.cooldown(state.perimeter_scans(rows), ["src_ip"], 30_000_000).collect()}
+    assert got == {(r["src_ip"], r["ts_us"]) for r in pauses.cooldown(state.perimeter_scans(rows), ["src_ip"], 30_000_000).collect()}
 
 
 def test_readiness(spark):

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from flowsentry.operators import calibrate, state, timelines
+from flowsentry.operators import calibrate, pauses, timelines
 
 
 def test_time_lines_equal_whole_histories(spark):
@@ -13,7 +13,7 @@ def test_time_lines_equal_whole_histories(spark):
     before = {r["id"]: r["before"] for r in timelines.previous(frame, ["src_ip"], "ts_us", "ts_us", 50, "before", ("id",)).collect()}
     total = {r["id"]: r["total"] for r in timelines.running_sum(frame, ["src_ip"], "ts_us", "id", 50, "total", ("id",)).collect()}
     stretch = {r["id"]: r["part"] for r in timelines.stretches(frame, ["src_ip"], 20, "part", ("id",)).collect()}
-    kept = {tuple(r) for r in state.cooldown(frame, ["src_ip"], 100).collect()}
+    kept = {tuple(r) for r in pauses.cooldown(frame, ["src_ip"], 100).collect()}
     assert len(before) == len(total) == len(stretch) == 400
     want = set()
     for source in {r[0] for r in rows}:
@@ -26,7 +26,7 @@ def test_time_lines_equal_whole_histories(spark):
                 want.add((source, t))
             last = t
     assert kept == want
-    assert timelines.stretches(frame.limit(0), ["src_ip"], 20, "part").count() == state.cooldown(frame.limit(0), ["src_ip"], 100).count() == 0
+    assert timelines.stretches(frame.limit(0), ["src_ip"], 20, "part").count() == pauses.cooldown(frame.limit(0), ["src_ip"], 100).count() == 0
 
 
 def test_due_alerts_equal_one_pass(spark):
