@@ -26,7 +26,15 @@ COLUMNS = {
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as flows: event_id, ts_us, src_ip, dst_ip, dst_port, proto, service, conn_state, orig_bytes, resp_bytes, duration."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return flows_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def live_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of flows; the glob lets the table be one file or a folder of files."""
+    return flows_of(spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parquet*"))
+
+
+def flows_of(events: DataFrame) -> DataFrame:
     base = events.selectExpr("event_id", "event_type", "value", "timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01', CAST(ts AS TIMESTAMP_NTZ)) AS d", "user_id % 12 AS s", "coalesce(CAST(get_json_object(props, '$.k') AS BIGINT), 0) AS k")
     mapped = base.selectExpr("event_id", f"{TS_US.format(div='DIV')} AS ts_us", *[f"{e.format(string='STRING')} AS {c}" for c, e in COLUMNS.items()])
     return mapped.withColumns({"dst_port": F.col("dst_port").cast("long"), "proto": F.when(F.col("dst_port") == 53, "udp").otherwise("tcp"), "service": F.when(F.col("dst_port") == 53, "dns").when(F.col("dst_port") == 22, "ssh").otherwise("-")})

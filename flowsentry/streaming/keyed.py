@@ -1,4 +1,4 @@
-"""Login levels and alert pauses as streams: keyed rules that see each key's rows in order of time.
+"""Login levels, alert pauses and perimeter alerts as streams: keyed rules that see each key's rows in order of time.
 
 Rows wait in their key's state until the watermark has passed them, then meet the rule sorted by time and id, so a batch's
 order and small delays change nothing and the rows that come out are those of the batch forms in operators. A rule's
@@ -17,7 +17,28 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 LEVELS = ((10, "ban"), (5, "alert"), (3, "warn"))
 
 
-class LevelRule:
+class Rule:
+    """What happens to a key's rows: columns of a row after (ts_us, id), of the memory, and of what comes out."""
+
+    payload = memory = output = ""
+
+    def start(self) -> tuple:
+        raise NotImplementedError
+
+    def step(self, memory: tuple, rows: list[tuple], end: int) -> tuple[tuple, list[tuple]]:
+        """The memory after rows in order, all before end and after all earlier ones, and what comes out."""
+        raise NotImplementedError
+
+    def keep_until(self, memory: tuple) -> int | None:
+        """When the memory may be dropped; None: not before another row."""
+        raise NotImplementedError
+
+    def wake(self, memory: tuple) -> int | None:
+        """When to step without rows."""
+        return self.keep_until(memory)
+
+
+class LevelRule(Rule):
     """3, 5, 10 failures in under window_us since the last success warn, alert, ban; each change of level is a row.
 
     The memory is the times of the failures in the window, one entry for each distinct time, and the last level."""
@@ -30,7 +51,7 @@ class LevelRule:
     def start(self) -> tuple:
         return ([], [], None)
 
-    def step(self, memory: tuple, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+    def step(self, memory: tuple, rows: list[tuple], end: int) -> tuple[tuple, list[tuple]]:
         times, counts, level = list(memory[0]), list(memory[1]), memory[2]
         out, i = [], 0
         while i < len(rows):
@@ -60,7 +81,7 @@ class LevelRule:
         return None if memory[2] is not None else (memory[0][-1] + self.window_us if memory[0] else 0)
 
 
-class PauseRule:
+class PauseRule(Rule):
     """The first alert goes out, then each that comes pause_us or more after the last one sent, or is riskier than it by increase or more."""
 
     payload, memory, output = "risk double", "sent_us long, risk double", "ts_us long, id long, risk double"
@@ -71,7 +92,7 @@ class PauseRule:
     def start(self) -> tuple:
         return (None, None)
 
-    def step(self, memory: tuple, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+    def step(self, memory: tuple, rows: list[tuple], end: int) -> tuple[tuple, list[tuple]]:
         sent, risk = memory
         out = []
         for t, i, r in rows:
@@ -84,10 +105,39 @@ class PauseRule:
         return memory[0] + self.pause_us
 
 
+class PerimeterRule(Rule):
+    """A source that reaches threshold distinct ports in the trailing window, both ends included, is an alert, pause_us or more after its last one."""
+
+    payload, memory, output = "dst_port long", "ports array<long>, times array<long>, sent_us long", "ts_us long, ports long"
+
+    def __init__(self, threshold: int, window_us: int, pause_us: int) -> None:
+        self.threshold, self.window_us, self.pause_us = threshold, window_us, pause_us
+
+    def start(self) -> tuple:
+        return ([], [], None)
+
+    def step(self, memory: tuple, rows: list[tuple], end: int) -> tuple[tuple, list[tuple]]:
+        last, sent, out = dict(zip(*memory[:2], strict=True)), memory[2], []
+        for i, (t, _, port) in enumerate(rows):
+            last.pop(port, None)
+            last[port] = t  # in order of sight
+            if i + 1 < len(rows) and rows[i + 1][0] == t:
+                continue
+            while t - next(iter(last.values())) > self.window_us:
+                last.pop(next(iter(last)))
+            if len(last) >= self.threshold and (sent is None or t - sent >= self.pause_us):
+                sent = t
+                out.append((t, len(last)))
+        return (list(last), list(last.values()), sent), out
+
+    def keep_until(self, memory: tuple) -> int | None:
+        return max([t + self.window_us + 1 for t in memory[1][-1:]] + [t + self.pause_us for t in memory[2:] if t is not None], default=0)
+
+
 class InOrder(StatefulProcessor):
     """Applies a rule to each key's rows (ts_us, id, payload) in order, once the watermark has passed them."""
 
-    def __init__(self, rule: LevelRule | PauseRule, names: list[str]) -> None:
+    def __init__(self, rule: Rule, names: list[str]) -> None:
         self.rule, self.names = rule, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -97,8 +147,8 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         arrived = pd.concat(list(rows))
-        payload = self.rule.payload.split()[0]
-        new = [(int(t), int(i), p) for t, i, p in zip(arrived["ts_us"], arrived["id"], arrived[payload], strict=True)]
+        payload = [arrived[c.split()[0]] for c in self.rule.payload.split(", ")]
+        new = [(int(t), int(i), *p) for t, i, *p in zip(arrived["ts_us"], arrived["id"], *payload, strict=True)]
         self.waiting.appendList(new)
         self.handle.registerTimer(min(t for t, *_ in new) // 1000 + 1)
         return iter(())
@@ -108,18 +158,19 @@ class InOrder(StatefulProcessor):
         rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
         ready, later = [r for r in rows if r[0] < end], [r for r in rows if r[0] >= end]
         memory = tuple(self.memory.get()) if self.memory.exists() else self.rule.start()
-        memory, out = self.rule.step(memory, ready)
+        memory, out = self.rule.step(memory, ready, end)
         self.waiting.clear()
         if later:
             self.waiting.put(later)
             self.handle.registerTimer(later[0][0] // 1000 + 1)
+        wake = self.rule.wake(memory) if memory != self.rule.start() else None
         until = self.rule.keep_until(memory) if memory != self.rule.start() else 0
         if until is not None and until <= end:
             self.memory.clear()
         else:
             self.memory.update(memory)
-            if until is not None and not later:
-                self.handle.registerTimer(until // 1000 + 1)
+            if wake is not None:
+                self.handle.registerTimer(wake // 1000 + 1)
         if out:
             values = [(*key, *r) for r in out]
             yield pd.DataFrame(values, columns=self.names)
@@ -128,7 +179,7 @@ class InOrder(StatefulProcessor):
         pass
 
 
-def _in_order(rows: DataFrame, keys: list[str], rule: LevelRule | PauseRule, late: str) -> DataFrame:
+def _in_order(rows: DataFrame, keys: list[str], rule: Rule, late: str) -> DataFrame:
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
     output = f"{kinds}, {rule.output}"
     seen = rows.withColumn("seen", F.timestamp_micros("ts_us")).withWatermark("seen", late)
@@ -143,3 +194,9 @@ def live_levels(logins: DataFrame, window_us: int = 60_000_000, late: str = "1 m
 def live_pauses(alerts: DataFrame, keys: list[str], pause_us: int, increase: float | None = None, late: str = "1 minute") -> DataFrame:
     """operators.pauses.sent_alerts of a stream of (keys, ts_us, id, risk). Alerts later than late are dropped."""
     return _in_order(alerts.select(*keys, "ts_us", "id", "risk"), keys, PauseRule(pause_us, increase), late)
+
+
+def perimeter_alerts(flows: DataFrame, threshold: int = 5, window_us: int = 30_000_000, pause_us: int = 30_000_000, late: str = "1 minute") -> DataFrame:
+    """The cooldown of operators.state.perimeter_scans of a stream of (src_ip, ts_us, event_id, dst_port). Flows later than late are dropped."""
+    rows = flows.filter("dst_port IS NOT NULL").select("src_ip", "ts_us", F.col("event_id").alias("id"), F.col("dst_port").cast("long").alias("dst_port"))
+    return _in_order(rows, ["src_ip"], PerimeterRule(threshold, window_us, pause_us), late)

@@ -1,13 +1,10 @@
-"""Live forms of the window features, perimeter scans and alert cooldowns.
+"""Live counts by window, and incremental collection.
 
 Streaming windows are epoch-aligned and only those with flows are emitted; late flows beyond the watermark are dropped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,25 +18,6 @@ def window_counts(flows: DataFrame, length: str = "30 seconds", slide: str = "30
     return sums.select("src_ip", F.col("window.end").alias("window_end"), "connections", "ports", "ips", F.expr(rounded("failed * 1e0 / connections", 4)).alias("failed_rate"))
 
 
-def perimeter_alerts(stream: DataFrame, threshold: int = 5, window_us: int = 30_000_000, pause_us: int = 30_000_000) -> DataFrame:
-    """Keyed state: each source's ports of the trailing window and its last alert; one row an alert. State is bounded by the distinct ports of a window."""
-
-    def observe(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        ports, last = ({}, None) if not state.exists else (dict(zip(*state.get[:2], strict=True)), state.get[2])
-        out = []
-        rows = pd.concat(list(batches)).sort_values(["ts_us", "event_id"])
-        for t, group in rows.groupby("ts_us"):
-            ports.update(dict.fromkeys(group["dst_port"].tolist(), t))
-            ports = {p: at for p, at in ports.items() if t - at <= window_us}
-            if len(ports) >= threshold and (last is None or t - last >= pause_us):
-                last = int(t)
-                out.append((key[0], last, len(ports)))
-        state.update((list(map(int, ports)), list(map(int, ports.values())), last))
-        yield pd.DataFrame(out, columns=["src_ip", "ts_us", "ports"])
-
-    return stream.groupBy("src_ip").applyInPandasWithState(observe, "src_ip string, ts_us long, ports long", "ports array<long>, times array<long>, last long", "append", "NoTimeout")
-
-
 def new_flows(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     """Incremental collection: no noise, exact repeats within the watermark dropped; the checkpoint keeps the mark."""
     return stream.filter(f"NOT {is_noise()}").withWatermark("ts", late).dropDuplicatesWithinWatermark([c for c in stream.columns if c != "ts"])

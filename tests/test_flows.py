@@ -10,7 +10,7 @@ from flowsentry.operators import anomaly, calibrate, features, pauses, quality,
 from flowsentry.plans import queries
 from flowsentry.plans.queries import ORACLE, QUERIES
 from flowsentry.sources.flows import flows, parse_auth_log, parse_conn_log, parse_firewall_log, read_alerts, write_alerts
-from flowsentry.streaming import live
+from flowsentry.streaming import keyed, runs
 
 FOLDER = "/root/testdata/sf0.01"
 CHECKED = ["windows_features", "windows_network_wide", "baseline_profile", "risk_score", "risk_explain", "classify_events", "classify_trusted", "state_combined", "perimeter_cooldown", "auth_levels", "quality_sudden_drops", "accuracy_sequences", "accuracy_signals", "calib_metrics", "calib_attack_validation", "route_fingerprints", "parse_connections", "stream_window_counts"]
@@ -109,12 +109,11 @@ def test_risk_takes_the_adjusted_scores(spark):
 
 def test_perimeter_stream_equals_batch(spark, tmp_path):
     rows = features.without_noise(flows(spark, FOLDER)).select("src_ip", "ts_us", "event_id", "dst_port")
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    end = spark.createDataFrame([("end", 10**12, 0, 1)], rows.schema)  # takes the watermark past all flows
+    rows.unionByName(end).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    run = live.perimeter_alerts(stream).writeStream.format("memory").queryName("perimeter").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
-    run.awaitTermination()
-    got = {(r["src_ip"], r["ts_us"]) for r in spark.table("perimeter").collect()}
-    assert got == {(r["src_ip"], r["ts_us"]) for r in pauses.cooldown(state.perimeter_scans(rows), ["src_ip"], 30_000_000).collect()}
+    got = {(r["src_ip"], r["ts_us"]) for r in runs.run_to_end(keyed.perimeter_alerts(stream)).collect()}
+    assert got == {(r["src_ip"], r["ts_us"]) for r in pauses.cooldown(state.perimeter_scans(rows), ["src_ip"], 30_000_000).collect()} != set()
 
 
 def test_readiness(spark):

@@ -3,9 +3,10 @@
 import numpy as np
 import pytest
 
-from flowsentry.operators import pauses, state
+from flowsentry.operators import pauses, state, windows
 from flowsentry.streaming import keyed, runs
 from flowsentry.streaming import state as live_state
+from flowsentry.streaming import windows as live_windows
 from tests.test_pauses import alerts, made_logins
 
 HOUR = 3_600_000_000
@@ -41,9 +42,9 @@ def test_live_pauses_equal_batch(spark, tmp_path):
 
 def test_a_rule_forgets_what_no_longer_matters():
     levels = keyed.LevelRule(100)
-    memory, out = levels.step(levels.start(), [(0, 1, "fail"), (5, 2, "fail"), (5, 3, "fail"), (104, 4, "fail"), (105, 5, "fail")])
+    memory, out = levels.step(levels.start(), [(0, 1, "fail"), (5, 2, "fail"), (5, 3, "fail"), (104, 4, "fail"), (105, 5, "fail")], 200)
     assert out == [(5, 2, 3, "warn")] and memory == ([104, 105], [1, 1], "warn") and levels.keep_until(memory) is None
-    assert levels.step(memory, [(106, 6, "success")]) == (([], [], None), [])
+    assert levels.step(memory, [(106, 6, "success")], 200) == (([], [], None), [])
     assert levels.keep_until(([7], [1], None)) == 107
     assert keyed.PauseRule(50, None).keep_until((3, 0.0)) == 53
 
@@ -138,3 +139,22 @@ def test_ticks_are_whole_panes(spark):
     with pytest.raises(ValueError, match="multiple of 30"):
         live_state.live_state(spark.createDataFrame([], FLOWS), every=45)
 
+
+
+def test_live_windows_equal_batch(spark, tmp_path):
+    """Two sources with long silences; from the tenth flow on every window of the batch's grid comes out, with the same values."""
+    rng = np.random.default_rng(9)
+    schema = f"{FLOWS}, orig_bytes long, resp_bytes long, duration long"
+    rows = []
+    for source in ("192.168.1.5", "192.168.1.6"):
+        times = np.cumsum(rng.choice([100_000, 7_000_000, 40_000_000, 900_000_000], 80, p=[0.5, 0.3, 0.15, 0.05])) + 10**9
+        rows += [(len(rows) + i, int(t), source, "224.0.0.251" if i % 9 == 0 else f"10.0.0.{rng.integers(4)}", int(rng.integers(50, 56)), ["SF", "S0"][i % 2], None if i % 5 == 0 else 10, 3, int(rng.integers(0, 4))) for i, t in enumerate(times)]
+    frame = spark.createDataFrame(rows, schema)
+    end = (10**6, 10**12, "192.168.1.7", "10.0.0.1", 1, "SF", 1, 1, 1)
+    stream = fed(spark, tmp_path / "in", [*rows, end], schema)
+    got = {(r["src_ip"], r["ts_us"]): r for r in runs.run_to_end(live_windows.live_windows(stream)).collect()}
+    tenth = {s: sorted(r[1] for r in rows if r[2] == s)[9] for s in ("192.168.1.5", "192.168.1.6")}
+    want = {(r["src_ip"], r["ts_us"]): r for r in windows.window_features(frame).collect() if r["ts_us"] > tenth[r["src_ip"]]}
+    assert len(want) > 100 and set(want) <= set(got) and all(got[k].asDict() == want[k].asDict() for k in want)
+    extra = [got[k] for k in set(got) - set(want)]
+    assert 0 < len(extra) <= 2 * 10 and all(r["connections_30s"] == 0 for r in extra)
