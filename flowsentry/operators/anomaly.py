@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsentry.functions.expressions import rounded
+from flowsentry.operators.quantiles import measured, quantiles
+from flowsentry.sources.tables import durable
 
 FEATURES = ("connections_30s", "unique_dst_ports_30s", "unique_dst_ips_30s", "failed_conn_rate_30s", "dns_rate_30s", "bytes_per_sec_30s", "port_entropy_30s", "burst_score_30s", "connections_5m", "unique_dst_ports_5m")
 TREES, SAMPLE, GLOBAL_LIMIT = 200, 256, 0.660
@@ -16,15 +18,16 @@ TREES, SAMPLE, GLOBAL_LIMIT = 200, 256, 0.660
 def scaling(windows: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
     """One row a feature: median and interquartile range (1 where it is 0) over windows with traffic."""
     long = windows.filter("connections_5m > 0").select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "feature", "value")
-    return long.groupBy("feature").agg(F.percentile("value", F.lit(0.5)).alias("median"), (F.percentile("value", F.lit(0.75)) - F.percentile("value", F.lit(0.25))).alias("iqr")).withColumn("iqr", F.when(F.col("iqr") == 0, 1.0).otherwise(F.col("iqr")))
+    ranks = quantiles(long, ["feature"], "value", {"low": 0.25, "median": 0.5, "high": 0.75})
+    return ranks.select("feature", "median", F.when(F.col("high") == F.col("low"), 1.0).otherwise(F.col("high") - F.col("low")).alias("iqr"))
 
 
 def statistics(windows: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
     """One row a feature, over windows with traffic: mean, sample standard deviation, median, p95, p99, maximum."""
     long = windows.filter("connections_5m > 0").select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "feature", "value")
-    measures = {"mean": F.avg("value"), "std": F.stddev_samp("value"), "most": F.max("value")} | {n: F.percentile("value", F.lit(q)) for n, q in (("median", 0.5), ("p95", 0.95), ("p99", 0.99))}
-    found = long.groupBy("feature").agg(*[e.alias(n) for n, e in measures.items()])
-    return found.select("feature", *[F.expr(rounded(n, 4)).alias(n) for n in measures])
+    plain = long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.max("value").alias("most"))
+    ranks = quantiles(long, ["feature"], "value", {"median": 0.5, "p95": 0.95, "p99": 0.99})
+    return plain.join(ranks, "feature").select("feature", *[F.expr(rounded(n, 4)).alias(n) for n in ("mean", "std", "most", "median", "p95", "p99")])
 
 
 def compared(scored: DataFrame, least: int = 50) -> DataFrame:
@@ -35,9 +38,11 @@ def compared(scored: DataFrame, least: int = 50) -> DataFrame:
     both = normalised(scored).join(scored.select("src_ip", "k", F.col("raw").alias("own_raw")), ["src_ip", "k"]).crossJoin(F.broadcast(ends))
     old = (F.col("own_raw") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-9))
     rows = both.select("src_ip", old.alias("old"), F.col("anomaly_score").alias("new"))
-    at = [F.percentile(c, F.lit(q)).alias(f"{c}_{n}") for c in ("old", "new") for n, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99), ("p999", 0.999))] + [F.max(c).alias(f"{c}_most") for c in ("old", "new")]
-    overall = rows.agg(F.count(F.lit(1)).alias("windows"), *at).withColumn("src_ip", F.lit(None).cast("string"))
-    own = rows.groupBy("src_ip").agg(F.count(F.lit(1)).alias("windows"), *[a for a, n in zip(at, range(len(at)), strict=True) if n in (3, 7)]).filter(F.col("windows") >= least)
+    both = durable(rows.select("src_ip", F.col("old").alias("old"), F.col("new").alias("new")))
+    at = {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999}
+    most = lambda names: [F.count(F.lit(1)).alias("windows")] + [F.max(c).alias(f"{c}_most") for c in names]
+    overall = both.agg(*most(("old", "new"))).crossJoin(F.broadcast(measured(["all"], (both.withColumn("all", F.lit(1)), {"old": at, "new": at})).drop("all"))).withColumn("src_ip", F.lit(None).cast("string"))
+    own = both.groupBy("src_ip").agg(*most(())).filter(F.col("windows") >= least).join(measured(["src_ip"], (both, {c: {"p999": 0.999} for c in ("old", "new")})), "src_ip")
     return overall.unionByName(own, allowMissingColumns=True)
 
 
@@ -121,5 +126,5 @@ def adjusted(scores: DataFrame, own: DataFrame | None = None) -> DataFrame:
 
 def contaminated(scores: DataFrame, share: float = 0.01) -> DataFrame:
     """Flags the rows whose raw score is in the highest share."""
-    limit = scores.agg(F.percentile("raw", F.lit(1 - share)).alias("limit"))
+    limit = quantiles(scores.withColumn("all", F.lit(1)), ["all"], "raw", {"limit": 1 - share}).select("limit")
     return scores.crossJoin(F.broadcast(limit)).withColumn("is_anomaly", (F.col("raw") > F.col("limit")).cast("int")).drop("limit")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsentry.functions.expressions import rounded
+from flowsentry.functions.expressions import STEP_US, rounded
+from flowsentry.operators.quantiles import measured, quantiles
+from flowsentry.operators.timelines import stretches
 
 #: Thresholds whose rows are counted.
 COUNTS = {"risk_20": "risk_score >= 20", "risk_30": "risk_score >= 30", "risk_60": "risk_score >= 60", "anomaly_35": "anomaly_score >= 35e-2", "failed_80": "failed_conn_rate_30s >= 8e-1", "conn_80": "connections_30s >= 80", "dns_1": "dns_rate_30s >= 1"}
@@ -64,20 +66,23 @@ def signal_families(events: DataFrame) -> DataFrame:
 
 
 def class_breakdown(events: DataFrame) -> DataFrame:
-    stats = [F.expr(e).alias(f"{n}_{c}") for c in ("confidence", "risk_score") for n, e in (("min", f"min({c})"), ("median", rounded(f"percentile({c}, 0.5D)", 4)), ("max", f"max({c})"))]
-    return events.groupBy("attack_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr("CASE WHEN anomaly_score = 0 THEN 1 ELSE 0 END")).alias("zero_anomaly"), F.count_distinct("src_ip").alias("sources"), *stats)
+    ends = [F.expr(f"{n}({c})").alias(f"{n}_{c}") for c in ("confidence", "risk_score") for n in ("min", "max")]
+    plain = events.groupBy("attack_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr("CASE WHEN anomaly_score = 0 THEN 1 ELSE 0 END")).alias("zero_anomaly"), F.count_distinct("src_ip").alias("sources"), *ends)
+    ranks = measured(["attack_type"], (events, {c: {"median": 0.5} for c in ("confidence", "risk_score")}))
+    return plain.join(ranks, "attack_type", "left").select("attack_type", "n", "zero_anomaly", "sources", *[x for c in ("confidence", "risk_score") for x in (F.col(f"min_{c}"), F.expr(rounded(f"{c}_median", 4)).alias(f"median_{c}"), F.col(f"max_{c}"))])
 
 
 def repeated_sequences(events: DataFrame) -> DataFrame:
     """(src_ip, attack_type) with two events or more: count, ends, longest run of neighbouring windows."""
-    along = Window.partitionBy("src_ip", "attack_type").orderBy("k")
-    runs = events.withColumn("island", F.col("k") - F.row_number().over(along)).groupBy("src_ip", "attack_type", "island").agg(F.count(F.lit(1)).alias("run"), F.min("ts_us").alias("a"), F.max("ts_us").alias("b"), F.max("risk_score").alias("r"))
+    parted = stretches(events.select("src_ip", "attack_type", "k", "ts_us", "risk_score"), ["src_ip", "attack_type"], STEP_US, "island", ("k",))
+    runs = parted.groupBy("src_ip", "attack_type", "island").agg(F.count(F.lit(1)).alias("run"), F.min("ts_us").alias("a"), F.max("ts_us").alias("b"), F.max("risk_score").alias("r"))
     return runs.groupBy("src_ip", "attack_type").agg(F.sum("run").alias("n"), F.min("a").alias("first_us"), F.max("b").alias("last_us"), F.max("run").alias("longest_run"), F.max("r").alias("max_risk")).filter("n >= 2")
 
 
 def feature_quantiles(rows: DataFrame, columns: tuple[str, ...] = QUANTILE_FEATURES) -> DataFrame:
     long = rows.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "feature", "value")
-    return long.groupBy("feature").agg(*[F.expr(rounded(f"percentile(value, {q}D)", 6)).alias(f"p{int(q * 100)}") for q in (0.5, 0.75, 0.9, 0.95, 0.99)], F.max("value").alias("most"))
+    at = {f"p{int(q * 100)}": q for q in (0.5, 0.75, 0.9, 0.95, 0.99)}
+    return quantiles(long, ["feature"], "value", {**at, "most": 1.0}).select("feature", *[F.expr(rounded(n, 6)).alias(n) for n in at], "most")
 
 
 def headline(risk: DataFrame, events: DataFrame) -> DataFrame:

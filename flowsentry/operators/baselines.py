@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsentry.functions.expressions import GLOBAL_THRESHOLDS, is_noise, rounded
+from flowsentry.operators.quantiles import measured, quantiles
+from flowsentry.sources.tables import durable
 
 #: Statistic -> (bucket column, percentiles with their names).
 PERCENTILES = {"connections_30s": ("n", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}), "unique_dst_ports_30s": ("ports", {"p99": 0.99, "p999": 0.999}), "outbound_ratio_30s": ("outbound", {"p99": 0.99}), "dns_rate_1m": ("dns_1m", {"p99": 0.99, "p999": 0.999})}
@@ -19,13 +21,17 @@ def buckets(flows: DataFrame) -> DataFrame:
 
 def profiles(flows: DataFrame, least_flows: int = 500) -> DataFrame:
     """One row for each source: flow_count, use_per_ip, bucket percentiles (linear), flow percentiles."""
-    per_bucket = buckets(flows).groupBy("src_ip").agg(
-        *[F.expr(rounded(f"percentile({c}, {q}D)", 6)).alias(f"{s}_{p}") for s, (c, ps) in PERCENTILES.items() for p, q in ps.items()],
-        *[F.max(c).cast("double").alias(f"{s}_max") for s, c in (("connections_30s", "n"), ("unique_dst_ports_30s", "ports"), ("dns_rate_1m", "dns_1m"))],
-        F.expr(rounded("avg(outbound)", 6)).alias("outbound_ratio_30s_mean"),
-    )
-    per_flow = flows.filter(f"NOT {is_noise()}").groupBy("src_ip").agg(F.count(F.lit(1)).alias("flow_count"), F.expr(rounded("percentile(orig_bytes, 0.99D)", 6)).alias("orig_bytes_p99"), F.max("orig_bytes").alias("orig_bytes_max"), F.expr(rounded("percentile(duration, 0.99D)", 6)).alias("duration_p99"))
-    return per_flow.join(per_bucket, "src_ip").withColumn("use_per_ip", (F.col("flow_count") >= least_flows).cast("int")).withColumn("reason", F.when(F.col("use_per_ip") == 0, F.concat(F.lit("flows below "), F.lit(least_flows))))
+    found = durable(buckets(flows))
+    per_bucket = found.groupBy("src_ip").agg(*[F.max(c).cast("double").alias(f"{s}_max") for s, c in (("connections_30s", "n"), ("unique_dst_ports_30s", "ports"), ("dns_rate_1m", "dns_1m"))], F.expr(rounded("avg(outbound)", 6)).alias("outbound_ratio_30s_mean"))
+    clean = flows.filter(f"NOT {is_noise()}")
+    per_flow = clean.groupBy("src_ip").agg(F.count(F.lit(1)).alias("flow_count"), F.max("orig_bytes").alias("orig_bytes_max"))
+    of_buckets = found.select("src_ip", *[F.col(c).alias(s) for s, (c, _) in PERCENTILES.items()])
+    ranks = measured(["src_ip"], (of_buckets, {s: ps for s, (_, ps) in PERCENTILES.items()}), (clean, {"orig_bytes": {"p99": 0.99}, "duration": {"p99": 0.99}}))
+    joined = per_flow.join(per_bucket, "src_ip").join(ranks, "src_ip", "left")
+    order = ["src_ip", *[f"{s}_{p}" for s, (_, ps) in PERCENTILES.items() for p in ps], *[c for c in per_bucket.columns if c != "src_ip"], "flow_count", "orig_bytes_p99", "orig_bytes_max", "duration_p99"]
+    exact = set(ranks.columns) - {"src_ip"}
+    out = joined.select(*[F.expr(rounded(c, 6)).alias(c) if c in exact else F.col(c) for c in order])
+    return out.withColumn("use_per_ip", (F.col("flow_count") >= least_flows).cast("int")).withColumn("reason", F.when(F.col("use_per_ip") == 0, F.concat(F.lit("flows below "), F.lit(least_flows))))
 
 
 #: Thresholds of a source: its own where it qualifies and has the statistic, else the global ones (entropy and burst have no own).
@@ -45,8 +51,8 @@ def with_thresholds(windows: DataFrame, found: DataFrame) -> DataFrame:
 
 def with_score_limits(found: DataFrame, scored: DataFrame, least: int = 100) -> DataFrame:
     """Baselines with anomaly percentiles of sources with enough windows; unknown sources are added as not qualified."""
-    at = lambda q: F.round(F.percentile("anomaly_score", F.lit(q)), 4)
-    limits = scored.groupBy("src_ip").agg(F.count(F.lit(1)).alias("n"), at(0.99).alias("if_p99"), at(0.999).alias("if_p999")).filter(F.col("n") >= least).drop("n")
+    ranks = quantiles(scored, ["src_ip"], "anomaly_score", {"if_p99": 0.99, "if_p999": 0.999})
+    limits = ranks.filter(F.col("n") >= least).select("src_ip", F.round("if_p99", 4).alias("if_p99"), F.round("if_p999", 4).alias("if_p999"))
     return found.join(limits, "src_ip", "full").withColumn("use_per_ip", F.coalesce("use_per_ip", F.lit(0)))
 
 
