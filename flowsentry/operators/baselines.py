@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from flowsentry.functions.expressions import GLOBAL_THRESHOLDS, is_noise, rounded
 from flowsentry.operators.quantiles import measured, quantiles
-from flowsentry.sources.tables import durable
 
 #: Statistic -> (bucket column, percentiles with their names).
 PERCENTILES = {"connections_30s": ("n", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}), "unique_dst_ports_30s": ("ports", {"p99": 0.99, "p999": 0.999}), "outbound_ratio_30s": ("outbound", {"p99": 0.99}), "dns_rate_1m": ("dns_1m", {"p99": 0.99, "p999": 0.999})}
@@ -21,7 +20,7 @@ def buckets(flows: DataFrame) -> DataFrame:
 
 def profiles(flows: DataFrame, least_flows: int = 500) -> DataFrame:
     """One row for each source: flow_count, use_per_ip, bucket percentiles (linear), flow percentiles."""
-    found = durable(buckets(flows))
+    found = buckets(flows)
     per_bucket = found.groupBy("src_ip").agg(*[F.max(c).cast("double").alias(f"{s}_max") for s, c in (("connections_30s", "n"), ("unique_dst_ports_30s", "ports"), ("dns_rate_1m", "dns_1m"))], F.expr(rounded("avg(outbound)", 6)).alias("outbound_ratio_30s_mean"))
     clean = flows.filter(f"NOT {is_noise()}")
     per_flow = clean.groupBy("src_ip").agg(F.count(F.lit(1)).alias("flow_count"), F.max("orig_bytes").alias("orig_bytes_max"))

@@ -15,6 +15,8 @@ from flowsentry.sources.tables import durable
 
 #: Ranges that a key's distinct values are parted into.
 PARTS = 64
+#: Distinct values of all keys together up to which a key's values are ranked in one range.
+TOGETHER = 500_000
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,16 +34,25 @@ def _picked(at: float) -> tuple[Column, Column]:
     return least(F.floor(place)), least(F.ceil(place))
 
 
-def quantiles(rows: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
-    """(keys, n, and a double for each name of at): exact linear quantiles of the key's values. Null values do not count; a
-    key whose values are all null has no row. Without keys give a constant one."""
-    counts = durable(rows.select(*keys, F.col(value).cast("double").alias("q_value")).filter("q_value IS NOT NULL").groupBy(*keys, "q_value").agg(F.count(F.lit(1)).alias("q_count")))
+def _ranked_together(counts: DataFrame, keys: list[str]) -> DataFrame:
+    upto = Window.partitionBy(*keys).orderBy("q_value").rowsBetween(Window.unboundedPreceding, 0)
+    return counts.withColumns({"q_upto": F.sum("q_count").over(upto), "q_total": F.sum("q_count").over(Window.partitionBy(*keys))})
+
+
+def _ranked(counts: DataFrame, keys: list[str]) -> DataFrame:
     cuts = counts.groupBy(*keys).agg(F.percentile_approx("q_value", [i / PARTS for i in range(1, PARTS)], 1000).alias("q_cuts"), F.sum("q_count").alias("q_total"))
     dealt = _joined(counts, cuts, keys).withColumn("q_part", F.size(F.filter("q_cuts", lambda c: c < F.col("q_value")))).drop("q_cuts")
     earlier = Window.partitionBy(*keys).orderBy("q_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = dealt.groupBy(*keys, "q_part").agg(F.sum("q_count").alias("q_sum")).withColumn("q_before", F.coalesce(F.sum("q_sum").over(earlier), F.lit(0))).drop("q_sum")
     inside = Window.partitionBy(*keys, "q_part").orderBy("q_value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = _joined(dealt, parts, [*keys, "q_part"]).withColumn("q_upto", F.col("q_before") + F.sum("q_count").over(inside))
+    return _joined(dealt, parts, [*keys, "q_part"]).withColumn("q_upto", F.col("q_before") + F.sum("q_count").over(inside))
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """(keys, n, and a double for each name of at): exact linear quantiles of the key's values. Null values do not count; a
+    key whose values are all null has no row. Without keys give a constant one."""
+    counts = durable(rows.select(*keys, F.col(value).cast("double").alias("q_value")).filter("q_value IS NOT NULL").groupBy(*keys, "q_value").agg(F.count(F.lit(1)).alias("q_count")))
+    ranked = _ranked(counts, keys) if counts.count() > TOGETHER else _ranked_together(counts, keys)
     ends = {n: _picked(q) for n, q in at.items()}
     found = ranked.groupBy(*keys, "q_total").agg(*[c.alias(f"q_{side}_{n}") for n, pair in ends.items() for side, c in zip(("low", "high"), pair, strict=True)])
     return found.select(*keys, F.col("q_total").alias("n"), *[_between(q, n).alias(n) for n, q in at.items()])
