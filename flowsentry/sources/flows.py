@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,6 +136,16 @@ def read_baselines(spark: SparkSession, path: str, measures: str) -> DataFrame:
     return lines.select(F.explode(F.coalesce(wrapped, F.from_json("value", kind))).alias("src_ip", "m")).select("src_ip", "m.*")
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Sessions of a ground-truth manifest, one row each, with their index."""
-    return spark.read.json(path, multiLine=True).select(F.posexplode_outer("sessions").alias("session_index", "session")).select("session_index", "session.*")
+def read_manifest(spark: SparkSession, path: str, session: str | None = None) -> DataFrame:
+    """Sessions of a ground-truth manifest, one row each, with their index; session gives their fields, else they are inferred."""
+    reader = spark.read if session is None else spark.read.schema(f"sessions array<struct<{', '.join(_field(f) for f in _split(session))}>>")
+    return reader.json(path, multiLine=True).select(F.posexplode("sessions").alias("session_index", "session")).select("session_index", "session.*")
+
+
+def _split(fields: str) -> list[str]:
+    """The fields of a schema text, at its outer commas."""
+    return re.split(r",\s*(?![^<]*>)", fields)
+
+
+def _field(field: str) -> str:
+    return field.strip().replace(" ", ": ", 1)
