@@ -7,11 +7,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsentry.functions.expressions import rounded
+from flowsentry.functions.expressions import HORIZONS, rounded
 from flowsentry.operators.quantiles import measured, quantiles
+from flowsentry.operators.windows import features as measures_of
 from flowsentry.sources.tables import durable
 
-FEATURES = ("connections_30s", "unique_dst_ports_30s", "unique_dst_ips_30s", "failed_conn_rate_30s", "dns_rate_30s", "bytes_per_sec_30s", "port_entropy_30s", "burst_score_30s", "connections_5m", "unique_dst_ports_5m")
+#: The 12 window measures of each horizon.
+FEATURES = tuple(c for h in HORIZONS for c in measures_of(h, 1))
 TREES, SAMPLE, GLOBAL_LIMIT = 200, 256, 0.660
 
 

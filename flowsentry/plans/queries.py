@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsentry.functions.expressions import ACTIONABLE, CLASSES, DECISION, FLAGS, LEVELS, RULES, SENSITIVE_PORTS, TRUSTED, reason_texts, rounded
-from flowsentry.operators import anomaly, audit, baselines, calibrate, features, pauses, quality, risk, state, windows
+from flowsentry.operators import anomaly, audit, baselines, calibrate, features, pauses, quality, risk, state, stored_model, windows
 from flowsentry.plans import oracle as o
 from flowsentry.sources.flows import CONN_FIELDS, DNS_FIELDS, SSL_FIELDS, flows, parse_auth_log, parse_conn_log, parse_dns_log, parse_firewall_log, parse_ssl_log, read_alerts
-from flowsentry.sources.tables import durable
+from flowsentry.sources.tables import durable, shared_path
 from flowsentry.streaming import live
 
 QUERIES: dict = {}
@@ -643,15 +643,21 @@ def anomaly_scale(spark, d):
     return anomaly.scaling(windows.window_features(flows(spark, d))).selectExpr("feature", f"{rounded('median', 6)} AS median", f"{rounded('iqr', 6)} AS iqr")
 
 
-def scores_of(spark, d):
+def stored_fit(spark, d):
+    """A model of the earlier half of the windows' time, stored and loaded again."""
     rows = windows.window_features(flows(spark, d))
-    points = anomaly.scaled(rows, anomaly.scaling(rows))
-    return anomaly.scored(points, anomaly.train_forest(points))
+    half = rows.agg(F.floor((F.min("ts_us") + F.max("ts_us")) / 2).alias("half"))
+    return stored_model.fit(rows.join(F.broadcast(half), F.col("ts_us") <= F.col("half")), shared_path(spark, "model"), "first")  # half has one row
+
+
+def scores_of(spark, d, model=None):
+    return stored_model.raw_of(windows.window_features(flows(spark, d)), model or stored_fit(spark, d))
 
 
 def adjusted_scores(spark, d):
-    """Scores above each source's own if_p999, or above the global limit for sources with too few windows."""
-    found = durable(anomaly.normalised(scores_of(spark, d)))
+    """Scores between the fit's limits, above each source's own if_p999, or above the global limit for sources with too few windows."""
+    model = stored_fit(spark, d)
+    found = durable(anomaly.normalised(scores_of(spark, d, model), model.limits.select("low", "high")))
     return anomaly.adjusted(found, baselines.with_score_limits(baselines.profiles(flows(spark, d)), found))
 
 
@@ -679,4 +685,4 @@ def stream_window_counts(spark, d):
     return out.select("src_ip", F.unix_seconds("window_end").alias("window_end"), "connections", F.col("ports").cast("long").alias("ports"), F.col("ips").cast("long").alias("ips"), "failed_rate")
 
 
-from flowsentry.plans import evidence_queries, live_queries, manifest_queries  # noqa: E402, F401  add their queries
+from flowsentry.plans import evidence_queries, live_queries, manifest_queries, model_queries  # noqa: E402, F401  add their queries

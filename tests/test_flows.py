@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowsentry.functions.expressions import CLASSES
-from flowsentry.operators import anomaly, calibrate, features, pauses, quality, risk, state
+from flowsentry.operators import anomaly, calibrate, features, pauses, quality, risk, state, stored_model
 from flowsentry.plans import queries
 from flowsentry.plans.queries import ORACLE, QUERIES
 from flowsentry.sources.flows import flows, parse_auth_log, parse_conn_log, parse_firewall_log, read_alerts, write_alerts
@@ -94,7 +94,8 @@ def test_forest_ranks_an_outlier_first(spark):
 
 def test_sources_have_their_own_anomaly_limits(spark, monkeypatch):
     raw = [("noisy", k, 0.8 + k % 100 / 1000) for k in range(1000)] + [("quiet", k, 0.65 if k == 7 else 0.1) for k in range(2000)] + [("few", 0, 0.9), ("few", 1, 0.0), ("few", 2, 1.0)]
-    monkeypatch.setattr(queries, "scores_of", lambda spark, d: spark.createDataFrame(raw, "src_ip string, k long, raw double"))
+    monkeypatch.setattr(queries, "stored_fit", lambda spark, d: stored_model.Model("made", None, [], spark.createDataFrame([(0.0, 1.0)], "low double, high double")))
+    monkeypatch.setattr(queries, "scores_of", lambda spark, d, model: spark.createDataFrame(raw, "src_ip string, k long, raw double"))
     got = {(r["src_ip"], r["k"]): r for r in QUERIES["anomaly_normalise"](spark, "/root/testdata/sf0.001").collect()}
     assert len(got) == len(raw)
     assert {x for x, r in got.items() if r["is_anomaly"]} == {("quiet", 7), ("few", 0), ("few", 2)}
