@@ -19,6 +19,8 @@ WINDOW_COLUMNS = {"dst_port": "connections_30s", "duration": "avg_conn_duration_
 NAMES = tuple(FEATURES.values())
 #: Rows among which an oversampled row looks for neighbours, neighbours, and the confidence a prediction needs.
 GROUP_ROWS, NEIGHBOURS, LEAST_CONFIDENCE = 1_000, 5, 0.7
+#: New rows that one seed makes.
+SEED_COPIES = 1_000
 
 
 def prepared(raw: DataFrame) -> DataFrame:
@@ -50,47 +52,58 @@ def split(rows: DataFrame, key: str, test_percent: int = 20) -> DataFrame:
     return ranked.withColumn("part", part).select(*rows.columns, "part")
 
 
-def interpolated(points: np.ndarray, copies: np.ndarray, neighbours: int, seed: int) -> np.ndarray:
-    """copies[i] new points between points[i] and its nearest neighbours."""
-    rng, n = np.random.default_rng(seed), len(points)
+def nearest(points: np.ndarray, neighbours: int) -> np.ndarray:
+    """For each point the places of its nearest neighbours among the others, in standard units; fewer, or none, where there are fewer points."""
+    n = len(points)
     k = min(neighbours, n - 1)
-    base = np.repeat(np.arange(n), copies)
     if k < 1:
-        return points[base]
+        return np.zeros((n, 0), np.int64)
     scale = points.std(axis=0)
     x = points / np.where(scale > 0, scale, 1.0)
     squares = (x**2).sum(axis=1)
     distance = squares[:, None] + squares[None, :] - 2 * x @ x.T
     np.fill_diagonal(distance, np.inf)
-    near = np.argpartition(distance, k - 1, axis=1)[:, :k]
-    other = near[base, rng.integers(0, k, len(base))]
-    return points[base] + rng.random(len(base))[:, None] * (points[other] - points[base])
+    return np.argpartition(distance, k - 1, axis=1)[:, :k]
 
 
-def oversampled(train: DataFrame, key: str) -> DataFrame:
-    """(label, features) of the train rows and of new rows, so that every class has as many rows as the largest one.
+def seeds(train: DataFrame, key: str) -> DataFrame:
+    """(label, seed, base, others, first, copies): for ranges of at most SEED_COPIES new rows the row that they start from and its neighbours.
 
-    A class is dealt into groups of about GROUP_ROWS by the digest of key; neighbours are looked for inside a group."""
+    A class is dealt into groups of about GROUP_ROWS by the digest of key, and neighbours are looked for inside a group;
+    its new rows are shared out over its rows by rounded running shares, so that they add up."""
     sizes = train.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     sizes = sizes.withColumn("more", F.max("size").over(Window.partitionBy(F.lit(1))) - F.col("size"))  # a row a class
-    rows = train.join(F.broadcast(sizes), "label").withColumn("deal", F.pmod(F.xxhash64(key), F.ceil(F.col("size") / GROUP_ROWS)).cast("long"))
-    groups = rows.groupBy("label", "deal", "size", "more").agg(F.count(F.lit(1)).alias("m"))
-    upto = Window.partitionBy("label").orderBy("deal").rowsBetween(Window.unboundedPreceding, 0)
-    # Each group makes its share of the new rows; shares are differences of rounded running sums, so they add up.
-    due = groups.withColumn("until", F.floor(F.sum("m").over(upto) * F.col("more") / F.col("size")))
-    shares = due.withColumn("new", F.col("until") - F.lag("until", 1, 0).over(Window.partitionBy("label").orderBy("deal"))).select("label", "deal", "new")
-    dealt = rows.join(F.broadcast(shares), ["label", "deal"]).filter("new > 0").select("label", "deal", "new", F.col(key).cast("string").alias("order_key"), *NAMES)
-
-    def make(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("order_key")
-        n, new = len(group), int(group["new"].iloc[0])
-        copies = np.full(n, new // n) + (np.arange(n) < new % n)
-        made = interpolated(group[list(NAMES)].to_numpy(float), copies, NEIGHBOURS, int(keys[1]))
-        return pd.DataFrame(made, columns=list(NAMES)).assign(label=keys[0])
-
-    schema = "label string, " + ", ".join(f"{n} double" for n in NAMES)
-    added = dealt.groupBy("label", "deal").applyInPandas(make, schema)
-    return train.select("label", *NAMES).unionByName(added.select("label", *NAMES))
+    rows = train.join(sizes, "label").withColumn("deal", F.pmod(F.xxhash64(key), F.ceil(F.col("size") / GROUP_ROWS)).cast("long"))
+    before = Window.partitionBy("label").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
+    groups = rows.groupBy("label", "deal").agg(F.count(F.lit(1)).alias("m")).withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")
+    dealt = rows.join(groups, ["label", "deal"]).filter("more > 0").select("label", "deal", "size", "more", "before", F.col(key).cast("string").alias("seed"), F.array(*[F.col(n).cast("double") for n in NAMES]).alias("base"))
+
+    def neighbours(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("seed")
+        points = np.array(group["base"].tolist(), float)
+        place = group["before"].to_numpy() + np.arange(len(group))
+        until = lambda at: at * group["more"].to_numpy() // group["size"].to_numpy()
+        others = [points[near].tolist() for near in nearest(points, NEIGHBOURS)]
+        return pd.DataFrame({"label": keys[0], "seed": group["seed"], "base": points.tolist(), "others": others, "copies": until(place + 1) - until(place)})
+
+    found = dealt.groupBy("label", "deal").applyInPandas(neighbours, "label string, seed string, base array<double>, others array<array<double>>, copies long").filter("copies > 0")
+    ranges = found.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(SEED_COPIES).cast("long"))))
+    return ranges.withColumn("copies", F.least(F.col("copies") - F.col("first"), F.lit(SEED_COPIES)))
+
+
+def oversampled(train: DataFrame, key: str) -> DataFrame:
+    """(label, features) of the train rows and of new rows, so that every class has as many rows as the largest one.
+
+    A new row lies between a row of its class and one of its neighbours, both chosen by digests of the row's key and the
+    copy's number; a class of one row is copied. Seeds are dealt over all tasks before they are spread, so a class of
+    a few rows against millions is no task of its own."""
+    dealt = seeds(train, key).repartition(F.xxhash64("label", "seed", "first"))
+    each = dealt.withColumn("copy", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1)))
+    draw = lambda salt: F.xxhash64("label", "seed", "copy", F.lit(salt))
+    other = F.coalesce(F.get("others", F.pmod(draw(1), F.greatest(F.size("others"), F.lit(1))).cast("int")), F.col("base"))
+    share = F.shiftrightunsigned(draw(2), 11) / F.lit(float(1 << 53))
+    made = each.select("label", F.zip_with("base", other, lambda a, b: a + share * (b - a)).alias("x"))
+    return train.select("label", *NAMES).unionByName(made.select("label", *[F.get("x", F.lit(i)).alias(n) for i, n in enumerate(NAMES)]))
 
 
 def trained(rows: DataFrame, trees: int = 50, depth: int = 8, seed: int = 42):

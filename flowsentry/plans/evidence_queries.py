@@ -132,10 +132,12 @@ def model_split(spark, d):
     return classifier.split(classifier.prepared(labelled_flows(spark, d)), "event_id").select("event_id", "label", "part")
 
 
-@query(f"{_PREPARED}, parts AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(event_id AS VARCHAR)), event_id) > floor(count(*) OVER (PARTITION BY label) * 20 / 100) AS train FROM prepared), s AS (SELECT label, count(*) AS n FROM parts WHERE train GROUP BY 1) SELECT label, (SELECT max(n) FROM s) AS n FROM s")
+@query(f"{_PREPARED}, parts AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(event_id AS VARCHAR)), event_id) > floor(count(*) OVER (PARTITION BY label) * 20 / 100) AS train FROM prepared), s AS (SELECT label, count(*) AS n, min(dst_port) AS low_dst_port, max(dst_port) AS high_dst_port, min(duration) AS low_duration, max(duration) AS high_duration, min(orig_bytes) AS low_orig_bytes, max(orig_bytes) AS high_orig_bytes, min(resp_bytes) AS low_resp_bytes, max(resp_bytes) AS high_resp_bytes FROM parts WHERE train GROUP BY 1) SELECT * REPLACE ((SELECT max(n) FROM s) AS n) FROM s")
 def model_oversampled(spark, d):
+    """Rows of each class with its smallest and largest values: new rows lie between rows of their class, so these are those of the train rows."""
     train = classifier.split(classifier.prepared(labelled_flows(spark, d)), "event_id").filter("part = 'train'")
-    return classifier.oversampled(train, "event_id").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    ends = [f(n).alias(f"{name}_{n}") for n in ("dst_port", "duration", "orig_bytes", "resp_bytes") for name, f in (("low", F.min), ("high", F.max))]
+    return classifier.oversampled(train, "event_id").groupBy("label").agg(F.count(F.lit(1)).alias("n"), *ends)
 
 
 @query()

@@ -76,11 +76,32 @@ def test_evaluation_and_snapshots(spark):
     assert evidence.rows_added(*shots).first()["added"] == 0 and evidence.rows_added(*shots[::-1]).first()["added"] == 5
 
 
-def test_interpolated_rows_lie_between_neighbours():
-    points = np.random.default_rng(1).random((40, 10))
-    made = classifier.interpolated(points, np.arange(40) % 3, 5, 7)
-    assert len(made) == sum(i % 3 for i in range(40)) and (made >= points.min(axis=0)).all() and (made <= points.max(axis=0)).all()
-    assert (classifier.interpolated(points[:1], np.array([2]), 5, 7) == points[:1]).all()
+def test_nearest_neighbours():
+    points = np.random.default_rng(7).normal(size=(40, 3)) * [1, 10, 100]
+    unit = points / points.std(axis=0)
+    for i, near in enumerate(classifier.nearest(points, 5)):
+        order = np.argsort(((unit - unit[i]) ** 2).sum(axis=1))
+        assert set(near.tolist()) == set(order[1:6].tolist())
+    assert classifier.nearest(points[:1], 5).shape == (1, 0) and classifier.nearest(points[:3], 5).shape == (3, 2)
+
+
+def test_small_classes_spread_over_tasks(spark):
+    """Classes of six and of one row against 20,000: as many rows each, between rows of the class, from seeds of 1,000 copies at most."""
+    rng = np.random.default_rng(3)
+    rows = [("big", i, *rng.normal(size=len(classifier.NAMES)).tolist()) for i in range(20_000)]
+    rows += [("six", 10**6 + i, *(rng.normal(size=len(classifier.NAMES)) + 50).tolist()) for i in range(6)] + [("one", 10**7, *[9.0] * len(classifier.NAMES))]
+    train = spark.createDataFrame(rows, ["label", "id", *classifier.NAMES])
+    made = classifier.oversampled(train, "id")
+    first, last = classifier.NAMES[0], classifier.NAMES[-1]
+    got = {r["label"]: r for r in made.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("low"), F.max(first).alias("high"), F.count_distinct(last).alias("different")).collect()}
+    six = [r[2] for r in rows if r[0] == "six"]
+    assert {r["n"] for r in got.values()} == {20_000} and got["one"]["low"] == got["one"]["high"] == 9
+    assert min(six) <= got["six"]["low"] and got["six"]["high"] <= max(six) and got["six"]["different"] > 19_000 and got["big"]["different"] == 20_000
+    parts = classifier.seeds(train, "id")
+    assert parts.agg(F.max("copies")).first()[0] == 1000 and parts.groupBy("label").count().filter("count >= 20").count() == 2
+    again = classifier.oversampled(train.repartition(7), "id")
+    total = lambda df: df.filter("label = 'six'").select(F.round(F.sum(first), 6)).first()[0]
+    assert total(made) == total(again)
 
 
 def test_classifier_learns_and_prepares(spark):
