@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsentry.operators import features
+from flowsentry.operators import baselines, features
 from flowsentry.plans import oracle as o
 from flowsentry.plans.queries import _LEVELS, _SCANS, _cooled, logins, query
 from flowsentry.sources.flows import flows, live_flows
+from flowsentry.sources.tables import shared_path
 from flowsentry.streaming import keyed, runs
+from flowsentry.streaming import risk as live_risk
 from flowsentry.streaming import windows as live_windows
 from flowsentry.streaming import state as live_state
 
@@ -57,3 +59,13 @@ def stream_windows(spark, d):
     """All window features live. The stream also writes up to five minutes of empty windows after a source's last flow, which the batch's grid has not: those go here."""
     f = flows(spark, d).groupBy("src_ip").agg((F.max("ts_us") + 30_000_000).alias("end"))
     return runs.run_to_end(live_windows.live_windows(live_flows(spark, d))).join(f, "src_ip").filter("ts_us <= end").drop("end")
+
+
+@query(f"WITH {o.RISK_ROWS}, {_TENTH} SELECT r.src_ip, r.k, r.risk_score, r.risk_level FROM risk r JOIN tenth USING (src_ip) WHERE r.ts_us > tenth AND r.ts_us <= {_mark('flows')} AND r.ts_us <= last + 30000000")
+def stream_risk(spark, d):
+    """Live windows scored by published baselines; empty windows after a source's last flow go, as in stream_windows."""
+    folder, table = shared_path(spark, "baselines"), shared_path(spark, "live-risk")
+    live_risk.publish(baselines.profiles(flows(spark, d)), folder, 1)
+    live_risk.run_live_risk(live_windows.live_windows(live_flows(spark, d)), folder, table, shared_path(spark, "stream-checkpoint"))
+    ends = flows(spark, d).groupBy("src_ip").agg((F.max("ts_us") + 30_000_000).alias("end"))
+    return spark.read.parquet(table).join(ends, "src_ip").filter("ts_us <= end").select("src_ip", "k", "risk_score", "risk_level")

@@ -2,9 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from flowsentry.operators import pauses, state, windows
+from flowsentry.operators import baselines, pauses, risk, state, stored_model, windows
+from flowsentry.sources.flows import flows
 from flowsentry.streaming import keyed, runs
+from flowsentry.streaming import risk as live_risk
 from flowsentry.streaming import state as live_state
 from flowsentry.streaming import windows as live_windows
 from tests.test_pauses import alerts, made_logins
@@ -158,3 +161,33 @@ def test_live_windows_equal_batch(spark, tmp_path):
     assert len(want) > 100 and set(want) <= set(got) and all(got[k].asDict() == want[k].asDict() for k in want)
     extra = [got[k] for k in set(got) - set(want)]
     assert 0 < len(extra) <= 2 * 10 and all(r["connections_30s"] == 0 for r in extra)
+
+
+def test_a_baseline_written_between_batches_changes_the_next_one(spark, tmp_path):
+    """Two runs of one stream: rows of the second are scored by the version that was published between them, and a new model is loaded."""
+    folder, table, checkpoint, model = (str(tmp_path / n) for n in ("baselines", "risk", "checkpoint", "model"))
+    frame = flows(spark, "/root/testdata/sf0.001")
+    rows = windows.window_features(frame).filter("src_ip = '192.168.50.19'")
+    early, late = rows.filter("k % 2 = 0").persist(), rows.filter("k % 2 = 1").persist()
+    profiles = baselines.profiles(frame, least_flows=1).persist()
+    stream = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    with pytest.raises(ValueError, match="no baselines"):
+        spark.createDataFrame([], "baseline_version long").write.parquet(f"{tmp_path}/none/marks")
+        live_risk.newest(spark, f"{tmp_path}/none")
+    live_risk.publish(profiles, folder, 1)
+    stored_model.fit(early, model, "1")
+    early.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live_risk.run_live_risk(stream(), folder, table, checkpoint, model)
+    strict = profiles.withColumns({c: F.lit(0.5) for c in ("connections_30s_p999", "unique_dst_ports_30s_p999", "dns_rate_1m_p999")})
+    live_risk.publish(strict, folder, 2)
+    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live_risk.run_live_risk(stream(), folder, table, checkpoint, model)
+    got = {r["k"]: r for r in spark.read.parquet(table).collect()}
+    assert len(got) == rows.count() and {r["baseline_version"] for k, r in got.items() if k % 2 == 0} == {1} and {r["baseline_version"] for k, r in got.items() if k % 2} == {2}
+    loaded = stored_model.load(spark, model)
+    for part, found in ((early, profiles), (late, strict)):
+        flagged = windows.with_flags(part).join(stored_model.scores(part, loaded).select("src_ip", "k", "anomaly_score"), ["src_ip", "k"])
+        want = {r["k"]: r["risk_score"] for r in risk.risk_rows(baselines.with_thresholds(flagged, found)).collect()}
+        assert want == {k: got[k]["risk_score"] for k in want} and want
+    plain = {r["k"]: r["risk_score"] for r in risk.risk_rows(baselines.with_thresholds(windows.with_flags(late), profiles)).collect()}
+    assert any(plain[k] != got[k]["risk_score"] for k in plain)
