@@ -19,13 +19,33 @@ CONNECTION = {
     "is_well_known_port": "CASE WHEN coalesce(dst_port, 0) < 1024 THEN 1 ELSE 0 END",
     **{f"is_{n}": f"CASE WHEN dst_port = {p} THEN 1 ELSE 0 END" for n, p in (("http", 80), ("https", 443), ("dns", 53), ("ssh", 22))},
     "is_external": "CASE WHEN dst_ip LIKE '192.168.%' THEN 0 ELSE 1 END",
+    "day_of_week": "(CAST(floor(ts_us / 86400000000) AS BIGINT) + 3) % 7",
     "hour_of_day": "CAST(floor(ts_us / 3600000000) AS BIGINT) % 24",
     "is_night": "CASE WHEN CAST(floor(ts_us / 3600000000) AS BIGINT) % 24 < 6 THEN 1 ELSE 0 END",
 }
 
 
+#: Features of the packet columns that connection logs have besides.
+PACKETS = {
+    "pkts_ratio": "resp_pkts * 1e0 / (orig_pkts + 1)",
+    "avg_orig_pkt_size": "orig_bytes * 1e0 / (orig_pkts + 1)",
+    "avg_resp_pkt_size": "resp_bytes * 1e0 / (resp_pkts + 1)",
+}
+#: Measures that are themselves features, absent ones as 0.
+MEASURES = ("duration", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "orig_ip_bytes", "resp_ip_bytes", "missed_bytes")
+
+
 def connection_features(flows: DataFrame) -> DataFrame:
-    return flows.selectExpr("*", *[f"{e} AS {c}" for c, e in CONNECTION.items()])
+    """flows with the features of their connections (Monday is day 0); those of packets if flows have packet columns."""
+    packets = PACKETS if {"orig_pkts", "resp_pkts"} <= set(flows.columns) else {}
+    return flows.selectExpr("*", *[f"{e} AS {c}" for c, e in (CONNECTION | packets).items()])
+
+
+def connection_vector(flows: DataFrame) -> DataFrame:
+    """All features of connection logs: measures (null as 0), ratios of the unfilled measures, kinds, ports and time."""
+    found = connection_features(flows)
+    filled = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in (*MEASURES, "dst_port")]
+    return found.select("ts_us", "src_ip", "dst_ip", *filled, *[c for c in found.columns if c in CONNECTION or c in PACKETS], *[c for c in ("event_id",) if c in found.columns])
 
 
 def dns_features(log: DataFrame) -> DataFrame:

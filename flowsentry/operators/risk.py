@@ -27,11 +27,12 @@ def explained(risk: DataFrame) -> DataFrame:
 
 
 def daily_summary(risk: DataFrame) -> DataFrame:
-    """Rows by level with shares, alert budget status."""
+    """Rows by level with their shares in percent, greatest and mean risk, mean anomaly, alert budget status."""
     counts = [F.sum(F.when(F.col("risk_level") == x, 1).otherwise(0)).alias(x.lower()) for x in LEVELS]
-    out = risk.groupBy().agg(F.count(F.lit(1)).alias("rows"), *counts, F.max("risk_score").alias("max_risk"), F.expr(rounded("avg(risk_score)", 4)).alias("mean_risk"))
+    out = risk.groupBy().agg(F.count(F.lit(1)).alias("rows"), *counts, F.max("risk_score").alias("max_risk"), F.expr(rounded("avg(risk_score)", 4)).alias("mean_risk"), F.expr(rounded("avg(anomaly_score)", 4)).alias("mean_anomaly"))
     alerts = F.col("critical") + F.col("alert")
-    return out.withColumn("budget", F.when(alerts <= 5, "ok").when(alerts <= 15, "warn").otherwise("bad"))
+    shares = {f"{x.lower()}_percent": F.expr(rounded(f"{x.lower()} * 1e2 / rows", 1)) for x in LEVELS}
+    return out.withColumns(shares).withColumn("budget", F.when(alerts <= 5, "ok").when(alerts <= 15, "warn").otherwise("bad"))
 
 
 def source_ports(flows: DataFrame) -> DataFrame:

@@ -113,3 +113,13 @@ def network_windows(flows: DataFrame, step: int = STEP_US) -> DataFrame:
     by_source = _spread(panes).groupBy("k", "src_ip").agg(*[F.sum(F.when(F.col("age") < m, F.col("c")).otherwise(0)).alias(f"c_{h}") for h, m in HORIZONS.items()])
     per = by_source.groupBy("k").agg(*[x for h in HORIZONS for x in (F.sum(f"c_{h}").alias(f"connections_{h}"), F.max(f"c_{h}").alias(f"busiest_{h}"))])
     return ends.select("t0", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("k_max", F.lit(0)))).alias("k")).join(per, "k", "left").na.fill(0).select("k", (F.col("t0") + F.col("k") * step).alias("ts_us"), *[c for h in HORIZONS for c in (f"connections_{h}", f"busiest_{h}")])
+
+
+def network_features(flows: DataFrame, step: int = STEP_US) -> DataFrame:
+    """(k, ts_us, all measures and flags) of the whole network as if it were one source, noise left out; the first window
+    ends the longest horizon after the first flow. Panes are groups of their own, so no task holds more than a step of flows."""
+    one = F.lit("network")
+    longest = step * MOST_STEPS
+    ends = flows.groupBy().agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("b")).filter("a IS NOT NULL")
+    ends = ends.select(one.alias("src_ip"), (F.col("a") + longest).alias("t0"), F.floor((F.col("b") + step - F.col("a") - longest) / step).cast("long").alias("k_max")).filter("k_max >= 0")
+    return with_flags(window_features(flows.withColumn("src_ip", one), ends, step)).drop("src_ip")

@@ -223,7 +223,7 @@ def risk_alerts(spark, d):
 _LEVEL_COUNTS = ", ".join(f"CAST(sum(CASE WHEN risk_level = '{x}' THEN 1 ELSE 0 END) AS BIGINT) AS {x.lower()}" for x in LEVELS)
 
 
-@query(f"WITH {o.RISK_ROWS} SELECT *, CASE WHEN critical + alert <= 5 THEN 'ok' WHEN critical + alert <= 15 THEN 'warn' ELSE 'bad' END AS budget FROM (SELECT count(*) AS rows, {_LEVEL_COUNTS}, max(risk_score) AS max_risk, {rounded('avg(risk_score)', 4)} AS mean_risk FROM risk) x")
+@query(f"WITH {o.RISK_ROWS} SELECT *, CASE WHEN critical + alert <= 5 THEN 'ok' WHEN critical + alert <= 15 THEN 'warn' ELSE 'bad' END AS budget, {', '.join(f'floor({x.lower()} * 1e3 / rows + 0.5) / 10 AS {x.lower()}_percent' for x in LEVELS)} FROM (SELECT count(*) AS rows, {_LEVEL_COUNTS}, max(risk_score) AS max_risk, {rounded('avg(risk_score)', 4)} AS mean_risk, {rounded('avg(anomaly_score)', 4)} AS mean_anomaly FROM risk) x")
 def risk_daily_summary(spark, d):
     return risk.daily_summary(risk_of(spark, d))
 
@@ -685,4 +685,4 @@ def stream_window_counts(spark, d):
     return out.select("src_ip", F.unix_seconds("window_end").alias("window_end"), "connections", F.col("ports").cast("long").alias("ports"), F.col("ips").cast("long").alias("ips"), "failed_rate")
 
 
-from flowsentry.plans import evidence_queries, live_queries, manifest_queries, model_queries  # noqa: E402, F401  add their queries
+from flowsentry.plans import evidence_queries, feature_queries, live_queries, manifest_queries, model_queries  # noqa: E402, F401  add their queries
