@@ -73,10 +73,10 @@ def class_breakdown(events: DataFrame) -> DataFrame:
 
 
 def repeated_sequences(events: DataFrame) -> DataFrame:
-    """(src_ip, attack_type) with two events or more: count, ends, longest run of neighbouring windows."""
-    parted = stretches(events.select("src_ip", "attack_type", "k", "ts_us", "risk_score"), ["src_ip", "attack_type"], STEP_US, "island", ("k",))
-    runs = parted.groupBy("src_ip", "attack_type", "island").agg(F.count(F.lit(1)).alias("run"), F.min("ts_us").alias("a"), F.max("ts_us").alias("b"), F.max("risk_score").alias("r"))
-    return runs.groupBy("src_ip", "attack_type").agg(F.sum("run").alias("n"), F.min("a").alias("first_us"), F.max("b").alias("last_us"), F.max("run").alias("longest_run"), F.max("r").alias("max_risk")).filter("n >= 2")
+    """(src_ip, attack_type) with two events or more: count, ends, longest run of neighbouring windows, greatest risk and confidence."""
+    parted = stretches(events.select("src_ip", "attack_type", "k", "ts_us", "risk_score", "confidence"), ["src_ip", "attack_type"], STEP_US, "island", ("k",))
+    runs = parted.groupBy("src_ip", "attack_type", "island").agg(F.count(F.lit(1)).alias("run"), F.min("ts_us").alias("a"), F.max("ts_us").alias("b"), F.max("risk_score").alias("r"), F.max("confidence").alias("c"))
+    return runs.groupBy("src_ip", "attack_type").agg(F.sum("run").alias("n"), F.min("a").alias("first_us"), F.max("b").alias("last_us"), F.max("run").alias("longest_run"), F.max("r").alias("max_risk"), F.max("c").alias("max_confidence")).filter("n >= 2")
 
 
 def feature_quantiles(rows: DataFrame, columns: tuple[str, ...] = QUANTILE_FEATURES) -> DataFrame:

@@ -485,7 +485,7 @@ def accuracy_classes(spark, d):
     return audit.class_breakdown(events_of(spark, d))
 
 
-@query(f"WITH {o.EVENTS}, i AS (SELECT *, k - row_number() OVER (PARTITION BY src_ip, attack_type ORDER BY k) AS island FROM events_), r AS (SELECT src_ip, attack_type, island, count(*) AS run, min(ts_us) AS a, max(ts_us) AS b, max(risk_score) AS m FROM i GROUP BY 1, 2, 3) SELECT src_ip, attack_type, CAST(sum(run) AS BIGINT) AS n, min(a) AS first_us, max(b) AS last_us, max(run) AS longest_run, max(m) AS max_risk FROM r GROUP BY 1, 2 HAVING sum(run) >= 2")
+@query(f"WITH {o.EVENTS}, i AS (SELECT *, k - row_number() OVER (PARTITION BY src_ip, attack_type ORDER BY k) AS island FROM events_), r AS (SELECT src_ip, attack_type, island, count(*) AS run, min(ts_us) AS a, max(ts_us) AS b, max(risk_score) AS m, max(confidence) AS mc FROM i GROUP BY 1, 2, 3) SELECT src_ip, attack_type, CAST(sum(run) AS BIGINT) AS n, min(a) AS first_us, max(b) AS last_us, max(run) AS longest_run, max(m) AS max_risk, max(mc) AS max_confidence FROM r GROUP BY 1, 2 HAVING sum(run) >= 2")
 def accuracy_sequences(spark, d):
     return audit.repeated_sequences(events_of(spark, d))
 
@@ -685,4 +685,4 @@ def stream_window_counts(spark, d):
     return out.select("src_ip", F.unix_seconds("window_end").alias("window_end"), "connections", F.col("ports").cast("long").alias("ports"), F.col("ips").cast("long").alias("ips"), "failed_rate")
 
 
-from flowsentry.plans import evidence_queries, feature_queries, live_queries, manifest_queries, model_queries  # noqa: E402, F401  add their queries
+from flowsentry.plans import evidence_queries, feature_queries, live_queries, manifest_queries, model_queries, report_queries  # noqa: E402, F401  add their queries
