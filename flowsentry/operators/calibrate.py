@@ -66,15 +66,16 @@ def scoped(rows: DataFrame, found: DataFrame, label: str) -> DataFrame:
     return inside.withColumn("order", F.row_number().over(first)).filter("order = 1").drop("order", "start_row", "stop_row")
 
 
-def sequences(events: DataFrame, gap_us: int = GAP_US) -> DataFrame:
-    """Adds sequence (number within source and class) and persistence (its length); a gap of up to gap_us continues one."""
-    numbered = stretches(events, ["src_ip", "attack_type"], gap_us, "sequence", ("k",))
-    return numbered.withColumn("persistence", F.count(F.lit(1)).over(Window.partitionBy("src_ip", "attack_type", "sequence")))
+def sequences(events: DataFrame, gap_us: int = GAP_US, apart: tuple[str, ...] = ()) -> DataFrame:
+    """Adds sequence (number within source and class, and the columns apart) and persistence (its length); a gap of up to gap_us continues one."""
+    keys = ["src_ip", "attack_type", *apart]
+    numbered = stretches(events, keys, gap_us, "sequence", ("k",))
+    return numbered.withColumn("persistence", F.count(F.lit(1)).over(Window.partitionBy(*keys, "sequence")))
 
 
-def replayed(events: DataFrame) -> DataFrame:
+def replayed(events: DataFrame, apart: tuple[str, ...] = ()) -> DataFrame:
     """Every event under every policy, with kept 1 or 0. The policies are a table of nine rows."""
-    return sequences(events).crossJoin(F.broadcast(policies(events.sparkSession))).withColumn("kept", F.expr(KEPT))
+    return sequences(events, apart=apart).crossJoin(F.broadcast(policies(events.sparkSession))).withColumn("kept", F.expr(KEPT))
 
 
 def policy_metrics(events: DataFrame, total_rows: DataFrame) -> DataFrame:

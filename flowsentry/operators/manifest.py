@@ -90,3 +90,32 @@ def outcomes(found: DataFrame, normal_rows: DataFrame) -> DataFrame:
     matched = normal_rows.groupBy("session_index").agg(F.count(F.lit(1)).alias("matched"))
     none = (F.col("label") == "normal") & F.col("excluded").isNull() & F.col("matched").isNull()
     return found.join(matched, "session_index", "left").select("session_index", "scenario", "label", "date", F.when(none, "no rows matched").otherwise(F.col("excluded")).alias("excluded"), F.coalesce("matched", F.lit(0)).alias("matched"))
+
+
+def detection(kept: DataFrame, found: DataFrame, policies: DataFrame, actionable: str, alerting: tuple[str, ...]) -> DataFrame:
+    """By policy and attack session that nothing excludes: expected classes found and missed, recall in percent, the same of
+    the classes that alert, and the delay of the first kept row from the session's start in seconds.
+
+    kept has the rows (policy, session_index, attack_type, ts_us) that a policy keeps inside sessions, once for each
+    session; actionable is the condition on them for an alert. A first row up to 30 s before the start counts as delay 0, for its
+    window reaches into the session; an earlier one gives no delay. Without a start or a row there is neither."""
+    kinds = lambda c: F.array_sort(F.collect_set(c))
+    seen = kept.groupBy("policy", "session_index").agg(kinds("attack_type").alias("detected"), kinds(F.when(F.expr(actionable), F.col("attack_type"))).alias("alerted"), F.min("ts_us").alias("first_kept_us"))
+    good = found.filter((F.col("label") == "attack") & F.col("excluded").isNull()).select("session_index", "scenario", "date", F.array_sort(F.array_distinct("expected_classes")).alias("expected"), "start_us")
+    every = good.crossJoin(F.broadcast(policies.select("policy")))  # the policies are nine rows
+    rows = every.join(seen, ["policy", "session_index"], "left")
+    none = F.array().cast("array<string>")
+    rows = rows.withColumns({"detected": F.coalesce("detected", none), "alerted": F.coalesce("alerted", none), "due": F.array_intersect("expected", F.array(*[F.lit(c) for c in alerting]))})
+    text = lambda c: F.array_join(F.array_sort(c), ",")
+    percent = lambda a, b: F.when(F.size(b) > 0, F.floor(F.size(a) * 1e4 / F.size(b) + 0.5) / 1e2)
+    raw = F.when(F.col("first_kept_us") >= F.col("start_us"), F.floor((F.col("first_kept_us") - F.col("start_us")) / 1e6)).otherwise(F.ceil((F.col("first_kept_us") - F.col("start_us")) / 1e6))
+    hit, alert = F.array_intersect("expected", "detected"), F.array_intersect("due", "alerted")
+    out = rows.withColumn("delay_raw_s", F.when(F.col("start_us").isNotNull() & F.col("first_kept_us").isNotNull(), raw).cast("long"))
+    return out.select(
+        "policy", "session_index", "scenario", "date",
+        text("expected").alias("expected"), F.size(hit).alias("found"), text(F.array_except("expected", "detected")).alias("missed"), percent(hit, F.col("expected")).alias("recall"), text("detected").alias("detected"),
+        text("alerted").alias("alerted"), F.size(alert).alias("alerts_found"), text(F.array_except("due", "alerted")).alias("alerts_missed"), percent(alert, F.col("due")).alias("alert_recall"),
+        "delay_raw_s",
+        F.when(F.col("delay_raw_s") >= -30, F.greatest(F.col("delay_raw_s"), F.lit(0))).alias("delay_s"),
+        F.when(F.col("delay_raw_s").isNull(), "unavailable").when(F.col("delay_raw_s") < -30, "before the session").when(F.col("delay_raw_s") < 0, "overlapping window").otherwise("").alias("timing"),
+    )

@@ -52,3 +52,32 @@ def test_empty_manifest(spark, tmp_path):
     found = manifest.checked(manifest.sessions(read_manifest(spark, str(path), manifest.SESSION)), manifest.days(frame))
     rows = manifest.session_rows(frame, found, "normal")
     assert rows.collect() == [] and manifest.outcomes(found, rows).filter("session_index IS NOT NULL").collect() == []
+
+
+def test_detection_counts_and_timing(spark, tmp_path):
+    frame, found = made(spark, tmp_path)
+    start = DAY + 3_600_000_000  # of session 12
+    kept = [
+        ("p", 11, "PORT_SCAN", DAY, 1), ("p", 12, "DNS_ANOMALY", start - 29_500_000, 0), ("p", 12, "PORT_SCAN", start + 5, 0),
+        ("q", 12, "PORT_SCAN", start + 61_900_000, 1), ("q", 13, "OTHER", DAY, 0),
+    ]
+    rows = spark.createDataFrame(kept, "policy string, session_index int, attack_type string, ts_us long, strong int")
+    policies = spark.createDataFrame([("p",), ("q",), ("none",)], "policy string")
+    out = manifest.detection(rows, found, policies, "strong = 1", ("PORT_SCAN",)).collect()
+    got = {(r["policy"], r["session_index"]): r for r in out}
+    assert set(got) == {(p, s) for p in ("p", "q", "none") for s in (11, 12, 13)} and len(out) == 9
+    pick = lambda p, s: tuple(got[p, s][c] for c in ("found", "missed", "recall", "detected", "alerts_found", "alerts_missed", "alert_recall", "delay_raw_s", "delay_s", "timing"))
+    assert pick("p", 11) == (1, "", 100.0, "PORT_SCAN", 1, "", 100.0, None, None, "unavailable")  # without a start
+    assert pick("p", 12) == (1, "", 100.0, "DNS_ANOMALY,PORT_SCAN", 0, "PORT_SCAN", 0.0, -29, 0, "overlapping window")
+    assert pick("q", 12) == (1, "", 100.0, "PORT_SCAN", 1, "", 100.0, 61, 61, "")
+    assert pick("q", 13) == (0, "PORT_SCAN", 0.0, "OTHER", 0, "PORT_SCAN", 0.0, -5900, None, "before the session")
+    assert pick("none", 12) == (0, "PORT_SCAN", 0.0, "", 0, "PORT_SCAN", 0.0, None, None, "unavailable")
+
+
+def test_leading_names(spark):
+    from flowsentry.operators import reports
+
+    rows = [("a", f"s{i % 7}") for i in range(40)] + [("a", None)] * 9 + [("b", "x"), (None, "y"), (None, "y"), (None, "z")]
+    frame = spark.createDataFrame(rows, "key string, name string")
+    got = {r["key"]: r["top"] for r in reports.leading(frame, ["key"], "name", 3, "top").collect()}
+    assert got == {"a": "s0:6,s1:6,s2:6", "b": "x:1", None: "y:2,z:1"}
