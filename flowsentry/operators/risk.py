@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowsentry.functions.expressions import CLASSES, COMPONENTS, LEVEL, LEVELS, RISK, RULES, SCORES, SUSPICIOUS, classification, reason_texts, rounded
 from flowsentry.functions.expressions import _BOT as BOT
+from flowsentry.sources.tables import durable
 
 
 def risk_rows(flagged: DataFrame) -> DataFrame:
@@ -43,9 +44,10 @@ def source_ports(flows: DataFrame) -> DataFrame:
 
 def classified(risk: DataFrame, ports: DataFrame | None = None, trusted: tuple[str, ...] = (), earlier: bool = False) -> DataFrame:
     """Suspicious rows with attack_type, confidence and reasons; repeated counts a source's suspicious rows."""
-    rows = risk.filter(SUSPICIOUS)
+    rows = durable(risk.filter(SUSPICIOUS))  # read for the counts, and again by whatever reads the events
+    counts = rows.filter("src_ip <> ''").groupBy("src_ip").agg(F.count(F.lit(1)).alias("repeated"))
     rows = rows.join(ports, "src_ip", "left") if ports is not None else rows.withColumn("ctx_port", F.lit(None).cast("string"))
-    rows = rows.withColumn("ctx_service", F.when(F.col("ctx_port") == "22", "ssh")).withColumn("repeated", F.when(F.coalesce("src_ip", F.lit("")) == "", 0).otherwise(F.count(F.lit(1)).over(Window.partitionBy("src_ip"))))
+    rows = rows.withColumn("ctx_service", F.when(F.col("ctx_port") == "22", "ssh")).join(counts, "src_ip", "left").withColumn("repeated", F.coalesce("repeated", F.lit(0)))
     keep = [*rows.columns, "attack_type", "confidence"]
     for name, e in classification(earlier, trusted).items():
         rows = rows.withColumn(name, F.expr(e))
