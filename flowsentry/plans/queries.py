@@ -685,4 +685,4 @@ def stream_window_counts(spark, d):
     return out.select("src_ip", F.unix_seconds("window_end").alias("window_end"), "connections", F.col("ports").cast("long").alias("ports"), F.col("ips").cast("long").alias("ips"), "failed_rate")
 
 
-from flowsentry.plans import evidence_queries, feature_queries, live_queries, manifest_queries, model_queries, report_queries  # noqa: E402, F401  add their queries
+from flowsentry.plans import check_queries, evidence_queries, feature_queries, live_queries, manifest_queries, model_queries, report_queries  # noqa: E402, F401  add their queries
