@@ -107,9 +107,12 @@ def attack_validation(events: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def readiness(validation: DataFrame, metrics: DataFrame) -> DataFrame:
-    """By policy: recall over attack sessions, and whether it is ready (full recall and targets met on normal rows)."""
+    """By policy: recall over attack sessions, whether it is ready (full recall and targets met on normal rows), and the reasons if not."""
     recall = validation.groupBy("policy").agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("expected_sessions"))
-    return recall.join(metrics.select("policy", "target_met"), "policy", "left").select("policy", "hits", "expected_sessions", F.expr(rounded("hits * 1e2 / expected_sessions", 2)).alias("recall"), F.coalesce("target_met", F.lit(0)).alias("target_met"), F.when((F.col("hits") == F.col("expected_sessions")) & (F.col("target_met") == 1), 1).otherwise(0).alias("ready"))
+    rows = recall.join(metrics.select("policy", "target_met"), "policy", "left").withColumn("target_met", F.coalesce("target_met", F.lit(0)))
+    missed, noisy = F.col("hits") < F.col("expected_sessions"), F.col("target_met") == 0
+    reasons = F.concat_ws(",", F.when(missed, "missed sessions"), F.when(noisy, "targets not met"))
+    return rows.select("policy", "hits", "expected_sessions", F.expr(rounded("hits * 1e2 / expected_sessions", 2)).alias("recall"), "target_met", (~missed & ~noisy).cast("int").alias("ready"), reasons.alias("reasons"))
 
 
 def compared(earlier: DataFrame, current: DataFrame) -> DataFrame:

@@ -587,6 +587,12 @@ def calib_recall(spark, d):
     return calibrate.readiness(calibrate.attack_validation(events, sessions_of(spark, d)), metrics_of(spark, d)).select("policy", "hits", "expected_sessions", "recall")
 
 
+@query(f"WITH {_EARLIER}, {_SESSIONS}, {_VALIDATION}, m AS (WITH RECURSIVE {_METRICS} SELECT policy, target_met FROM metrics), r AS (SELECT policy, CAST(sum(hit) AS BIGINT) AS hits, count(*) AS expected_sessions FROM validation GROUP BY 1) SELECT policy, hits, expected_sessions, floor(hits * 1e4 / expected_sessions + 0.5) / 1e2 AS recall, coalesce(target_met, 0) AS target_met, CASE WHEN hits = expected_sessions AND target_met = 1 THEN 1 ELSE 0 END AS ready, concat_ws(',', CASE WHEN hits < expected_sessions THEN 'missed sessions' END, CASE WHEN coalesce(target_met, 0) = 0 THEN 'targets not met' END) AS reasons FROM r LEFT JOIN m USING (policy)")
+def calib_readiness(spark, d):
+    events = events_of(spark, d, earlier=True)
+    return calibrate.readiness(calibrate.attack_validation(events, sessions_of(spark, d)), calibrate.policy_metrics(events, risk_of(spark, d)))
+
+
 @query(f"WITH {o.RISK_ROWS}, {o.PORTS}, {o.events('events_')}, {o.events('earlier', (), True)} SELECT c.src_ip, c.k, e.attack_type AS earlier_type, c.attack_type AS current_type, CASE WHEN e.attack_type = c.attack_type THEN 1 ELSE 0 END AS same FROM events_ c JOIN earlier e ON e.src_ip = c.src_ip AND e.k = c.k")
 def calib_reproduction(spark, d):
     return calibrate.compared(events_of(spark, d, earlier=True), events_of(spark, d))
@@ -625,7 +631,9 @@ def route_primed(spark, d):
     return calibrate.primed(routed).join(routed.select("fingerprint", "decision"), "fingerprint").groupBy("decision", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ROUTED}, act AS (SELECT src_ip, attack_type, ts_us, k, CAST(risk_score AS DOUBLE) AS risk_score, row_number() OVER (PARTITION BY src_ip, attack_type ORDER BY ts_us, k) AS place FROM routed WHERE decision = 'actionable'),
+sent AS (SELECT * FROM act WHERE place = 1 UNION ALL SELECT a.* FROM (SELECT s.src_ip, s.attack_type, min(n.place) AS place FROM sent s JOIN act n ON n.src_ip = s.src_ip AND n.attack_type = s.attack_type AND n.place > s.place AND (n.ts_us >= s.ts_us + 600000000 OR n.risk_score >= s.risk_score + 10) GROUP BY s.src_ip, s.attack_type, s.place) x JOIN act a ON a.src_ip = x.src_ip AND a.attack_type = x.attack_type AND a.place = x.place)
+SELECT src_ip, attack_type, ts_us, k, risk_score FROM sent""")
 def route_due(spark, d):
     return calibrate.due_alerts(calibrate.routed(events_of(spark, d)))
 
