@@ -30,8 +30,11 @@ table without rows gives none; further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +45,10 @@ from flowsentry.llm.components import components
 #: Words in a shingle and the similarity in percent.
 WORDS, PERCENT = 4, 85
 #: Bytes of text that are hashed together, and the most entries of the table of frequent shingles.
-BLOCK_BYTES, FREQUENT_ENTRIES = 1 << 20, 500_000
+BLOCK_BYTES, FREQUENT_ENTRIES = 1 << 18, 500_000
+#: Documents whose texts and sets a task has as Python objects at once; shingles whose counts it takes together, the
+#: ranges of hashes by which they are sorted, and rows of counts it makes at once.
+PIECE_ROWS, HELD_SHINGLES, COUNT_RANGES, COUNT_ROWS = 1_000, 1 << 23, 16, 50_000
 #: Ids that are broadcast to pick documents for verification; more are shuffled.
 BROADCAST_IDS = 200_000
 #: Hash classes of which a mixed bucket draws one set each, and rounds of draws.
@@ -50,7 +56,7 @@ DRAWS, DRAW_ROUNDS = 6, 1
 #: Hash classes whose parities make a set's signature, as longs of 64.
 SIGNATURE_BITS = 256
 SIGNATURE = [f"s{i}" for i in range(SIGNATURE_BITS // 64)]
-#: A shingle counts as locally frequent when so many documents of one batch hold it.
+#: A shingle counts as locally frequent when so many documents of one batch (or of HELD_SHINGLES of it) hold it.
 LOCAL_COUNT = 2
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
@@ -201,23 +207,62 @@ def rare_first(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> n
     return found[np.lexsort((found, np.where(frequent[at] == found, counts[at], 0)))]
 
 
-def _summaries(docs: DataFrame, words: int, names: Names) -> DataFrame:
-    """Two kinds of rows: of each document (doc_id, text_hash, n, key, second, signatures), and of each batch's frequent shingles (h, count)."""
+def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """PIECE_ROWS rows of the batches at a time, without copies."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, PIECE_ROWS):
+            yield batch.slice(i, PIECE_ROWS)
 
-    def scan(batches):
-        for batch in batches:
-            sets = shingle_sets(batch["text"].tolist(), words)
+
+def often_held(sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(shingles, counts) of what LOCAL_COUNT or more of the sorted sets hold, a range of hashes at a time: beside the
+    sets there is a copy of one range."""
+    width, more = (1 << 64) // COUNT_RANGES, LOCAL_COUNT - 1
+    cuts = np.array([k * width - (1 << 63) for k in range(1, COUNT_RANGES)], np.int64)
+    bounds = [[0, *np.searchsorted(s, cuts).tolist(), len(s)] for s in sets]
+    for k in range(COUNT_RANGES if sets else 0):
+        found = np.concatenate([s[b[k] : b[k + 1]] for s, b in zip(sets, bounds, strict=True)])
+        found.sort()
+        found = found[more:][found[more:] == found[: max(len(found) - more, 0)]]
+        firsts = np.flatnonzero(np.concatenate((np.ones(min(len(found), 1), bool), found[1:] != found[:-1])))
+        yield found[firsts], np.diff(np.append(firsts, len(found))) + more
+
+
+SUMMARY = pa.schema([(c, pa.int64()) for c in ("doc_id", "text_hash", "n", "key", "second", "h", "count")] + [("wide", pa.binary())] + [(c, pa.int64()) for c in SIGNATURE])
+
+
+def summary_rows(batches: Iterable[pa.RecordBatch], words: int, names: Names) -> Iterator[pa.RecordBatch]:
+    """The rows of _summaries from (doc_id, text_hash, text): a worker has a piece's texts and a batch's sets at once
+    (those of HELD_SHINGLES at most, or of one piece)."""
+
+    def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for all_h, all_c in often_held(held):
+            for i in range(0, len(all_h), COUNT_ROWS):
+                h, c = all_h[i : i + COUNT_ROWS], all_c[i : i + COUNT_ROWS]
+                none = pa.array(np.zeros(len(h), np.int64))
+                columns = dict.fromkeys(SUMMARY.names, none) | {"n": np.full(len(h), -1), "h": h, "count": c, "wide": pa.nulls(len(h), pa.binary())}
+                yield pa.RecordBatch.from_arrays([pa.array(columns[x.name], x.type) for x in SUMMARY], schema=SUMMARY)
+
+    for batch in batches:
+        held: list[np.ndarray] = []
+        for part in pieces([batch]):
+            sets = shingle_sets(part.column("text").to_pylist(), words)
             signed = np.array([signature(s) for s in sets], np.int64).reshape(-1, len(SIGNATURE))
             keys = np.array([names.first(s) for s in sets], np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n": [len(s) for s in sets], "key": keys[:, 0], "second": keys[:, 1], "h": 0, "count": 0, "wide": [wide_signature(s) for s in sets]} | {c: signed[:, i] for i, c in enumerate(SIGNATURE)})
-            if sets:
-                h, c = np.unique(np.concatenate(sets), return_counts=True)
-                often = c >= LOCAL_COUNT
-                h, c = h[often], c[often]
-                yield pd.DataFrame({"doc_id": 0, "text_hash": 0, "n": -1, "key": 0, "second": 0, "h": h, "count": c, "wide": None} | dict.fromkeys(SIGNATURE, 0))
+            columns = {"doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), "n": [len(s) for s in sets], "key": keys[:, 0], "second": keys[:, 1], "wide": [wide_signature(s) for s in sets]} | {c: signed[:, i] for i, c in enumerate(SIGNATURE)}
+            none = np.zeros(len(sets), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(columns.get(x.name, none), x.type) for x in SUMMARY], schema=SUMMARY)
+            if held and sum(map(len, held)) + sum(map(len, sets)) > HELD_SHINGLES:
+                yield from counted(held)
+                held = []
+            held += sets
+        yield from counted(held)
 
-    rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
-    return rows.mapInPandas(scan, "doc_id long, text_hash long, n long, key long, second long, h long, count long, wide binary, " + ", ".join(f"{c} long" for c in SIGNATURE))
+
+def _summaries(docs: DataFrame, words: int, names: Names) -> DataFrame:
+    """Two kinds of rows: of each document (doc_id, text_hash, n, key, second, signatures), and of each batch's frequent shingles (h, count)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
+    return rows.mapInArrow(lambda batches: summary_rows(batches, words, names), "doc_id long, text_hash long, n long, key long, second long, h long, count long, wide binary, " + ", ".join(f"{c} long" for c in SIGNATURE))
 
 
 def _frequent(summaries: DataFrame, entries: int) -> tuple[np.ndarray, np.ndarray]:
@@ -235,24 +280,22 @@ def _postings(docs: DataFrame, words: int, percent: int, shared, names: Names) -
     def scan(batches):
         frequent, counts = shared.value
         seen: set[int] = set()
-        for batch in batches:
-            texts = batch["text"].tolist()
-            for i in range(0, len(texts), 1000):
-                hs, pos, keys, sizes = [], [], [], []
-                for found in shingle_sets(texts[i : i + 1000], words):
-                    n = len(found)
-                    key = names(found) if n else 0
-                    if n and key not in seen:
-                        seen.add(key)
-                        p = n - needed(n, percent) + 1
-                        hs.append(rare_first(found, frequent, counts)[:p])
-                        pos.append(np.arange(p, dtype=np.int32))
-                        keys.append(np.full(p, key, np.int64))
-                        sizes.append(np.full(p, n, np.int32))
-                if hs:
-                    yield pd.DataFrame({"h": np.concatenate(hs), "pos": np.concatenate(pos), "key": np.concatenate(keys), "n": np.concatenate(sizes)})
-
-    return docs.select(text_or_empty().alias("text")).mapInPandas(scan, "h long, pos int, key long, n int")
+        for part in pieces(batches):
+            hs, pos, keys, sizes = [], [], [], []
+            for found in shingle_sets(part.column("text").to_pylist(), words):
+                n = len(found)
+                key = names(found) if n else 0
+                if n and key not in seen:
+                    seen.add(key)
+                    p = n - needed(n, percent) + 1
+                    hs.append(rare_first(found, frequent, counts)[:p])
+                    pos.append(np.arange(p, dtype=np.int32))
+                    keys.append(np.full(p, key, np.int64))
+                    sizes.append(np.full(p, n, np.int32))
+            if hs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, pos, keys, sizes)], names=["h", "pos", "key", "n"])
+
+    return docs.select(text_or_empty().alias("text")).mapInArrow(scan, "h long, pos int, key long, n int")
 
 
 def _picked(frame: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -266,13 +309,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(key, hubs, shingles) of the wanted documents (doc_id, text_hash, key, hubs)."""
 
     def scan(batches):
-        for batch in batches:
-            for i in range(0, len(batch), 1000):
-                part = batch.iloc[i : i + 1000]
-                yield pd.DataFrame({"key": part["key"], "hubs": part["hubs"], "shingles": pd.Series(shingle_sets(part["text"].tolist(), words), index=part.index)})
+        for part in pieces(batches):
+            sets = pa.array(shingle_sets(part.column("text").to_pylist(), words), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("hubs"), sets], names=["key", "hubs", "shingles"])
 
     rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
-    return _picked(rows, wanted).select("key", "hubs", "text").mapInPandas(scan, "key long, hubs array<long>, shingles array<long>")
+    return _picked(rows, wanted).select("key", "hubs", "text").mapInArrow(scan, "key long, hubs array<long>, shingles array<long>")
 
 
 def _reaches(overlap: Column, na: Column, nb: Column, percent: int) -> Column:
