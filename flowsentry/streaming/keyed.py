@@ -1,26 +1,34 @@
 """Login levels, alert pauses and perimeter alerts as streams: keyed rules that see each key's rows in order of time.
 
 Rows wait in their key's state until the watermark has passed them, then meet the rule sorted by time and id, so a batch's
-order and small delays change nothing and the rows that come out are those of the batch forms in operators. A rule's
-memory is a few numbers; a key whose memory can no longer matter is dropped by a timer.
+order and small delays change nothing and the rows that come out are those of the batch forms in operators. They wait as
+sorted pages, which are merged as they are read, so a task holds a page of each sorted run and never a key's whole rows.
+A rule's memory is a few numbers; a key whose memory can no longer matter is dropped by a timer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 LEVELS = ((10, "ban"), (5, "alert"), (3, "warn"))
+#: Rows that are sorted together as they come in, rows of a page in state, and rows that a rule sees at once.
+RUN_ROWS, PAGE_ROWS, STEP_ROWS = 65_536, 4_096, 8_192
+_ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
 
 
 class Rule:
     """What happens to a key's rows: columns of a row after (ts_us, id), of the memory, and of what comes out."""
 
     payload = memory = output = ""
+    #: Whether rows of one time must come together, and the payload if equal ones of one time count once.
+    whole_times, once = True, ()
 
     def start(self) -> tuple:
         raise NotImplementedError
@@ -85,6 +93,7 @@ class PauseRule(Rule):
     """The first alert goes out, then each that comes pause_us or more after the last one sent, or is riskier than it by increase or more."""
 
     payload, memory, output = "risk double", "sent_us long, risk double", "ts_us long, id long, risk double"
+    whole_times = False
 
     def __init__(self, pause_us: int, increase: float | None) -> None:
         self.pause_us, self.increase = pause_us, increase
@@ -139,30 +148,37 @@ class InOrder(StatefulProcessor):
 
     def __init__(self, rule: Rule, names: list[str]) -> None:
         self.rule, self.names = rule, names
+        self.kinds = dict(c.split() for c in f"ts_us long, id long, {rule.payload}".split(", "))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"ts_us long, id long, {self.rule.payload}")
+        self.pages = handle.getMapState("pages", "number long", "rows binary")
+        self.index = handle.getValueState("index", "numbers array<long>, firsts array<long>")
         self.memory = handle.getValueState("memory", self.rule.memory)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        arrived = pd.concat(list(rows))
-        payload = [arrived[c.split()[0]] for c in self.rule.payload.split(", ")]
-        new = [(int(t), int(i), *p) for t, i, *p in zip(arrived["ts_us"], arrived["id"], *payload, strict=True)]
-        self.waiting.appendList(new)
-        self.handle.registerTimer(min(t for t, *_ in new) // 1000 + 1)
+        index, new = self._index(), []
+        run, n = [], 0
+        for arrived in rows:
+            run.append(self._batch(arrived))
+            n += len(arrived)
+            if n >= RUN_ROWS:
+                self._keep(self._sorted(run), index, new)
+                run, n = [], 0
+        if n:
+            self._keep(self._sorted(run), index, new)
+        self._put_index(index + new)
+        self.handle.registerTimer(min(first for first, _ in new) // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         end = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
-        ready, later = [r for r in rows if r[0] < end], [r for r in rows if r[0] >= end]
         memory = tuple(self.memory.get()) if self.memory.exists() else self.rule.start()
-        memory, out = self.rule.step(memory, ready, end)
-        self.waiting.clear()
-        if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(later[0][0] // 1000 + 1)
+        for rows, before in self._ready(end):
+            memory, out = self.rule.step(memory, rows, before)
+            yield from self._frames(key, out)
+        memory, out = self.rule.step(memory, [], end)
+        yield from self._frames(key, out)
         wake = self.rule.wake(memory) if memory != self.rule.start() else None
         until = self.rule.keep_until(memory) if memory != self.rule.start() else 0
         if until is not None and until <= end:
@@ -171,13 +187,86 @@ class InOrder(StatefulProcessor):
             self.memory.update(memory)
             if wake is not None:
                 self.handle.registerTimer(wake // 1000 + 1)
-        if out:
-            values = [(*key, *r) for r in out]
-            yield pd.DataFrame(values, columns=self.names)
 
     def close(self) -> None:
         pass
 
+    def _frames(self, key: tuple, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        if out:
+            yield pd.DataFrame([(*key, *r) for r in out], columns=self.names)
+
+    def _index(self) -> list[tuple[int, int]]:
+        """(first time, number) of the pages in state."""
+        if not self.index.exists():
+            return []
+        numbers, firsts = self.index.get()
+        return list(zip(firsts, numbers, strict=True))
+
+    def _put_index(self, index: list[tuple[int, int]]) -> None:
+        if index:
+            self.index.update(([number for _, number in index], [first for first, _ in index]))
+        else:
+            self.index.clear()
+
+    def _batch(self, rows: pd.DataFrame) -> pa.RecordBatch:
+        """In pandas a column of whole numbers with nulls is one of reals with NaN; NaN in a column of reals stays."""
+        return pa.RecordBatch.from_arrays([pa.array(rows[c], _ARROW[kind], from_pandas=kind != "double") for c, kind in self.kinds.items()], names=list(self.kinds))
+
+    @staticmethod
+    def _sorted(run: list[pa.RecordBatch]) -> pa.Table:
+        return (rows := pa.Table.from_batches(run).combine_chunks()).sort_by([(c, "ascending") for c in rows.column_names])
+
+    def _keep(self, rows: pa.Table, *index: list[tuple[int, int]]) -> None:
+        """Puts sorted rows into state as pages and their entries into the last index; numbers go on from those of all."""
+        number = max((number for part in index for _, number in part), default=-1) + 1
+        for page in rows.combine_chunks().to_batches(PAGE_ROWS):
+            self.pages.updateValue((number,), (page.serialize().to_pybytes(),))
+            index[-1].append((page["ts_us"][0].as_py(), number))
+            number += 1
+
+    def _ready(self, end: int) -> Iterator[tuple[list[tuple], int]]:
+        """The waiting rows before end, in order and a few at a time, each time with a bound: the given rows are before it and all
+        later ones are not. Pages are read by their first times; what is before the next page's is complete."""
+        index = sorted(self._index())
+        if not index or index[0][0] >= end:
+            return
+        schema = pa.schema([(c, _ARROW[kind]) for c, kind in self.kinds.items()])
+        held, n, enough, at = [], 0, RUN_ROWS, 0
+        while at < len(index) and index[at][0] < end:
+            number = index[at][1]
+            held.append(pa.ipc.read_record_batch(pa.py_buffer(bytes(self.pages.getValue((number,))[0])), schema))
+            self.pages.removeKey((number,))
+            n += len(held[-1])
+            at += 1
+            bound = min(end, index[at][0]) if at < len(index) else end
+            if n < enough and bound < end:
+                continue
+            rows = self._sorted(held)
+            cut = int(np.searchsorted(rows["ts_us"].to_numpy(), bound))
+            yield from self._steps(rows.slice(0, cut), bound)
+            rows = rows.slice(cut)
+            held, n = rows.to_batches(), len(rows)
+            enough = n + max(n, RUN_ROWS)  # no row is sorted again more than a few times
+        left: list[tuple[int, int]] = []
+        if n:
+            self._keep(pa.Table.from_batches(held), index, left)
+        self._put_index(index[at:] + left)
+        if index[at:] + left:
+            self.handle.registerTimer(min(first for first, _ in index[at:] + left) // 1000 + 1)
+
+    def _steps(self, rows: pa.Table, end: int) -> Iterator[tuple[list[tuple], int]]:
+        if self.rule.once and len(rows):
+            found = rows.group_by(["ts_us", *self.rule.once], use_threads=False).aggregate([("id", "min")])
+            rows = self._sorted(pa.table({c: found["id_min" if c == "id" else c] for c in self.kinds}).to_batches())
+        times, at = rows["ts_us"].to_numpy(), 0
+        while at < len(times):
+            to = at + STEP_ROWS
+            if to < len(times) and self.rule.whole_times:
+                to = int(np.searchsorted(times, times[to])) if times[to] > times[at] else int(np.searchsorted(times, times[at], "right"))
+            part = rows.slice(at, to - at)
+            yield list(zip(*(c.to_pylist() for c in part.columns), strict=True)), int(times[to]) if to < len(times) else end
+            at = to
+
 
 def _in_order(rows: DataFrame, keys: list[str], rule: Rule, late: str) -> DataFrame:
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
