@@ -152,7 +152,8 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pages = handle.getMapState("pages", "number long", "rows binary")
+        self.schema = pa.schema([(c, _ARROW[kind]) for c, kind in self.kinds.items()])
+        self.pages = handle.getMapState("pages", "number long", "rows binary, size long")
         self.index = handle.getValueState("index", "numbers array<long>, firsts array<long>")
         self.memory = handle.getValueState("memory", self.rule.memory)
 
@@ -220,21 +221,25 @@ class InOrder(StatefulProcessor):
         """Puts sorted rows into state as pages and their entries into the last index; numbers go on from those of all."""
         number = max((number for part in index for _, number in part), default=-1) + 1
         for page in rows.combine_chunks().to_batches(PAGE_ROWS):
-            self.pages.updateValue((number,), (page.serialize().to_pybytes(),))
+            data = page.serialize()
+            self.pages.updateValue((number,), (pa.compress(data, "zstd", asbytes=True), data.size))
             index[-1].append((page["ts_us"][0].as_py(), number))
             number += 1
 
+    def _page(self, number: int) -> pa.RecordBatch:
+        rows, size = self.pages.getValue((number,))
+        return pa.ipc.read_record_batch(pa.decompress(bytes(rows), size, "zstd"), self.schema)
+
     def _ready(self, end: int) -> Iterator[tuple[list[tuple], int]]:
         """The waiting rows before end, in order and a few at a time, each time with a bound: the given rows are before it and all
         later ones are not. Pages are read by their first times; what is before the next page's is complete."""
         index = sorted(self._index())
         if not index or index[0][0] >= end:
             return
-        schema = pa.schema([(c, _ARROW[kind]) for c, kind in self.kinds.items()])
         held, n, enough, at = [], 0, RUN_ROWS, 0
         while at < len(index) and index[at][0] < end:
             number = index[at][1]
-            held.append(pa.ipc.read_record_batch(pa.py_buffer(bytes(self.pages.getValue((number,))[0])), schema))
+            held.append(self._page(number))
             self.pages.removeKey((number,))
             n += len(held[-1])
             at += 1

@@ -51,7 +51,7 @@ class WindowRule(Rule):
     day, those left out follow first, else a new grid starts."""
 
     payload = "dst_port long, dst_ip string, conn_state string, bytes long, duration double, noise boolean"
-    memory = "kept string"
+    memory, whole_times = "kept string", False
     output = ", ".join(["k long", "ts_us long", *(f"{c}_{h} {'double' if c in _REALS else 'long'}" for h in HORIZONS for c in SUMS)])
 
     def __init__(self, least_flows: int) -> None:
@@ -67,6 +67,7 @@ class WindowRule(Rule):
         t0, k, seen, last = (kept["t0"], kept["k"], kept["seen"], kept["last"]) if kept else (None, 0, 0, None)
         for t, _, port, ip, state, size, duration, noise in rows:
             if last is not None and t >= last + FORGET_US:
+                self._write(out, t0, k, (last + QUIET_US - t0) // STEP_US, seen, panes)
                 t0, k, seen, panes = None, 0, 0, []
             if t0 is None:
                 t0 = t + STEP_US
@@ -116,6 +117,6 @@ def live_windows(flows: DataFrame, least_flows: int = 10, late: str = "1 minute"
     """operators.windows.window_features of a stream of flows with ts_us: each window once the stream is late past its end,
     from a source's least_flows-th flow on. Flows later than late are dropped. State: a source's flows of the last late
     and its ports and addresses of five minutes."""
-    rows = flows.filter(is_local("src_ip")).selectExpr("src_ip", "ts_us", "event_id AS id", "dst_port", "dst_ip", "conn_state", "coalesce(orig_bytes, 0) + coalesce(resp_bytes, 0) AS bytes", "CAST(duration AS DOUBLE) AS duration", f"{is_noise()} AS noise")
+    rows = flows.filter(is_local("src_ip")).selectExpr("src_ip", "ts_us", "event_id AS id", "dst_port", "dst_ip", "conn_state", "coalesce(orig_bytes, 0) + coalesce(resp_bytes, 0) AS bytes", "coalesce(CAST(duration AS DOUBLE), 0e0) AS duration", f"{is_noise()} AS noise")
     sums = _in_order(rows, ["src_ip"], WindowRule(least_flows), late)
     return sums.selectExpr("src_ip", "k", "ts_us", *[f"{e} AS {c}" for h, m in HORIZONS.items() for c, e in features(h, m * STEP_US // 1_000_000).items()])

@@ -2,7 +2,6 @@
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import pytest
 
 from flowsentry.streaming import keyed, runs
@@ -56,13 +55,12 @@ def test_a_key_of_any_size_meets_its_rule_in_pages(small, whole_times):
     rng, rule, handle = np.random.default_rng(4), Seen(whole_times), Handle()
     order = keyed.InOrder(rule, ["key", "ts_us", "id", "port", "name", "size"])
     order.init(handle)
-    schema = pa.schema([(c, keyed._ARROW[kind]) for c, kind in order.kinds.items()])
     want, got = [], []
     for batch, (least, most, end) in enumerate(((0, 3_000_000, 2_000_000), (2_000_000, 5_000_000, 4_000_000), (4_000_000, 6_000_000, 7_000_000))):
         rows = made(rng, 1500, least, most)
         rows["ts_us"] = rows["ts_us"] // 500 * 500 if batch else rows["ts_us"]
         list(order.handleInputRows(("k",), iter([rows[:700], rows[700:710], rows[710:]]), None))
-        assert max(pa.ipc.read_record_batch(pa.py_buffer(page), schema).num_rows for (page,) in handle.kept["pages"].values()) <= 8
+        assert max(len(order._page(number)) for (number,) in handle.kept["pages"]) <= 8
         assert handle.timers[-1] == int(rows["ts_us"].min()) // 1000 + 1
         want += [(int(r.ts_us), int(r.id), None if np.isnan(r.port) else int(r.port), r.name, r.size) for r in rows.itertuples(index=False)]
         for frame in order.handleExpiredTimer(("k",), Clock(end // 1000), None):
@@ -93,3 +91,21 @@ def test_state_stores_share_one_bound(spark):
     runs.keyed_state(spark)
     assert spark.conf.get(names[1]) == "99"
     spark.conf.unset(names[1])
+
+
+def test_windows_do_not_depend_on_where_rows_are_cut():
+    """Not even inside one time or around a day's silence, before which the last windows are written."""
+    rng, rule = np.random.default_rng(6), WindowRule(3)
+    times = np.cumsum(rng.choice([0, 100_000, 7_000_000, 40_000_000, 900_000_000, 2 * 86_400_000_000], 150, p=[0.2, 0.35, 0.3, 0.1, 0.03, 0.02]))
+    rows = [(int(t), i, int(rng.integers(50, 56)), f"10.0.0.{rng.integers(4)}", ["SF", "S0"][i % 2], 10, 0.5, i % 9 == 0) for i, t in enumerate(times)]
+    assert max(np.diff(times)) > 86_400_000_000
+    end = rows[-1][0] + 20 * STEP
+    _, want = rule.step(rule.start(), rows, end)
+    for pieces in (2, 7, 60):
+        memory, got = rule.start(), []
+        for part in np.array_split(np.arange(len(rows)), pieces):
+            memory, out = rule.step(memory, [rows[i] for i in part], rows[part[-1] + 1][0] if part[-1] + 1 < len(rows) else end)
+            got += out
+        assert got == want
+    silent = int(np.argmax(np.diff(times)))
+    assert any(times[silent] < ts <= times[silent] + STEP and n for _, ts, n, *_ in want)  # the window that holds the last flow
