@@ -118,6 +118,7 @@ class PerimeterRule(Rule):
     """A source that reaches threshold distinct ports in the trailing window, both ends included, is an alert, pause_us or more after its last one."""
 
     payload, memory, output = "dst_port long", "ports array<long>, times array<long>, sent_us long", "ts_us long, ports long"
+    once = ("dst_port",)
 
     def __init__(self, threshold: int, window_us: int, pause_us: int) -> None:
         self.threshold, self.window_us, self.pause_us = threshold, window_us, pause_us

@@ -109,3 +109,22 @@ def test_windows_do_not_depend_on_where_rows_are_cut():
         assert got == want
     silent = int(np.argmax(np.diff(times)))
     assert any(times[silent] < ts <= times[silent] + STEP and n for _, ts, n, *_ in want)  # the window that holds the last flow
+
+
+def test_a_port_counts_once_at_a_time_before_the_rule_sees_it():
+    rng, handle, steps = np.random.default_rng(7), Handle(), []
+
+    class Noted(keyed.PerimeterRule):
+        def step(self, memory, rows, end):
+            steps.append(len(rows))
+            return super().step(memory, rows, end)
+
+    rule = Noted(5, STEP, STEP)
+    order = keyed.InOrder(rule, ["src_ip", "ts_us", "ports"])
+    order.init(handle)
+    rows = pd.DataFrame({"ts_us": rng.choice([1, 2, 3, 40], 60_000) * 1_000_000, "id": np.arange(60_000), "dst_port": rng.integers(20, 30, 60_000)})
+    list(order.handleInputRows(("h",), iter([rows[:30_000], rows[30_000:]]), None))
+    (frame,) = order.handleExpiredTimer(("h",), Clock(50_000), None)
+    assert sum(steps) == 4 * 10 and frame.values.tolist() == [["h", 1_000_000, 10], ["h", 40_000_000, 10]]
+    every = sorted(map(tuple, rows.values.tolist()))
+    assert keyed.PerimeterRule.step(rule, rule.start(), every, 50_000_000)[1] == [(1_000_000, 10), (40_000_000, 10)]
